@@ -35,3 +35,16 @@ def strip(c) -> Column:
 def collapse_spaces(c) -> Column:
     """Join the words of ``c`` with single spaces."""
     return F.array_join(words(c), " ")
+
+
+def materialize(df, cols: dict):
+    """Add computed columns behind an optimisation barrier.
+
+    Catalyst collapses adjacent projections and may inline an expression into
+    every evaluation of a higher-order-function lambda that reads it (an
+    O(n) expression read per word becomes O(n^2)). Producing the columns
+    through a one-row ``inline`` (a Generate node) keeps them computed once
+    per row.
+    """
+    from pyspark.sql import functions as F
+    return df.select("*", F.inline(F.array(F.struct(*[e.alias(n) for n, e in cols.items()]))))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revisio.functions.rng import randint
+from revisio.functions.text import materialize
 
 SPAN = "array<struct<st:int,ln:int>>"
 VARIANT = f"struct<variant:string,spans:{SPAN},mask:array<boolean>>"
@@ -112,7 +113,7 @@ def with_encoding(df: DataFrame, words: str, mask: str, masked: str = "masked",
         return F.coalesce(F.get(mk, i), F.lit(False))
 
     m = F.size(mk)
-    staged = df.withColumns({
+    staged = materialize(df, {
         "_st": F.filter(positions(m), lambda i: at(i) & ~at(i - 1)),
         "_en": F.filter(positions(m), lambda i: at(i) & ~at(i + 1)),
     })

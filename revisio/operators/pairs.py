@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revisio.functions.rng import h, randint
-from revisio.functions.text import words
+from revisio.functions.text import materialize, words
 from revisio.operators.diff import full_diff_mask
 from revisio.operators.masks import (VARIANT, empty_variants, full_diff_variant, protect_positions,
                                      random_span_variants, single_run_variants, variant_mask, with_encoding)
@@ -44,9 +44,9 @@ def pick_prompt(prompts: Sequence[str], seed: int, stream: str, row_id: Column,
 def simple_pairs(df: DataFrame, prompts: Sequence[str], times: int = 1, seed: int = 0, stream: str = "fwd",
                  row_id: str = "row_id", inp: str = "input", out: str = "output") -> DataFrame:
     """``"{prompt}: {input} ->"`` / ``output`` for ``times`` distinct prompts per row."""
-    rid = F.col(row_id)
-    ex = df.select(rid.alias("row_id"), F.col(inp).alias("_in"), F.col(out).alias("_out"),
-                   F.posexplode(sample_prompts(prompts, times, seed, stream, rid)).alias("_j", "_p"))
+    base = df.select(F.col(row_id).alias("row_id"), F.col(inp).alias("_in"), F.col(out).alias("_out"))
+    ex = base.select("*", F.posexplode(sample_prompts(prompts, times, seed, stream, F.col("row_id")))
+                     .alias("_j", "_p"))
     return ex.select(
         "row_id",
         F.concat(F.lit("s"), F.col("_j").cast("string")).alias("variant"),
@@ -74,7 +74,7 @@ def _masked_rows(ex: DataFrame, protect: bool) -> DataFrame:
     mask = variant_mask(F.col("_v"), F.size("_w"))
     if protect:
         mask = protect_positions(mask, F.col("_protect"))
-    return with_encoding(ex.withColumn("_mask", mask), "_w", "_mask")
+    return with_encoding(materialize(ex, {"_mask": mask}), "_w", "_mask")
 
 
 def masked_pairs(df: DataFrame, prompts: Sequence[str], mask_sample_size: int = 4, diff: bool = False,
@@ -122,14 +122,14 @@ def no_edit_pairs(df: DataFrame, prompts: Sequence[str], cap: int = 5000, seed:
     keys = keys.withColumn("_sk", h(seed, stream, F.col("row_id"), "nx", F.col("_k")))
     top = keys.orderBy("_sk", "row_id", "_k").limit(cap)
     # Late materialisation: everything below runs on at most ``cap`` rows.
-    top = top.withColumn("_w", words("_t"))
+    top = materialize(top, {"_w": words("_t")})
     specs = random_span_variants(F.size("_w"), mask_sample_size, seed, stream, F.col("row_id"))
     mask_idx = F.substring(F.col("_k"), 2, 10).cast("int")
     is_simple = F.col("_k") == "s0"
     top = top.withColumn("_v", F.when(is_simple, F.lit(None).cast(VARIANT))
                          .otherwise(F.element_at(specs, mask_idx + 1)))
-    enc = with_encoding(top.withColumn("_mask", F.when(is_simple, F.array().cast("array<boolean>"))
-                                       .otherwise(variant_mask(F.col("_v"), F.size("_w")))), "_w", "_mask")
+    enc = with_encoding(materialize(top, {"_mask": F.when(is_simple, F.array().cast("array<boolean>"))
+                                          .otherwise(variant_mask(F.col("_v"), F.size("_w")))}), "_w", "_mask")
     simple_prompt = sample_prompts(prompts, 1, seed, stream, F.col("row_id"))[0]
     prompt_m = pick_prompt(prompts, seed, stream, F.col("row_id"), "mp", F.col("_k"))
     return enc.select(
@@ -205,7 +205,7 @@ def edit_pairs(df: DataFrame, prompts: Sequence[str], repeat: int = 1, mask_samp
     mask = variant_mask(F.col("_x.spec"), F.size("_w"))
     if protect:
         mask = protect_positions(mask, F.col("_protect"))
-    ex = ex.withColumn("_mask", F.when(is_plain, F.array().cast("array<boolean>")).otherwise(mask))
+    ex = materialize(ex, {"_mask": F.when(is_plain, F.array().cast("array<boolean>")).otherwise(mask)})
     enc = with_encoding(ex, "_w", "_mask")
     mprompt = pick_prompt(prompts, seed, stream, r, "mp", F.substring(F.col("_x.variant"), 2, 10))
     return enc.select(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revisio.functions.rng import u32
-from revisio.functions.text import words
+from revisio.functions.text import materialize, words
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +41,9 @@ def split_of(doc_id: Column) -> Column:
 def related_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as (row_id, split, doc_id, text, edited)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.select(F.col("doc_id").cast("string").alias("row_id"), split_of(F.col("doc_id")).alias("split"),
-                    "doc_id", "text", edited_text(F.col("doc_id"), F.col("text")).alias("edited"))
+    d = d.select(F.col("doc_id").cast("string").alias("row_id"), split_of(F.col("doc_id")).alias("split"),
+                 "doc_id", "text")
+    return materialize(d, {"edited": edited_text(F.col("doc_id"), F.col("text"))})
 
 
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +87,8 @@ def gyafc_corpus(spark, sf_dir):
 
 
 def disco_fuse_corpus(spark, sf_dir):
-    r = _rel(spark, sf_dir)
-    w = words("text")
+    r = materialize(_rel(spark, sf_dir), {"_tw": words("text")})
+    w = F.col("_tw")
     half = (F.size(w) / 2).cast("int")
     return r.select(
         "row_id", "split",
@@ -145,11 +146,12 @@ def iterater_v2_corpus(spark, sf_dir):
     """Before-text with one ``<S>..</S>`` span over words k..k+2 (two spans
     when ``doc_id % 5 == 0``), prefixed ``<label>`` (no prefix when
     ``doc_id % 7 == 0``); after-text is the document."""
-    r = _rel(spark, sf_dir)
+    r = materialize(_rel(spark, sf_dir), {"_ew": words("edited")})
     d = F.col("doc_id")
-    ew = words("edited")
+    ew = F.col("_ew")
     n = F.size(ew)
-    k = (u32(_key("span", d.cast("string"))) % F.greatest(n - 2, F.lit(1))).cast("int")
+    r = materialize(r, {"_k": (u32(_key("span", d.cast("string"))) % F.greatest(n - 2, F.lit(1))).cast("int")})
+    k = F.col("_k")
     last = F.least(k + 2, n - 1)
 
     def tok(x, i):
