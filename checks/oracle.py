@@ -312,3 +312,95 @@ def _():
 def _():
     return (f"SELECT *, 'simple' AS type, 'conversations' AS \"from\" FROM "
             f"{simple_rows(_src(CONV_B), CAT['gec'], 2, SEED, 'q')} t")
+
+
+# ---------------------------------------------------------------- recipes
+GYAFC = (f"(SELECT row_id, CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 2 = 1 THEN 'family_train' "
+         f"ELSE 'ent_train' END AS split, edited AS informal, text AS formal FROM {RELATED} r)")
+WIKI_AUTO = f"(SELECT row_id, split, text AS normal, edited AS simple FROM {RELATED} r)"
+PARABANK = f"(SELECT row_id, split, text AS input_text, edited AS paraphrased_text FROM {RELATED} r)"
+ITV1 = (f"(SELECT row_id, CASE WHEN doc_id % 10 = 0 THEN 'human_validation' WHEN doc_id % 10 = 1 THEN "
+        f"'full_validation' ELSE 'train' END AS split, edited AS input, text AS output, {LABEL} AS task "
+        f"FROM {RELATED} r)")
+
+
+def fraction(src: str, frac: float = 0.95, seed: int = 1337) -> str:
+    key = h(seed, "split", "row_id", "tr")
+    return (f"(SELECT row_id, inp, out FROM (SELECT *, row_number() OVER (ORDER BY {key}, row_id) - 1 AS r_, "
+            f"count(*) OVER () AS n_ FROM {src} f0) f1 WHERE r_ < floor({frac} * n_))")
+
+
+def standard_recipe(key: str, tag: str, group: str, base: str, repeat: int, V: int,
+                    rev_group: str = None, rev_tag: str = None) -> str:
+    parts = [f"SELECT *, '{tag}' AS \"from\" FROM {edit_rows(base, CAT[group], repeat, V, SEED, key + '/fwd')} a"]
+    if rev_group:
+        rbase = f"(SELECT row_id, out AS inp, inp AS out FROM {base} rb)"
+        parts.append(f"SELECT *, '{rev_tag}' AS \"from\" FROM "
+                     f"{edit_rows(rbase, CAT[rev_group], repeat, V, SEED, key + '/rev')} b")
+    parts.append(f"SELECT *, 'no edit' AS type, '{tag}' AS \"from\" FROM "
+                 f"{no_edit_rows(base, CAT['do_not_edit'], 5000, SEED, key + '/noedit')} c")
+    return " UNION ALL ".join(parts)
+
+
+@oracle("gyafc")
+def _():
+    base = (f"(SELECT row_id, informal AS inp, formal AS out FROM {GYAFC} g "
+            f"WHERE split IN ('ent_train', 'family_train') AND {bounds('informal', 7, 70)})")
+    return standard_recipe("gyafc", "gyafc_formal", "formality", base, 1, 5, "formality_rev", "gyafc_informal")
+
+
+@oracle("disco_fuse")
+def _():
+    base = (f"(SELECT row_id, incoherent_first_sentence || ' ' || incoherent_second_sentence AS inp, "
+            f"coherent_first_sentence AS out FROM {DISCO} d WHERE split = 'train' AND "
+            f"{bounds('incoherent_first_sentence', 8)} AND {bounds('incoherent_second_sentence', 8)})")
+    return standard_recipe("disco_fuse", "disco_fuse_coh", "coherence", fraction(base), 1, 4)
+
+
+@oracle("wiki_auto")
+def _():
+    base = (f"(SELECT row_id, normal AS inp, simple AS out FROM {WIKI_AUTO} w WHERE split = 'train' AND "
+            f"{bounds('normal', 10, 400)} AND {bounds('simple', 10, 400)})")
+    return standard_recipe("wiki_auto", "wiki_auto_simplicity", "simplification", base, 1, 3)
+
+
+@oracle("wiki_large")
+def _():
+    base = (f"(SELECT row_id, input AS inp, simple AS out FROM {WIKI_LARGE} w WHERE split = 'train' AND "
+            f"{bounds('input', 20, 100)} AND {bounds('simple', 15, 100)})")
+    return standard_recipe("wiki_large", "wiki_large_simplicity", "simplification", base, 1, 2)
+
+
+@oracle("para_bank_v2")
+def _():
+    base = f"(SELECT row_id, input_text AS inp, paraphrased_text AS out FROM {PARABANK} p WHERE split = 'train')"
+    return standard_recipe("para_bank_v2", "parabank_paraphrase", "paraphrasing", fraction(base), 1, 5)
+
+
+def _v2(key: str, kind: str, group: str, repeat: int) -> str:
+    base = (f"(SELECT row_id, before_sent_with_intent AS inp, after_sent AS out FROM {ITV2} i "
+            f"WHERE split = 'train' AND labels = '{kind}' AND {bounds('before_sent_with_intent', 10)} AND "
+            f"{bounds('after_sent', 10)} AND {SINGLE_SPAN.format(c='before_sent_with_intent')})")
+    return (f"SELECT *, 'mask' AS type, 'IteraTeRV2_{kind}' AS \"from\" FROM "
+            f"{span_rows(base, kind, CAT[group], repeat, SEED, key + '/span')} s")
+
+
+def _v1(key: str, kind: str, group: str, repeat: int) -> str:
+    base = (f"(SELECT row_id, input AS inp, output AS out FROM {ITV1} i WHERE split IN "
+            f"('train', 'human_validation', 'full_validation') AND task = '{kind}')")
+    return standard_recipe(key, f"IteraTerV1_{kind}", group, base, repeat, 4)
+
+
+for _key, _kind, _group, _rep in [("IteraTeR_Simplicity", "clarity", "simplification", 3),
+                                  ("IteraTeR_Coherence", "coherence", "coherence", 4),
+                                  ("IteraTeR_Fluency", "fluency", "gec", 3)]:
+    ORACLE[_key] = _v2(_key, _kind, _group, _rep)
+for _key, _kind, _group, _rep in [("IteraTeR_V1_Simplicity", "clarity", "simplification", 3),
+                                  ("IteraTeR_V1_Coherence", "coherence", "coherence", 4),
+                                  ("IteraTeR_V1_Fluency", "fluency", "gec", 3)]:
+    ORACLE[_key] = _v1(_key, _kind, _group, _rep)
+
+_NON_DIFF = ["gyafc", "disco_fuse", "wiki_auto", "wiki_large", "para_bank_v2", "IteraTeR_Simplicity",
+             "IteraTeR_Coherence", "IteraTeR_Fluency", "IteraTeR_V1_Simplicity", "IteraTeR_V1_Coherence",
+             "IteraTeR_V1_Fluency"]
+ORACLE["mixture"] = " UNION ALL ".join(f"SELECT * FROM ({ORACLE[k]}) m{i}" for i, k in enumerate(_NON_DIFF))

@@ -350,3 +350,37 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 @query("flagship")
 def q_flagship(spark, sf):
     return flagship(spark, sf)
+
+
+# ---------------------------------------------------------------- recipes
+from revisio.plans.recipes import RECIPES, generate, mixture  # noqa: E402
+
+CORPUS = {
+    "c4_gec": S.c4_corpus, "fce_gec": S.fce_corpus, "lang8": S.lang8_corpus, "bea19": S.bea19_corpus,
+    "gyafc": S.gyafc_corpus, "disco_fuse": S.disco_fuse_corpus, "wiki_auto": S.wiki_auto_corpus,
+    "wiki_large": S.wiki_large_corpus, "para_bank_v2": S.para_bank_corpus, "wnc": S.wnc_corpus,
+    "APPDIA_offensive": S.appdia_corpus, "Paradetox_toxic": S.paradetox_corpus,
+    "IteraTeR_Simplicity": S.iterater_v2_corpus, "IteraTeR_Coherence": S.iterater_v2_corpus,
+    "IteraTeR_Fluency": S.iterater_v2_corpus, "IteraTeR_V1_Simplicity": S.iterater_v1_corpus,
+    "IteraTeR_V1_Coherence": S.iterater_v1_corpus, "IteraTeR_V1_Fluency": S.iterater_v1_corpus,
+}
+
+
+def recipe_frame(spark, sf, key: str) -> DataFrame:
+    return generate(RECIPES[key], CORPUS[key](spark, sf), catalogue(), SEED)
+
+
+def _register_recipe(key: str):
+    REGISTRY[key] = lambda spark, sf: recipe_frame(spark, sf, key)
+
+
+for _k in RECIPES:
+    _register_recipe(_k)
+
+
+@query("mixture")
+def q_mixture(spark, sf):
+    """Every recipe that needs no difference masks, merged and shuffled."""
+    keys = [k for k, r in RECIPES.items() if not r.diff]
+    frames = [generate(RECIPES[k], CORPUS[k](spark, sf), catalogue(), SEED, shuffle=None) for k in keys]
+    return mixture(frames, SEED)

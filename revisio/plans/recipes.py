@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revisio.operators.filters import char_ratio_ok, filter_single_span, word_bounds
-from revisio.operators.order import shuffle_rows, train_fraction
+from revisio.operators.order import shuffle_for_write, shuffle_rows, train_fraction
 from revisio.operators.pairs import alternatives_unpivot, edit_pairs, no_edit_pairs, span_annotated_pairs
 from revisio.operators.projections import reverse_pair
 
@@ -171,8 +171,15 @@ def prepared(recipe: Recipe, corpus: DataFrame) -> DataFrame:
 
 
 def generate(recipe: Recipe, corpus: DataFrame, catalogue: Mapping[str, List[str]], seed: int = 0,
-             shuffle: bool = True) -> DataFrame:
-    """All examples of one recipe."""
+             shuffle: Optional[str] = "hash") -> DataFrame:
+    """All examples of one recipe.
+
+    ``shuffle``: ``"hash"`` (default) spreads rows by a seeded key over the
+    shuffle partitions and orders each partition by it: a seeded random
+    permutation with no range-sampling pass (which would run the whole
+    upstream plan, difference UDF included, a second time); ``"sort"`` is a
+    total order by the key; ``None`` keeps generation order.
+    """
     base = prepared(recipe, corpus)
     stream = recipe.key
     if recipe.intent is not None:
@@ -190,12 +197,21 @@ def generate(recipe: Recipe, corpus: DataFrame, catalogue: Mapping[str, List[str
     out = parts[0].select(OUT_COLS)
     for p in parts[1:]:
         out = out.unionByName(p.select(OUT_COLS))
-    return shuffle_rows(out, seed, "row_id", ("from", "variant")) if shuffle else out
+    return _shuffle(out, seed, shuffle)
 
 
-def mixture(frames: Sequence[DataFrame], seed: int = 0) -> DataFrame:
+def _shuffle(df: DataFrame, seed: int, how: Optional[str]) -> DataFrame:
+    if how is None:
+        return df
+    if how == "sort":
+        return shuffle_rows(df, seed, "row_id", ("from", "variant"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shuffle_for_write(df, seed, n, "row_id", ("from", "variant"))
+
+
+def mixture(frames: Sequence[DataFrame], seed: int = 0, shuffle: Optional[str] = "hash") -> DataFrame:
     """All recipes' examples as one shuffled table (bag union)."""
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return shuffle_rows(out, seed, "row_id", ("from", "variant"))
+    return _shuffle(out, seed, shuffle)
