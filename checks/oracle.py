@@ -404,3 +404,221 @@ _NON_DIFF = ["gyafc", "disco_fuse", "wiki_auto", "wiki_large", "para_bank_v2", "
              "IteraTeR_Coherence", "IteraTeR_Fluency", "IteraTeR_V1_Simplicity", "IteraTeR_V1_Coherence",
              "IteraTeR_V1_Fluency"]
 ORACLE["mixture"] = " UNION ALL ".join(f"SELECT * FROM ({ORACLE[k]}) m{i}" for i, k in enumerate(_NON_DIFF))
+
+
+# ------------------------------------------------- tokenise, pad, batch
+VOCAB = ("(SELECT token, count, CAST(id AS INTEGER) AS id FROM (SELECT token, count, row_number() OVER "
+         "(ORDER BY count DESC, token) - 1 + 3 AS id FROM (SELECT token, count(*) AS count FROM (SELECT unnest("
+         + words("text") + ") AS token FROM documents) t GROUP BY token) c) v WHERE id < 5000)")
+
+
+def _tok_side(col: str, side: int, max_len: int) -> str:
+    sl = f"list_slice({words(col)}, 1, {max_len - 1})"
+    return f"SELECT row_id, {side} AS side, unnest({sl}) AS token, generate_subscripts({sl}, 1) AS pos FROM {RELATED} r"
+
+
+TOK = (f"(SELECT t.row_id, t.side, t.pos, coalesce(v.id, 2) AS id FROM ({_tok_side('edited', 0, 128)} UNION ALL "
+       f"{_tok_side('text', 1, 64)}) t LEFT JOIN {VOCAB} v ON v.token = t.token)")
+TOKD = (f"(SELECT rr.row_id, list_concat(coalesce(a.ids, []::INTEGER[]), [1]) AS input_ids, "
+        f"list_concat(coalesce(b.ids, []::INTEGER[]), [1]) AS labels FROM (SELECT CAST(doc_id AS VARCHAR) AS row_id "
+        f"FROM documents) rr "
+        f"LEFT JOIN (SELECT row_id, list(CAST(id AS INTEGER) ORDER BY pos) AS ids FROM {TOK} t0 WHERE side = 0 "
+        f"GROUP BY row_id) a ON a.row_id = rr.row_id "
+        f"LEFT JOIN (SELECT row_id, list(CAST(id AS INTEGER) ORDER BY pos) AS ids FROM {TOK} t1 WHERE side = 1 "
+        f"GROUP BY row_id) b ON b.row_id = rr.row_id)")
+
+
+def ids(c: str) -> str:
+    return f"array_to_string(list_transform({c}, lambda x: CAST(x AS VARCHAR)), ' ')"
+
+
+def pad(c: str, n: str, v: int = 0) -> str:
+    return f"list_concat({c}, list_transform(range(greatest(({n}) - len({c}), 0)), lambda _z: {v}))"
+
+
+LABELS = f"(SELECT row_id, list_transform({pad('labels', '64')}, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END) AS labels FROM {TOKD} t)"
+
+
+@oracle("build_vocab")
+def _():
+    return f"SELECT * FROM {VOCAB} v"
+
+
+@oracle("tokenize_truncate")
+def _():
+    return f"SELECT row_id, {ids('input_ids')} AS input_ids, {ids('labels')} AS labels FROM {TOKD} t"
+
+
+@oracle("pad_to_length")
+def _():
+    att = f"list_concat(list_transform(input_ids, lambda x: 1), list_transform(range(greatest(128 - len(input_ids), 0)), lambda _z: 0))"
+    return f"SELECT row_id, {ids(pad('input_ids', '128'))} AS input_ids, {ids(att)} AS attention_mask FROM {TOKD} t"
+
+
+@oracle("mask_label_padding")
+def _():
+    return f"SELECT row_id, {ids('labels')} AS labels FROM {LABELS} l"
+
+
+@oracle("unmask_label_padding")
+def _():
+    un = "list_transform(labels, lambda x: CASE WHEN x = -100 THEN 0 ELSE x END)"
+    return f"SELECT row_id, {ids(un)} AS labels FROM {LABELS} l"
+
+
+@oracle("shift_right")
+def _():
+    sh = ("list_transform(list_concat([0], list_slice(labels, 1, len(labels) - 1)), "
+          "lambda x: CASE WHEN x = -100 THEN 0 ELSE x END)")
+    return f"SELECT row_id, {ids(sh)} AS decoder_input_ids FROM {LABELS} l"
+
+
+@oracle("decoder_attention_mask")
+def _():
+    m = "list_transform(labels, lambda x: CASE WHEN x = 0 OR x = -100 THEN 0 ELSE 1 END)"
+    return f"SELECT row_id, {ids(m)} AS decoder_attention_mask FROM {LABELS} l"
+
+
+def ranked(src: str) -> str:
+    key = h(SEED, "batch", "row_id", "sh")
+    return f"(SELECT *, row_number() OVER (ORDER BY {key}, row_id) - 1 AS rk, count(*) OVER () AS n FROM {src} s)"
+
+
+def batches(src: str, mode: str, bs: int) -> str:
+    if mode == "drop_last":
+        inner = f"(SELECT *, rk // {bs} AS batch_id FROM {ranked(src)} r WHERE rk < (n // {bs}) * {bs})"
+    elif mode == "fixed":
+        inner = f"(SELECT *, rk // {bs} AS batch_id FROM {ranked(src)} r)"
+    else:
+        inner = (f"(SELECT *, CASE WHEN rk < rem * (q + 1) THEN rk // (q + 1) ELSE rem + (rk - rem * (q + 1)) // q "
+                 f"END AS batch_id FROM (SELECT *, n - q * steps AS rem FROM (SELECT *, n // steps AS q FROM "
+                 f"(SELECT *, CAST(ceil(n / {bs}) AS BIGINT) AS steps FROM {ranked(src)} r) a) b) c)")
+    return f"(SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY rk) - 1 AS pos_in_batch FROM {inner} i)"
+
+
+for _mode in ("drop_last", "even", "fixed"):
+    ORACLE[f"assign_batches_{_mode}"] = (f"SELECT row_id, CAST(batch_id AS BIGINT) AS batch_id, pos_in_batch "
+                                         f"FROM {batches(DOCS, _mode, 7)} b")
+
+
+@oracle("pad_batches")
+def _():
+    b = batches(TOKD, "fixed", 8)
+    inner = (f"(SELECT row_id, CAST(batch_id AS BIGINT) AS batch_id, input_ids, CAST(ceil(max(len(input_ids)) OVER "
+             f"(PARTITION BY batch_id) / 8) * 8 AS INTEGER) AS pad_len FROM {b} x)")
+    return f"SELECT row_id, batch_id, pad_len, {ids(pad('input_ids', 'pad_len'))} AS input_ids FROM {inner} y"
+
+
+@oracle("batch_plan")
+def _():
+    return ("SELECT count(*) AS examples, CAST(floor(count(*) / 64) AS BIGINT) AS steps_per_epoch, "
+            "CAST(floor(count(*) / 64) * 3 AS BIGINT) AS total_steps, 64 AS total_batch_size FROM documents")
+
+
+@oracle("collate")
+def _():
+    return (f"SELECT CAST(batch_id AS BIGINT) AS batch_id, string_agg(row_id, ',' ORDER BY pos_in_batch) AS row_ids "
+            f"FROM {batches(DOCS, 'fixed', 7)} b GROUP BY batch_id")
+
+
+# ---------------------------------------------------------------- metrics
+from revisio.functions.text import WS_CLASS  # noqa: E402
+
+def strip_sql(c: str) -> str:
+    return "regexp_replace(" + c + ", " + q(f"^{WS_CLASS}+|{WS_CLASS}+$") + ", '', 'g')"
+PUNCT = q(r"([^\p{L}\p{N}" + WS_CLASS[1:-1] + r"])")
+
+
+@oracle("clean_text")
+def _():
+    return f"SELECT row_id, {strip_sql('edited')} AS prediction FROM {RELATED} r"
+
+
+@oracle("split_sentences")
+def _():
+    return (f"SELECT row_id, regexp_replace({strip_sql('text')}, {q('([.!?])' + WS_CLASS + '+')}, "
+            f"'\\1' || chr(10), 'g') AS reference FROM {RELATED} r")
+
+
+@oracle("decode_ids")
+def _():
+    ex = f"(SELECT row_id, unnest(labels) AS id, generate_subscripts(labels, 1) AS pos FROM {TOKD} t)"
+    agg = (f"(SELECT e.row_id, string_agg(v.token, ' ' ORDER BY e.pos) AS text FROM {ex} e JOIN {VOCAB} v "
+           f"ON v.id = e.id WHERE e.id >= 3 GROUP BY e.row_id)")
+    return (f"SELECT rr.row_id, coalesce(a.text, '') AS text FROM (SELECT CAST(doc_id AS VARCHAR) AS row_id FROM "
+            f"documents) rr LEFT JOIN {agg} a ON a.row_id = rr.row_id")
+
+
+def grams(tok: str, n: int) -> str:
+    return (f"list_transform(range(0, greatest(len({tok}) - {n} + 1, 0)), lambda i: "
+            f"array_to_string(list_slice({tok}, i + 1, i + {n}), ' '))")
+
+
+def gram_counts(tok_expr: str, orders) -> str:
+    parts = []
+    for n in orders:
+        for side, col in ((1, "edited"), (2, "text")):
+            parts.append(f"SELECT row_id, {n} AS n, unnest({grams('tk', n)}) AS g, {side} AS s FROM "
+                         f"(SELECT row_id, {tok_expr(col)} AS tk FROM {RELATED} r) x")
+    return (f"(SELECT row_id, n, g, CAST(sum(CASE WHEN s = 1 THEN 1 ELSE 0 END) AS BIGINT) AS c_h, "
+            f"CAST(sum(CASE WHEN s = 2 THEN 1 ELSE 0 END) AS BIGINT) AS c_r FROM ({' UNION ALL '.join(parts)}) u "
+            f"GROUP BY row_id, n, g)")
+
+
+def BLEU_TOK(c: str) -> str:
+    return words("regexp_replace(" + c + ", " + PUNCT + ", ' \\1 ', 'g')")
+
+
+def ROUGE_TOK(c: str) -> str:
+    return words("regexp_replace(lower(" + c + "), '[^a-z0-9]+', ' ', 'g')")
+
+
+def bleu_sql() -> str:
+    g = gram_counts(BLEU_TOK, range(1, 5))
+    sums = ", ".join(f"CAST(sum(CASE WHEN n = {n} THEN least(c_h, c_r) ELSE 0 END) AS BIGINT) AS m{n}, "
+                     f"CAST(sum(CASE WHEN n = {n} THEN c_h ELSE 0 END) AS BIGINT) AS t{n}" for n in range(1, 5))
+    s = f"(SELECT {sums}, CAST(sum(CASE WHEN n = 1 THEN c_r ELSE 0 END) AS BIGINT) AS ref_len FROM {g} g)"
+    z, logs = "0", []
+    for n in range(1, 5):
+        z = f"({z} + CASE WHEN m{n} = 0 AND t{n} > 0 THEN 1 ELSE 0 END)"
+        p = (f"(CASE WHEN t{n} = 0 THEN 0.0 WHEN m{n} > 0 THEN 100.0 * m{n} / t{n} "
+             f"ELSE 100.0 / (pow(2.0, {z}) * t{n}) END)")
+        logs.append(f"(CASE WHEN {p} > 0 THEN ln({p}) ELSE -9999999999.0 END)")
+    bp = "(CASE WHEN t1 >= ref_len THEN 1.0 WHEN t1 > 0 THEN exp(1 - ref_len / t1) ELSE 0.0 END)"
+    return (f"SELECT round({bp} * exp(({' + '.join(logs)}) / 4), 4) AS bleu, m1, m2, m3, m4, t1, t2, t3, t4, "
+            f"t1 AS hyp_len, ref_len FROM {s} s")
+
+
+def rouge_sql() -> str:
+    g = gram_counts(ROUGE_TOK, (1, 2))
+    per = ", ".join(f"sum(CASE WHEN n = {n} THEN least(c_h, c_r) ELSE 0 END) AS o{n}, "
+                    f"sum(CASE WHEN n = {n} THEN c_h ELSE 0 END) AS h{n}, "
+                    f"sum(CASE WHEN n = {n} THEN c_r ELSE 0 END) AS r{n}" for n in (1, 2))
+    rows = (f"(SELECT rr.row_id, a.* EXCLUDE (row_id) FROM (SELECT CAST(doc_id AS VARCHAR) AS row_id FROM documents) rr "
+            f"LEFT JOIN (SELECT row_id, {per} FROM {g} g GROUP BY row_id) a ON a.row_id = rr.row_id)")
+    fs = []
+    for n in (1, 2):
+        p = f"(coalesce(o{n}, 0) / greatest(coalesce(h{n}, 0), 1))"
+        r = f"(coalesce(o{n}, 0) / greatest(coalesce(r{n}, 0), 1))"
+        fs.append(f"round(avg(CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END) * 100, 4) "
+                  f"AS rouge{n}")
+    return f"SELECT {', '.join(fs)} FROM {rows} x"
+
+
+ORACLE["corpus_bleu"] = bleu_sql()
+ORACLE["rouge_n"] = rouge_sql()
+ORACLE["scale_round"] = (f"SELECT 'bleu' AS metric, bleu AS value FROM ({bleu_sql()}) b UNION ALL "
+                         f"SELECT 'rouge1', rouge1 FROM ({rouge_sql()}) r UNION ALL "
+                         f"SELECT 'rouge2', rouge2 FROM ({rouge_sql()}) r2")
+
+
+@oracle("gen_len")
+def _():
+    return f"SELECT round(avg(len(input_ids)), 4) AS gen_len FROM {TOKD} t"
+
+
+@oracle("count_examples")
+def _():
+    return ("SELECT CASE split WHEN 'train' THEN 'train_samples' WHEN 'validation' THEN 'eval_samples' ELSE "
+            "'predict_samples' END AS metric, least(count(*), CASE split WHEN 'train' THEN 500 WHEN 'validation' "
+            f"THEN 50 ELSE 1000 END) AS value FROM {C4} c GROUP BY split")

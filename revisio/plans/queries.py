@@ -384,3 +384,166 @@ def q_mixture(spark, sf):
     keys = [k for k, r in RECIPES.items() if not r.diff]
     frames = [generate(RECIPES[k], CORPUS[k](spark, sf), catalogue(), SEED, shuffle=None) for k in keys]
     return mixture(frames, SEED)
+
+
+# ------------------------------------------------- tokenise, pad, batch
+from revisio.operators import batch as B  # noqa: E402
+from revisio.operators import metrics as M  # noqa: E402
+from revisio.operators import tokenize as K  # noqa: E402
+
+VOCAB = 5000
+SRC_LEN, TGT_LEN = 128, 64
+
+
+def vocab_frame(spark, sf):
+    return K.build_vocab(S.table(spark, sf, "documents"), ["text"], VOCAB)
+
+
+def tokenized(spark, sf):
+    r = S.related_pairs(spark, sf)
+    return K.tokenize(r, vocab_frame(spark, sf), [("edited", "input_ids", SRC_LEN), ("text", "labels", TGT_LEN)],
+                      VOCAB)
+
+
+@query("build_vocab")
+def q_build_vocab(spark, sf):
+    return vocab_frame(spark, sf)
+
+
+@query("tokenize_truncate")
+def q_tokenize_truncate(spark, sf):
+    t = tokenized(spark, sf)
+    return t.select("row_id", K.ids_text("input_ids").alias("input_ids"), K.ids_text("labels").alias("labels"))
+
+
+@query("pad_to_length")
+def q_pad_to_length(spark, sf):
+    t = tokenized(spark, sf)
+    return t.select("row_id", K.ids_text(K.pad_to_length(F.col("input_ids"), SRC_LEN)).alias("input_ids"),
+                    K.ids_text(K.attention_mask(F.col("input_ids"), SRC_LEN)).alias("attention_mask"))
+
+
+def _padded_labels(spark, sf):
+    t = tokenized(spark, sf)
+    return t.select("row_id", K.mask_label_padding(K.pad_to_length(F.col("labels"), TGT_LEN)).alias("labels"))
+
+
+@query("mask_label_padding")
+def q_mask_label_padding(spark, sf):
+    return _padded_labels(spark, sf).select("row_id", K.ids_text("labels").alias("labels"))
+
+
+@query("unmask_label_padding")
+def q_unmask_label_padding(spark, sf):
+    return _padded_labels(spark, sf).select("row_id", K.ids_text(K.unmask_label_padding(F.col("labels")))
+                                            .alias("labels"))
+
+
+@query("shift_right")
+def q_shift_right(spark, sf):
+    return _padded_labels(spark, sf).select("row_id", K.ids_text(K.shift_right(F.col("labels")))
+                                            .alias("decoder_input_ids"))
+
+
+@query("decoder_attention_mask")
+def q_decoder_attention_mask(spark, sf):
+    return _padded_labels(spark, sf).select("row_id", K.ids_text(K.decoder_attention_mask(F.col("labels")))
+                                            .alias("decoder_attention_mask"))
+
+
+def _batched(spark, sf, mode):
+    return B.assign_batches(_docs(spark, sf), 7, SEED, mode).select("row_id", "batch_id", "pos_in_batch")
+
+
+@query("assign_batches_drop_last")
+def q_b1(spark, sf):
+    return _batched(spark, sf, "drop_last")
+
+
+@query("assign_batches_even")
+def q_b2(spark, sf):
+    return _batched(spark, sf, "even")
+
+
+@query("assign_batches_fixed")
+def q_b3(spark, sf):
+    return _batched(spark, sf, "fixed")
+
+
+@query("pad_batches")
+def q_pad_batches(spark, sf):
+    t = B.assign_batches(tokenized(spark, sf), 8, SEED, "fixed")
+    t = B.batch_max_length(t, "input_ids", multiple=8)
+    return t.select("row_id", "batch_id", "pad_len",
+                    K.ids_text(K.pad_to_length(F.col("input_ids"), F.col("pad_len"))).alias("input_ids"))
+
+
+@query("batch_plan")
+def q_batch_plan(spark, sf):
+    return B.batch_plan(_docs(spark, sf), 8, epochs=3, devices=2, accumulation=4)
+
+
+@query("collate")
+def q_collate(spark, sf):
+    b = B.assign_batches(_docs(spark, sf), 7, SEED, "fixed")
+    c = B.collate(b, ["row_id"])
+    return c.select("batch_id", F.array_join("row_id", ",").alias("row_ids"))
+
+
+# ---------------------------------------------------------------- metrics
+def _preds(spark, sf):
+    return q_pair_predictions(spark, sf)
+
+
+@query("clean_text")
+def q_clean_text(spark, sf):
+    return _preds(spark, sf).select("row_id", M.clean_text(F.col("prediction")).alias("prediction"))
+
+
+@query("split_sentences")
+def q_split_sentences(spark, sf):
+    return _preds(spark, sf).select("row_id", M.split_sentences(M.clean_text(F.col("reference"))).alias("reference"))
+
+
+@query("decode_ids")
+def q_decode_ids(spark, sf):
+    return K.decode_ids(tokenized(spark, sf), vocab_frame(spark, sf), "labels", "text", True, VOCAB)
+
+
+@query("corpus_bleu")
+def q_corpus_bleu(spark, sf):
+    return M.corpus_bleu(_preds(spark, sf), "prediction", "reference")
+
+
+@query("rouge_n")
+def q_rouge_n(spark, sf):
+    return M.rouge_n(_preds(spark, sf), "prediction", "reference")
+
+
+@query("rouge_l")
+def q_rouge_l(spark, sf):
+    return M.rouge_l(_preds(spark, sf), "prediction", "reference")
+
+
+@query("gen_len")
+def q_gen_len(spark, sf):
+    t = tokenized(spark, sf).select(K.pad_to_length(F.col("input_ids"), SRC_LEN).alias("ids"))
+    return M.gen_len(t, "ids")
+
+
+@query("scale_round")
+def q_scale_round(spark, sf):
+    """The metric report: BLEU (already 0-100) and ROUGE-1/2 (x100), 4 places."""
+    p = _preds(spark, sf)
+    b = M.corpus_bleu(p, "prediction", "reference").select(F.lit("bleu").alias("metric"),
+                                                           F.col("bleu").alias("value"))
+    r = M.rouge_n(p, "prediction", "reference")
+    r = r.select(F.explode(F.array(F.struct(F.lit("rouge1").alias("metric"), F.col("rouge1").alias("value")),
+                                   F.struct(F.lit("rouge2").alias("metric"), F.col("rouge2").alias("value"))))
+                 .alias("m")).select("m.*")
+    return b.unionByName(r)
+
+
+@query("count_examples")
+def q_count_examples(spark, sf):
+    return M.count_examples(S.c4_corpus(spark, sf), {"train": 500, "validation": 50, "test": 1000})
