@@ -622,3 +622,26 @@ def _():
     return ("SELECT CASE split WHEN 'train' THEN 'train_samples' WHEN 'validation' THEN 'eval_samples' ELSE "
             "'predict_samples' END AS metric, least(count(*), CASE split WHEN 'train' THEN 500 WHEN 'validation' "
             f"THEN 50 ELSE 1000 END) AS value FROM {C4} c GROUP BY split")
+
+
+# ----------------------------------------------------------- sinks, files
+ORACLE["write_corpus"] = ORACLE["wiki_large"]
+
+
+@oracle("write_predictions")
+def _():
+    s = strip_sql("edited")
+    return (f"SELECT replace(replace(replace({s}, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r') AS value "
+            f"FROM {RELATED} r")
+
+
+@oracle("write_metrics")
+def _():
+    return (f"SELECT b.bleu AS eval_bleu, r.rouge1 AS eval_rouge1, r.rouge2 AS eval_rouge2 FROM ({bleu_sql()}) b, "
+            f"({rouge_sql()}) r")
+
+
+@oracle("read_files")
+def _():
+    return (f"SELECT row_id, input, output, CASE WHEN CAST(split_part(row_id, ':', 1) AS INTEGER) % 2 = 0 "
+            f"THEN 'train' ELSE 'validation' END AS split FROM {CONV} c")

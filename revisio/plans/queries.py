@@ -547,3 +547,53 @@ def q_scale_round(spark, sf):
 @query("count_examples")
 def q_count_examples(spark, sf):
     return M.count_examples(S.c4_corpus(spark, sf), {"train": 500, "validation": 50, "test": 1000})
+
+
+# ----------------------------------------------------------- sinks, files
+import uuid  # noqa: E402
+
+from revisio.session import scratch_path  # noqa: E402
+from revisio.sources import sinks as SK  # noqa: E402
+from revisio.sources.corpus import read_corpus, read_files  # noqa: E402
+
+
+def _scratch(spark, name):
+    return scratch_path(spark, f"revisio-out/{name}-{uuid.uuid4().hex}")
+
+
+@query("write_corpus")
+def q_write_corpus(spark, sf):
+    """Generate a recipe, write it partitioned by from/type in seeded random
+    order to the shared folder, read it back."""
+    path = _scratch(spark, "corpus")
+    SK.write_corpus(generate(RECIPES["wiki_large"], CORPUS["wiki_large"](spark, sf), catalogue(), SEED, shuffle=None),
+                    path, seed=SEED)
+    return spark.read.parquet(path).select("row_id", "variant", "input", "output", "type", "from")
+
+
+@query("write_predictions")
+def q_write_predictions(spark, sf):
+    path = _scratch(spark, "predictions")
+    SK.write_predictions(q_clean_text(spark, sf), path)
+    return spark.read.text(path)
+
+
+@query("write_metrics")
+def q_write_metrics(spark, sf):
+    path = _scratch(spark, "metrics")
+    SK.write_metrics(q_scale_round(spark, sf), path, prefix="eval_")
+    return spark.read.json(path)
+
+
+@query("read_files")
+def q_read_files(spark, sf):
+    """Pairs written as CSV (train) and JSON lines (validation), read back
+    with the format taken from each file name."""
+    c = S.conversation_pairs(spark, sf).withColumn("_odd", F.substring_index("row_id", ":", 1).cast("int") % 2)
+    base = _scratch(spark, "files")
+    train, val = f"{base}/train.csv", f"{base}/validation.jsonl"
+    c.filter(F.col("_odd") == 0).drop("_odd").write.option("header", True).option("escape", '"').csv(train)
+    c.filter(F.col("_odd") == 1).drop("_odd").write.json(val)
+    schema = "row_id string, input string, output string"
+    from pyspark.sql.types import _parse_datatype_string
+    return read_files(spark, {"train": train, "validation": val}, _parse_datatype_string(schema))
