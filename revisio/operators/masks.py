@@ -20,7 +20,8 @@ from revisio.functions.rng import randint
 from revisio.functions.text import materialize
 
 SPAN = "array<struct<st:int,ln:int>>"
-VARIANT = f"struct<variant:string,spans:{SPAN},mask:array<boolean>>"
+RUN = "array<struct<st:int,en:int>>"
+VARIANT = f"struct<variant:string,runs:{RUN}>"
 
 
 def positions(n: Column) -> Column:
@@ -32,10 +33,8 @@ def _sentinel(k: Column) -> Column:
     return F.concat(F.lit("<extra_id_"), k.cast("string"), F.lit(">"))
 
 
-def _variant(name: Column, spans: Column = None, mask: Column = None) -> Column:
-    return F.struct(name.alias("variant"),
-                    (spans if spans is not None else F.lit(None).cast(SPAN)).alias("spans"),
-                    (mask if mask is not None else F.lit(None).cast("array<boolean>")).alias("mask"))
+def _variant(name: Column, runs: Column) -> Column:
+    return F.struct(name.alias("variant"), runs.alias("runs"))
 
 
 def empty_variants() -> Column:
@@ -61,7 +60,8 @@ def random_span_variants(n: Column, variants: int, seed: int, stream: str, row_i
             st = randint(0, n - ln, seed, stream, row_id, "rs", v, s)
             return F.struct(st.alias("st"), ln.alias("ln"))
 
-        return _variant(F.concat(F.lit("r"), v.cast("string")), spans=F.transform(F.sequence(F.lit(1), k), span))
+        return _variant(F.concat(F.lit("r"), v.cast("string")),
+                        spans_to_runs(F.transform(F.sequence(F.lit(1), k), span)))
 
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(variants - 1)), one)).otherwise(empty_variants())
 
@@ -78,37 +78,43 @@ def single_run_variants(full: Column, n: Column, seed: int, stream: str, row_id:
         lo = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), c), lambda i: ~full[i])) + 1, F.lit(0))
         hi = F.coalesce(F.array_min(F.filter(F.sequence(c, n - 1), lambda i: ~full[i])), n)
         return _variant(F.concat(F.lit("d"), (j + 1).cast("string")),
-                        spans=F.array(F.struct(lo.alias("st"), (hi - lo).alias("ln"))))
+                        F.array(F.struct(lo.alias("st"), hi.alias("en"))))
 
     picks = F.when(m > 0, F.sequence(F.lit(0), F.least(m, F.lit(2)) - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(picks, one)
 
 
-def full_diff_variant(full: Column) -> Column:
-    return F.array(_variant(F.lit("d0"), mask=full))
+def full_diff_variant(full_runs: Column) -> Column:
+    """The full difference mask as one variant; ``full_runs`` are its
+    materialised runs (``with_mask_runs``)."""
+    return F.array(_variant(F.lit("d0"), full_runs))
 
 
 def variant_mask(variant: Column, n: Column) -> Column:
-    """The boolean mask of one exploded variant."""
-    return F.coalesce(variant["mask"], F.transform(
-        positions(n), lambda i: F.exists(variant["spans"], lambda sp: (i >= sp["st"]) & (i < sp["st"] + sp["ln"]))))
+    """The boolean mask of one exploded variant (display, protection)."""
+    return runs_mask(variant["runs"], n)
 
 
-def protect_positions(mask: Column, protect: Column) -> Column:
-    """Unmask listed word positions; indices outside the text are ignored."""
-    return F.transform(mask, lambda m, i: m & ~F.coalesce(F.array_contains(protect, i), F.lit(False)))
+def spans_to_runs(spans: Column) -> Column:
+    """Merge possibly overlapping or touching spans into sorted maximal runs
+    ``[st, en)``. A fold over at most 20 spans: no per-word work."""
+    ivals = F.array_sort(F.transform(spans, lambda sp: F.struct(sp["st"].alias("st"),
+                                                                (sp["st"] + sp["ln"]).alias("en"))))
 
+    def step(acc, x):
+        last = F.get(acc, F.size(acc) - 1)
+        merged = F.struct(last["st"].alias("st"), F.greatest(last["en"], x["en"]).alias("en"))
+        return F.when(last.isNotNull() & (x["st"] <= last["en"]),
+                      F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(merged))) \
+            .otherwise(F.concat(acc, F.array(x)))
 
-def with_encoding(df: DataFrame, words: str, mask: str, masked: str = "masked", target: str = "target") -> DataFrame:
-    """Add the sentinel encoding of ``mask`` over ``words``.
+    return F.aggregate(ivals, F.array().cast(RUN), step)
+
+
+def with_mask_runs(df: DataFrame, mask: str, out: str) -> DataFrame:
+    """Maximal runs of a materialised boolean mask (two linear scans)."""
+    mk = F.col(mask)
 
-    Each masked run becomes one ``<extra_id_k>`` (k = 0, 1, ...) and its other
-    words become empty strings, so joining with single spaces keeps extra
-    spaces. The target is ``<extra_id_0> run0 <extra_id_1> run1 ... <extra_id_n>``
-    or the empty string when nothing is masked.
-    """
-    w, mk = F.col(words), F.col(mask)
-    n = F.size(w)
     def at(i):
         return F.coalesce(F.get(mk, i), F.lit(False))
 
@@ -117,24 +123,53 @@ def with_encoding(df: DataFrame, words: str, mask: str, masked: str = "masked",
         "_st": F.filter(positions(m), lambda i: at(i) & ~at(i - 1)),
         "_en": F.filter(positions(m), lambda i: at(i) & ~at(i + 1)),
     })
-    st, en = F.col("_st"), F.col("_en")
+    en = F.col("_en")
+    runs = F.transform("_st", lambda s, k: F.struct(s.alias("st"), (en[k] + 1).alias("en")))
+    return materialize(staged, {out: runs}).drop("_st", "_en")
+
 
-    def piece(s, k):
-        prev_end = F.coalesce(F.get(en, k - 1), F.lit(-1))
-        return F.concat(F.slice(w, prev_end + 2, s - prev_end - 1), F.array(_sentinel(k)),
-                        F.array_repeat(F.lit(""), en[k] - s))
+def runs_mask(runs: Column, n: Column) -> Column:
+    """Boolean mask of runs (for display and for protected positions)."""
+    return F.transform(positions(n), lambda i: F.exists(runs, lambda r: (i >= r["st"]) & (i < r["en"])))
 
-    last_end = F.coalesce(F.get(en, F.size(en) - 1), F.lit(-1))
-    tail = F.when(last_end + 1 < n, F.slice(w, last_end + 2, n - last_end - 1)).otherwise(
-        F.array().cast("array<string>"))
-    masked_text = F.array_join(F.concat(F.flatten(F.transform(st, piece)), tail), " ")
 
-    def run(s, k):
-        return F.concat(F.lit(" "), F.array_join(F.slice(w, s + 1, en[k] - s + 1), " "), F.lit(" "), _sentinel(k + 1))
+def render_runs(df: DataFrame, words: str, runs: str, masked: str = "masked", target: str = "target") -> DataFrame:
+    """Sentinel encoding from materialised runs: native slices only.
+
+    Each run becomes one ``<extra_id_k>`` and its other words empty strings
+    (so joining with single spaces keeps the extra spaces); the target is
+    ``<extra_id_0> run0 <extra_id_1> ... <extra_id_n>``, or empty when there
+    is no run.
+    """
+    w, rs = F.col(words), F.col(runs)
+    n = F.size(w)
 
-    target_text = F.when(F.size(st) == 0, F.lit("")).otherwise(
-        F.concat(F.lit("<extra_id_0>"), F.array_join(F.transform(st, run), "")))
-    return staged.withColumns({masked: masked_text, target: target_text}).drop("_st", "_en")
+    def piece(r, k):
+        prev = F.coalesce(F.get(rs, k - 1)["en"], F.lit(0))
+        return F.concat(F.slice(w, prev + 1, r["st"] - prev), F.array(_sentinel(k)),
+                        F.array_repeat(F.lit(""), r["en"] - r["st"] - 1))
+
+    last = F.coalesce(F.get(rs, F.size(rs) - 1)["en"], F.lit(0))
+    tail = F.when(last < n, F.slice(w, last + 1, n - last)).otherwise(F.array().cast("array<string>"))
+    masked_text = F.array_join(F.concat(F.flatten(F.transform(rs, piece)), tail), " ")
+
+    def run(r, k):
+        return F.concat(F.lit(" "), F.array_join(F.slice(w, r["st"] + 1, r["en"] - r["st"]), " "), F.lit(" "),
+                        _sentinel(k + 1))
+
+    target_text = F.when(F.size(rs) == 0, F.lit("")).otherwise(
+        F.concat(F.lit("<extra_id_0>"), F.array_join(F.transform(rs, run), "")))
+    return df.withColumns({masked: masked_text, target: target_text})
+
+
+def protect_positions(mask: Column, protect: Column) -> Column:
+    """Unmask listed word positions; indices outside the text are ignored."""
+    return F.transform(mask, lambda m, i: m & ~F.coalesce(F.array_contains(protect, i), F.lit(False)))
+
+
+def with_encoding(df: DataFrame, words: str, mask: str, masked: str = "masked", target: str = "target") -> DataFrame:
+    """Sentinel encoding of a boolean ``mask`` over ``words`` (see ``render_runs``)."""
+    return render_runs(with_mask_runs(df, mask, "_runs"), words, "_runs", masked, target).drop("_runs")
 
 
 def encode_sentinels(df: DataFrame, words: str, mask: str) -> DataFrame:

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revisio.functions.text import WS_CLASS, strip, words
 
@@ -60,10 +61,13 @@ def _gram_entry(n: int, side: int):
 
 
 def _gram_counts(df: DataFrame, hyp: Column, ref: Column, orders: Sequence[int], row_id: str) -> DataFrame:
-    """(row_id, n, gram, c_h, c_r): one explode, one partial aggregate.
+    """(row_id, n, gram, c_h, c_r): one explode, one local aggregate.
     Every row also yields a marker entry (n = 0) so rows with no n-grams
     still appear."""
-    base = df.select(F.col(row_id).alias("row_id"), hyp.alias("_h"), ref.alias("_r"))
+    # Co-locate each row's text once (hash on row_id); the per-gram and
+    # per-row aggregates below then need no exchange: the shuffle moves text,
+    # not the ~4x2 n-gram copies of it.
+    base = df.select(F.col(row_id).alias("row_id"), hyp.alias("_h"), ref.alias("_r")).repartition("row_id")
     items = [F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("g"), F.lit(0).alias("s")))]
     for n in orders:
         for side, col in ((1, "_h"), (2, "_r")):
@@ -134,7 +138,7 @@ def _lcs(a, b) -> int:
     return len(b) - bin(v).count("1")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _rouge_l_f(h: pd.Series, r: pd.Series) -> pd.Series:
     out = np.zeros(len(h))
     for k, (a, b) in enumerate(zip(h, r)):

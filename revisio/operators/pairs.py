@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from revisio.functions.rng import h, randint
 from revisio.functions.text import materialize, words
 from revisio.operators.diff import full_diff_mask
-from revisio.operators.masks import (VARIANT, empty_variants, full_diff_variant, protect_positions,
-                                     random_span_variants, single_run_variants, variant_mask, with_encoding)
+from revisio.operators.masks import (RUN, VARIANT, full_diff_variant, protect_positions, random_span_variants,
+                                     render_runs, single_run_variants, variant_mask, with_mask_runs)
 
 
 
@@ -56,25 +56,36 @@ def simple_pairs(df: DataFrame, prompts: Sequence[str], times: int = 1, seed: in
 
 
 def mask_variants(n: Column, full: Optional[Column], mask_sample_size: int, diff: bool,
-                  seed: int, stream: str, row_id: Column) -> Column:
+                  seed: int, stream: str, row_id: Column, full_runs: Optional[Column] = None) -> Column:
     """All mask variants of one row: the full difference mask and up to two
     single runs (``diff``), then ``mask_sample_size`` random span sets.
     ``n`` and ``full`` must be cheap: sizes / materialised columns (a Python
     UDF result cannot be used inside a higher-order function anyway)."""
     parts = []
     if diff:
-        parts.append(full_diff_variant(full))
+        parts.append(full_diff_variant(full_runs))
         parts.append(single_run_variants(full, n, seed, stream, row_id))
     parts.append(random_span_variants(n, mask_sample_size, seed, stream, row_id))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
-def _masked_rows(ex: DataFrame, protect: bool) -> DataFrame:
-    """Exploded variants (``_v``) -> rows with ``masked`` / ``target``."""
-    mask = variant_mask(F.col("_v"), F.size("_w"))
+def _with_diff(base: DataFrame) -> DataFrame:
+    """Difference mask (Arrow UDF, once per row) and its runs."""
+    base = base.withColumn("_full", full_diff_mask(F.col("_w"), words(F.col("_in"))))
+    return with_mask_runs(base, "_full", "_fruns")
+
+
+def _render(ex: DataFrame, runs: Column, protect: bool) -> DataFrame:
+    """Exploded variants -> ``masked`` / ``target`` from their runs; with
+    protected positions the runs are recomputed from the adjusted mask."""
     if protect:
-        mask = protect_positions(mask, F.col("_protect"))
-    return with_encoding(materialize(ex, {"_mask": mask}), "_w", "_mask")
+        mask = protect_positions(F.transform(F.sequence(F.lit(0), F.size("_w") - 1),
+                                             lambda i: F.exists(runs, lambda r: (i >= r["st"]) & (i < r["en"]))),
+                                 F.col("_protect"))
+        ex = with_mask_runs(materialize(ex, {"_pm": F.when(F.size("_w") > 0, mask)
+                                             .otherwise(F.array().cast("array<boolean>"))}), "_pm", "_runs")
+        return render_runs(ex, "_w", "_runs").drop("_pm", "_runs")
+    return render_runs(materialize(ex, {"_runs": runs}), "_w", "_runs").drop("_runs")
 
 
 def masked_pairs(df: DataFrame, prompts: Sequence[str], mask_sample_size: int = 4, diff: bool = False,
@@ -89,11 +100,11 @@ def masked_pairs(df: DataFrame, prompts: Sequence[str], mask_sample_size: int =
     base = df.select(rid.alias("row_id"), F.col(inp).alias("_in"), words(out).alias("_w"),
                      *([F.col(protect).alias("_protect")] if protect else []))
     if diff:
-        base = base.withColumn("_full", full_diff_mask(F.col("_w"), words(F.col("_in"))))
+        base = _with_diff(base)
     variants = mask_variants(F.size("_w"), F.col("_full") if diff else None, mask_sample_size, diff,
-                             seed, stream, F.col("row_id"))
+                             seed, stream, F.col("row_id"), F.col("_fruns") if diff else None)
     ex = base.select("row_id", "_in", "_w", *(["_protect"] if protect else []), F.explode(variants).alias("_v"))
-    enc = _masked_rows(ex, bool(protect)).withColumn("variant", F.col("_v.variant"))
+    enc = _render(ex, F.col("_v.runs"), bool(protect)).withColumn("variant", F.col("_v.variant"))
     prompt = pick_prompt(prompts, seed, stream, F.col("row_id"), "mp", F.col("variant"))
     return enc.select(
         "row_id",
@@ -126,10 +137,8 @@ def no_edit_pairs(df: DataFrame, prompts: Sequence[str], cap: int = 5000, seed:
     specs = random_span_variants(F.size("_w"), mask_sample_size, seed, stream, F.col("row_id"))
     mask_idx = F.substring(F.col("_k"), 2, 10).cast("int")
     is_simple = F.col("_k") == "s0"
-    top = top.withColumn("_v", F.when(is_simple, F.lit(None).cast(VARIANT))
-                         .otherwise(F.element_at(specs, mask_idx + 1)))
-    enc = with_encoding(materialize(top, {"_mask": F.when(is_simple, F.array().cast("array<boolean>"))
-                                          .otherwise(variant_mask(F.col("_v"), F.size("_w")))}), "_w", "_mask")
+    runs = F.when(is_simple, F.array().cast(RUN)).otherwise(F.element_at(specs, mask_idx + 1)["runs"])
+    enc = render_runs(materialize(top, {"_runs": runs}), "_w", "_runs")
     simple_prompt = sample_prompts(prompts, 1, seed, stream, F.col("row_id"))[0]
     prompt_m = pick_prompt(prompts, seed, stream, F.col("row_id"), "mp", F.col("_k"))
     return enc.select(
@@ -190,23 +199,21 @@ def edit_pairs(df: DataFrame, prompts: Sequence[str], repeat: int = 1, mask_samp
     base = df.select(rid.alias("row_id"), F.col(inp).alias("_in"), F.col(out).alias("_out"),
                      words(out).alias("_w"), *([F.col(protect).alias("_protect")] if protect else []))
     if diff:
-        base = base.withColumn("_full", full_diff_mask(F.col("_w"), words(F.col("_in"))))
+        base = _with_diff(base)
     r = F.col("row_id")
     plain = F.transform(sample_prompts(prompts, repeat, seed, stream, r),
                         lambda p, j: F.struct(F.concat(F.lit("s"), j.cast("string")).alias("variant"),
                                               p.alias("prompt"), F.lit(None).cast(VARIANT).alias("spec")))
-    masks = mask_variants(F.size("_w"), F.col("_full") if diff else None, mask_sample_size, diff, seed, stream, r)
+    masks = mask_variants(F.size("_w"), F.col("_full") if diff else None, mask_sample_size, diff, seed, stream, r,
+                          F.col("_fruns") if diff else None)
     masked = F.transform(masks, lambda v: F.struct(F.concat(F.lit("m"), v["variant"]).alias("variant"),
                                                    F.lit(None).cast("string").alias("prompt"),
                                                    v.alias("spec")))
     ex = base.select("row_id", "_in", "_out", "_w", *(["_protect"] if protect else []),
                      F.explode(F.concat(plain, masked)).alias("_x"))
     is_plain = F.col("_x.spec").isNull()
-    mask = variant_mask(F.col("_x.spec"), F.size("_w"))
-    if protect:
-        mask = protect_positions(mask, F.col("_protect"))
-    ex = materialize(ex, {"_mask": F.when(is_plain, F.array().cast("array<boolean>")).otherwise(mask)})
-    enc = with_encoding(ex, "_w", "_mask")
+    runs = F.when(is_plain, F.array().cast(RUN)).otherwise(F.col("_x.spec.runs"))
+    enc = _render(ex, runs, bool(protect))
     mprompt = pick_prompt(prompts, seed, stream, r, "mp", F.substring(F.col("_x.variant"), 2, 10))
     return enc.select(
         "row_id",

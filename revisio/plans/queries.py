@@ -12,13 +12,13 @@ from typing import Callable, Dict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revisio.functions.text import words
+from revisio.functions.text import materialize, words
 from revisio.operators import filters as FL
 from revisio.operators import order as O
 from revisio.operators import projections as P
 from revisio.operators.diff import diff_opcodes
 from revisio.operators.masks import (full_diff_variant, positions, protect_positions, random_span_variants,
-                                     single_run_variants, variant_mask, with_encoding)
+                                     render_runs, single_run_variants, variant_mask, with_encoding)
 from revisio.operators.pairs import (alternatives_unpivot, edit_pairs, masked_pairs, no_edit_pairs,
                                      sample_prompts, simple_pairs, span_annotated_pairs)
 from revisio.sources import standins as S
@@ -266,13 +266,13 @@ def q_mask_protect_words(spark, sf):
 
 @query("encode_sentinels")
 def q_encode_sentinels(spark, sf):
-    ex = _random_variants(spark, sf).withColumn("_mask", variant_mask(F.col("_v"), F.size("_w")))
-    return with_encoding(ex, "_w", "_mask").select("row_id", F.col("_v.variant").alias("variant"), "masked")
+    ex = materialize(_random_variants(spark, sf), {"_runs": F.col("_v.runs")})
+    return render_runs(ex, "_w", "_runs").select("row_id", F.col("_v.variant").alias("variant"), "masked")
 
 
 @query("encode_targets")
 def q_encode_targets(spark, sf):
-    ex = _random_variants(spark, sf).withColumn("_mask", variant_mask(F.col("_v"), F.size("_w")))
+    ex = materialize(_random_variants(spark, sf), {"_mask": variant_mask(F.col("_v"), F.size("_w"))})
     return with_encoding(ex, "_w", "_mask").select("row_id", F.col("_v.variant").alias("variant"), "target")
 
 
@@ -597,3 +597,16 @@ def q_read_files(spark, sf):
     schema = "row_id string, input string, output string"
     from pyspark.sql.types import _parse_datatype_string
     return read_files(spark, {"train": train, "validation": val}, _parse_datatype_string(schema))
+
+
+@query("build_all")
+def q_build_all(spark, sf):
+    """Every enabled recipe of the default config, written and read back."""
+    import os
+    from revisio.plans.recipes import build_all
+    from revisio.sources.config import load_recipe_config
+    cfg = load_recipe_config(os.path.join(os.path.dirname(os.path.dirname(__file__)), "resources", "recipes.yaml"))
+    corpora = {k: CORPUS[k](spark, sf) for k, _ in cfg}
+    out = _scratch(spark, "build_all")
+    paths = build_all(cfg, corpora, catalogue(), out, SEED)
+    return spark.read.parquet(*paths).select("row_id", "variant", "input", "output", "type", "from")

@@ -215,3 +215,18 @@ def mixture(frames: Sequence[DataFrame], seed: int = 0, shuffle: Optional[str] =
     for f in frames[1:]:
         out = out.unionByName(f)
     return _shuffle(out, seed, shuffle)
+
+
+def build_all(config: Sequence, corpora: Mapping[str, DataFrame], catalogue: Mapping[str, List[str]],
+              out_dir: str, seed: int = 0) -> List[str]:
+    """Generate and write every enabled recipe (``config`` as returned by
+    ``load_recipe_config``) to ``out_dir/<key>`` (one folder per recipe, so
+    recipes on one source never collide). Returns the written paths."""
+    from revisio.sources.sinks import write_corpus
+    paths = []
+    for key, opts in config:
+        recipe = RECIPES[key].with_options(**opts)
+        path = f"{out_dir.rstrip('/')}/{key}"
+        write_corpus(generate(recipe, corpora[key], catalogue, seed, shuffle=None), path, seed=seed)
+        paths.append(path)
+    return paths

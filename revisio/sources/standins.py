@@ -40,7 +40,12 @@ def split_of(doc_id: Column) -> Column:
 
 def related_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as (row_id, split, doc_id, text, edited)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return related_from(table(spark, sf_dir, "documents"))
+
+
+def related_from(documents: DataFrame) -> DataFrame:
+    """Row-local, so it also accepts a streaming ``documents`` source."""
+    d = documents.select("doc_id", "text")
     d = d.select(F.col("doc_id").cast("string").alias("row_id"), split_of(F.col("doc_id")).alias("split"),
                  "doc_id", "text")
     return materialize(d, {"edited": edited_text(F.col("doc_id"), F.col("text"))})
