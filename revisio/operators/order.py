@@ -123,3 +123,25 @@ def train_fraction(df: DataFrame, fraction: float, seed: int, row_id: str = "row
         return df.filter(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") < int(fraction * (1 << 32)))
     ranked = hash_rank(df, key, (row_id,), rank_col="_tr", total_col="_total")
     return ranked.filter(F.col("_tr") < F.floor(F.lit(float(fraction)) * F.col("_total"))).drop("_tr", "_total")
+
+
+def hash_top_k(df: DataFrame, hex_key: str, tiebreak: Sequence[str], k: int, digits: int = 4) -> DataFrame:
+    """The ``k`` rows with the smallest uniform hex key, exactly, with no
+    single-reducer merge.
+
+    ``orderBy().limit(k)`` sends every task's local top ``k`` to one reducer
+    (tasks x k rows). Here the key's first ``digits`` hex digits form
+    buckets; their sizes (a partial aggregate; at most 16^digits rows, a
+    proven bound) give each bucket's offset; buckets starting past ``k`` are
+    dropped map-side by a broadcast join, and only the surviving rows (about
+    ``k`` plus one bucket) are shuffled and ranked.
+    """
+    keyed = df.withColumn("_b", F.conv(F.substring(F.col(hex_key), 1, digits), 16, 10).cast("int"))
+    sizes = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")) \
+        .filter(F.col("_base") < k)
+    cand = keyed.join(F.broadcast(offsets), "_b")
+    w = Window.partitionBy("_b").orderBy(F.col(hex_key), *[F.col(c) for c in tiebreak])
+    ranked = cand.withColumn("_rk", F.col("_base") + F.row_number().over(w) - 1)
+    return ranked.filter(F.col("_rk") < k).drop("_b", "_base", "_rk")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revisio.functions.rng import h, randint
+from revisio.operators.order import hash_top_k
 from revisio.functions.text import materialize, words
 from revisio.operators.diff import full_diff_mask
 from revisio.operators.masks import (RUN, VARIANT, full_diff_variant, protect_positions, random_span_variants,
@@ -121,8 +122,9 @@ def no_edit_pairs(df: DataFrame, prompts: Sequence[str], cap: int = 5000, seed:
     output) plus ``mask_sample_size`` random-mask pairs per row, shuffled and
     capped at ``cap`` rows.
 
-    The cap is applied to keys first (``TakeOrderedAndProject``: each task
-    keeps at most ``cap`` rows), and only the surviving rows build text.
+    The cap is exact and distributed (``hash_top_k``: bucket sizes of the
+    uniform sort key decide which rows can be in the first ``cap``; only those
+    are shuffled), and only the surviving rows build text.
     """
     rid = F.col(row_id)
     n = F.size(words(col))
@@ -131,7 +133,7 @@ def no_edit_pairs(df: DataFrame, prompts: Sequence[str], cap: int = 5000, seed:
                      .otherwise(F.array().cast("array<string>")))
     keys = df.select(rid.alias("row_id"), F.col(col).alias("_t"), F.explode(kinds).alias("_k"))
     keys = keys.withColumn("_sk", h(seed, stream, F.col("row_id"), "nx", F.col("_k")))
-    top = keys.orderBy("_sk", "row_id", "_k").limit(cap)
+    top = hash_top_k(keys, "_sk", ("row_id", "_k"), cap)
     # Late materialisation: everything below runs on at most ``cap`` rows.
     top = materialize(top, {"_w": words("_t")})
     specs = random_span_variants(F.size("_w"), mask_sample_size, seed, stream, F.col("row_id"))

@@ -171,9 +171,15 @@ def prepared(recipe: Recipe, corpus: DataFrame) -> DataFrame:
 
 
 def generate(recipe: Recipe, corpus: DataFrame, catalogue: Mapping[str, List[str]], seed: int = 0,
-             shuffle: Optional[str] = "hash") -> DataFrame:
+             shuffle: Optional[str] = "hash", cut_lineage: bool = True) -> DataFrame:
     """All examples of one recipe.
 
+    The prepared corpus feeds the plain/masked pass and both steps of the
+    exact no-edit cap. Its lineage is cut once with ``checkpoint()`` (a
+    reliable copy under ``spark.checkpoint.dir``), so the upstream scan,
+    filters and stand-in derivation run once and a lost executor does not
+    recompute them. ``cut_lineage=False`` keeps the plan fully lazy.
+
     ``shuffle``: ``"hash"`` (default) spreads rows by a seeded key over the
     shuffle partitions and orders each partition by it: a seeded random
     permutation with no range-sampling pass (which would run the whole
@@ -181,6 +187,10 @@ def generate(recipe: Recipe, corpus: DataFrame, catalogue: Mapping[str, List[str
     total order by the key; ``None`` keeps generation order.
     """
     base = prepared(recipe, corpus)
+    if cut_lineage and not base.isStreaming:
+        from revisio.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(base.sparkSession)
+        base = base.checkpoint(eager=True)
     stream = recipe.key
     if recipe.intent is not None:
         out = span_annotated_pairs(base, recipe.intent, catalogue[recipe.group], recipe.repeat, seed,
