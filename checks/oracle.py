@@ -129,7 +129,8 @@ def _():
 
 @oracle("filter_residual_edits")
 def _():
-    return f"SELECT row_id, len(still_need_edit) AS residual FROM {FCE} t WHERE len(still_need_edit) < 2"
+    return (f"SELECT row_id, CAST(len(still_need_edit) AS INTEGER) AS residual FROM {FCE} t "
+            f"WHERE len(still_need_edit) < 2")
 
 
 @oracle("filter_label")
@@ -180,7 +181,8 @@ def _src(x: str, inp="input", out="output") -> str:
 
 @oracle("sample_prompts")
 def _():
-    return f"SELECT row_id, j, prompt FROM {sample_prompts_rows(_src(CONV), CAT['gec'], 3, SEED, 'q')} t"
+    return (f"SELECT row_id, CAST(j AS INTEGER) AS j, prompt FROM "
+            f"{sample_prompts_rows(_src(CONV), CAT['gec'], 3, SEED, 'q')} t")
 
 
 @oracle("simple_pairs")
@@ -497,7 +499,8 @@ def batches(src: str, mode: str, bs: int) -> str:
 
 
 for _mode in ("drop_last", "even", "fixed"):
-    ORACLE[f"assign_batches_{_mode}"] = (f"SELECT row_id, CAST(batch_id AS BIGINT) AS batch_id, pos_in_batch "
+    ORACLE[f"assign_batches_{_mode}"] = (f"SELECT row_id, CAST(batch_id AS BIGINT) AS batch_id, "
+                                         f"CAST(pos_in_batch AS INTEGER) AS pos_in_batch "
                                          f"FROM {batches(DOCS, _mode, 7)} b")
 
 

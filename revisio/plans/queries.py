@@ -609,4 +609,9 @@ def q_build_all(spark, sf):
     corpora = {k: CORPUS[k](spark, sf) for k, _ in cfg}
     out = _scratch(spark, "build_all")
     paths = build_all(cfg, corpora, catalogue(), out, SEED)
-    return spark.read.parquet(*paths).select("row_id", "variant", "input", "output", "type", "from")
+    cols = ["row_id", "variant", "input", "output", "type", "from"]
+    out = None
+    for p in paths:  # one partitioned root per recipe
+        df = spark.read.parquet(p).select(cols)
+        out = df if out is None else out.unionByName(df)
+    return out

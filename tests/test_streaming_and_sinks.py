@@ -43,3 +43,13 @@ def test_prompt_catalogue_layout():
         assert cat[g], g
     for r in RECIPES.values():
         assert r.group in cat and (r.reverse_group is None or r.reverse_group in cat)
+
+
+def test_with_row_id_is_unique_and_stable(spark):
+    from revisio.sources.corpus import with_row_id
+    df = with_row_id(spark.read.parquet(f"{SF_SMALL}/lineitem.parquet"))
+    a = df.select("row_id").distinct().count()
+    assert a == df.count()
+    b = sorted(r.row_id for r in with_row_id(spark.read.parquet(f"{SF_SMALL}/lineitem.parquet"))
+               .repartition(5).select("row_id").collect())
+    assert b == sorted(r.row_id for r in df.select("row_id").collect())
