@@ -648,3 +648,9 @@ def _():
 def _():
     return (f"SELECT row_id, input, output, CASE WHEN CAST(split_part(row_id, ':', 1) AS INTEGER) % 2 = 0 "
             f"THEN 'train' ELSE 'validation' END AS split FROM {CONV} c")
+
+
+@oracle("assign_prompts")
+def _():
+    sp = sample_prompts_rows(_src(CONV), CAT["formality"], 2, SEED, "j1")
+    return f"SELECT row_id, string_agg(prompt, ' | ' ORDER BY j) AS prompts FROM {sp} t GROUP BY row_id"

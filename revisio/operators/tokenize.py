@@ -30,6 +30,11 @@ def build_vocab(df: DataFrame, cols: Sequence[str], size: int = 32000) -> DataFr
         t = df.select(F.explode(words(c)).alias("token"))
         toks = t if toks is None else toks.unionByName(t)
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    # The ranking reads the counts three times (range bounds, partition
+    # sizes, rows); cut lineage once so the corpus is exploded and counted once.
+    from revisio.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = counts.checkpoint(eager=True)
     ranked = ordered_rank(counts, [F.col("count").desc(), F.col("token")], rank_col="_r")
     return ranked.filter(F.col("_r") < size - SPECIALS).select("token", "count", (F.col("_r") + SPECIALS)
                                                                 .cast("int").alias("id"))

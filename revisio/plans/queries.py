@@ -156,8 +156,9 @@ def q_filter_split(spark, sf):
 def q_pair_predictions(spark, sf):
     """Prediction i meets reference i by key: an equi-join on row_id."""
     d = S.table(spark, sf, "documents").select("doc_id", "text")
-    preds = d.select(F.col("doc_id").cast("string").alias("row_id"),
-                     S.edited_text(F.col("doc_id"), F.col("text")).alias("prediction"))
+    preds = materialize(d, {"_tw": words("text")})
+    preds = preds.select(F.col("doc_id").cast("string").alias("row_id"),
+                         S.edited_text(F.col("doc_id"), F.col("_tw")).alias("prediction"))
     refs = d.select(F.col("doc_id").cast("string").alias("row_id"), F.col("text").alias("reference"))
     return preds.join(refs, "row_id", "inner")
 
@@ -615,3 +616,12 @@ def q_build_all(spark, sf):
         df = spark.read.parquet(p).select(cols)
         out = df if out is None else out.unionByName(df)
     return out
+
+
+@query("assign_prompts")
+def q_assign_prompts(spark, sf):
+    """Rows x the recipe's prompt group, keep a sample per row: the group is
+    a literal array, so this needs no join (and no cross product)."""
+    c = S.conversation_pairs(spark, sf)
+    return c.select("row_id", F.array_join(sample_prompts(catalogue()["formality"], 2, SEED, "j1", F.col("row_id")),
+                                           " | ").alias("prompts"))

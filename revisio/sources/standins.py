@@ -23,14 +23,15 @@ def _key(*parts) -> Column:
     return F.md5(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
 
 
-def edited_text(doc_id: Column, text: Column) -> Column:
-    """A related text: word i is dropped when ``u32(edit|doc|i) % 10 == 0``
-    and doubled when it is 1; words are re-joined with single spaces."""
-    def tok(x, i):
-        r = u32(_key("edit", doc_id.cast("string"), i.cast("string"))) % 10
-        return (F.when(r == 0, F.array().cast("array<string>"))
-                .when(r == 1, F.array(x, x)).otherwise(F.array(x)))
-    return F.array_join(F.flatten(F.transform(words(text), tok)), " ")
+def edited_text(doc_id: Column, w: Column) -> Column:
+    """A related text from the word array ``w`` (a materialised column): word
+    i is dropped when ``u32(edit|doc|i) % 10 == 0`` and doubled when it is 1;
+    words are re-joined with single spaces. Each draw is computed once."""
+    draws = F.transform(w, lambda x, i: (u32(_key("edit", doc_id.cast("string"), i.cast("string"))) % 10)
+                        .cast("int"))
+    toks = F.zip_with(w, draws, lambda x, r: F.when(r == 0, F.array().cast("array<string>"))
+                      .when(r == 1, F.array(x, x)).otherwise(F.array(x)))
+    return F.array_join(F.flatten(toks), " ")
 
 
 def split_of(doc_id: Column) -> Column:
@@ -48,7 +49,8 @@ def related_from(documents: DataFrame) -> DataFrame:
     d = documents.select("doc_id", "text")
     d = d.select(F.col("doc_id").cast("string").alias("row_id"), split_of(F.col("doc_id")).alias("split"),
                  "doc_id", "text")
-    return materialize(d, {"edited": edited_text(F.col("doc_id"), F.col("text"))})
+    d = materialize(d, {"_tw": words("text")})
+    return materialize(d, {"edited": edited_text(F.col("doc_id"), F.col("_tw"))}).drop("_tw")
 
 
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
