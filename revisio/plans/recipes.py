@@ -156,14 +156,25 @@ RECIPES: Dict[str, Recipe] = {r.key: r for r in [
 ]}
 
 
-def prepared(recipe: Recipe, corpus: DataFrame) -> DataFrame:
-    """Filter, project and subset a corpus: ``(row_id, input, output)``."""
+def _cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint under the session's ``spark.checkpoint.dir``."""
+    from revisio.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def prepared(recipe: Recipe, corpus: DataFrame, cut_lineage: bool = False) -> DataFrame:
+    """Filter, project and subset a corpus: ``(row_id, input, output)``.
+    The exact subset reads its input twice (bucket sizes, then rows); with
+    ``cut_lineage`` that input is checkpointed first."""
     df = corpus.filter(F.col("split").isin(list(recipe.splits)))
     if recipe.type_filter:
         col, val = recipe.type_filter
         df = df.filter(F.col(col) == F.lit(val))
     base = recipe.prepare(df)
     if recipe.fraction is not None:
+        if cut_lineage and not base.isStreaming:
+            base = _cut(base)
         base = train_fraction(base, recipe.fraction, recipe.fraction_seed)
     if recipe.expand is not None:
         base = recipe.expand(base)
@@ -186,11 +197,9 @@ def generate(recipe: Recipe, corpus: DataFrame, catalogue: Mapping[str, List[str
     upstream plan, difference UDF included, a second time); ``"sort"`` is a
     total order by the key; ``None`` keeps generation order.
     """
-    base = prepared(recipe, corpus)
+    base = prepared(recipe, corpus, cut_lineage)
     if cut_lineage and not base.isStreaming:
-        from revisio.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(base.sparkSession)
-        base = base.checkpoint(eager=True)
+        base = _cut(base)
     stream = recipe.key
     if recipe.intent is not None:
         out = span_annotated_pairs(base, recipe.intent, catalogue[recipe.group], recipe.repeat, seed,
