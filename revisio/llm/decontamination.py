@@ -121,10 +121,10 @@ def find_hits(docs: DataFrame, windows: DataFrame, shingle: int = SHINGLE, max_b
             candidates = narrow.join(own.select("wid", "sh", "at", F.size("w").alias("size")), "sh") \
                 .filter((begin >= 0) & (begin + F.col("size") <= F.col("_n"))) \
                 .select("doc_id", "_th", begin.alias("start"), "size", "wid").distinct()
-            whole = keyed.dropDuplicates(["doc_id", "_th"])
-            same = candidates["doc_id"].eqNullSafe(whole["doc_id"]) & (candidates["_th"] == whole["_th"])
-            hits.append(candidates.join(whole, same).drop(whole["doc_id"]).drop(whole["_th"])
-                        .select(candidates["doc_id"], candidates["_th"], "start", "size", "wid", F.slice("_words", F.col("start") + 1, F.col("size")).alias("_there"))
+            whole = keyed.dropDuplicates(["doc_id", "_th"]).select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t"), "_words")
+            there = F.slice("_words", F.col("start") + 1, F.col("size"))
+            hits.append(candidates.join(whole, candidates["doc_id"].eqNullSafe(whole["_d"]) & (candidates["_th"] == whole["_t"]))
+                        .select("doc_id", "_th", "start", "size", "wid", there.alias("_there"))
                         .join(own.select("wid", "w"), "wid").filter(F.col("_there") == F.col("w"))
                         .select("doc_id", "_th", "start", "size", "wid"))
     return _union(hits)
@@ -185,7 +185,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = contamination(docs, benchmark)
     n = _word_count(docs["text"].cast("string"))
     found = found.select(F.col("doc_id").alias("_d"), "_th", F.col("n_hit").alias("_hit"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_th")) & _is_contaminated(F.col("_hit"), n), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_d"]) & (F.xxhash64(docs["text"]) == found["_th"])
+                     & _is_contaminated(found["_hit"], n), "left_anti")
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ def _rarity(docs: DataFrame, size: int) -> np.ndarray:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
             texts = batch.column(0)
-            for a, b in blocks(texts.to_pylist()):
+            for a, b in blocks(texts):
                 sets = shingle_sets(texts.slice(a, b - a).to_pylist(), size)
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
         at = np.flatnonzero(counts)
@@ -88,7 +88,7 @@ def _members(docs: DataFrame, size: int, percent: int) -> DataFrame:
         seen = rarity.value
         for batch in batches:
             texts = batch.column(2)
-            for a, b in blocks(texts.to_pylist()):
+            for a, b in blocks(texts):
                 sets = shingle_sets(texts.slice(a, b - a).to_pylist(), size)
                 prefix, ranges = [], []
                 for s in sets:
@@ -112,7 +112,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(0)
-            for a, b in blocks(column.to_pylist()):
+            for a, b in blocks(column):
                 sets = shingle_sets(column.slice(a, b - a).to_pylist(), size)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
@@ -244,8 +244,8 @@ def keep_one(docs: DataFrame, size: int, percent: int) -> DataFrame:
         return docs["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_th"])
 
     once = docs.join(gone, same(gone), "left_anti").join(again, same(again), "left_anti")
-    key = F.xxhash64(F.col("text"))
-    repeated = docs.join(again, same(again), "left_semi").withColumn("_th", key).dropDuplicates(["doc_id", "_th"]).drop("_th")
+    repeated = docs.join(again, same(again), "left_semi").withColumn("__llm_th", F.xxhash64("text")) \
+        .dropDuplicates(["doc_id", "__llm_th"]).drop("__llm_th")
     return once.unionByName(repeated)
 
 

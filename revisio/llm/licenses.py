@@ -119,47 +119,43 @@ _ARTICLE = maybe("the", "a", "an", "version of the")
 _SEE = one_of("see", "read", "refer to", "consult", "a copy of", "copy of")
 
 
+# Words that point to a license without the word "license" beside them: each is
+# a necessary part of the names that hold it, and rare in ordinary text.
+TELLING = ("gpl", "apache", "cc by", "cc0", "cc zero", "creative commons", "public domain", "wtfpl", "unlicense", "eupl", "cddl")
+OTHER = {"all rights reserved": "copyright", "copyright notice": "copyright",
+         "without warranty of any kind": "no-warranty", "without any warranty": "no-warranty"}
+
+
 def signatures() -> list[Signature]:
-    """All rules, in order: five sentence forms for each license, then generic ones."""
+    """All rules, in order: the contract's phrases, then up to four sentence
+    forms for each license name, its tags, and a few general notices. Names
+    that are ordinary words need "license" beside them in every form."""
     out = [Signature(seq(p), seq(p), label, 2, 1.0, True) for p, label in BASE_PHRASES.items()]
     for label, (names, versions, tags) in LICENSES.items():
-        keyword = {n: seq(n) for n in names}
         for name in names:
-            body = seq(name)
-            need = (maybe("license", "licence", "public license") + maybe("version", "v", "agreement version") + one_of(*versions, *[f"v{v}" for v in versions])
-                    if versions else maybe("license", "licence"))
-            full = (_LICENSE + maybe("version", "v") + one_of(*versions, *[f"v{v}" for v in versions])
-                    if versions else _LICENSE)
-            rules = [(_GRANT + _UNDER + _ARTICLE + body + need, 1, 1.0),
-                     (body + full, 2, 0.9),
-                     (_SEE + _ARTICLE + body + need + one_of("for details", "for more details", "for the full text", "text", "file"), 2, 0.8)]
-            if versions:
-                rules.append((body + one_of(*versions, *[f"v{v}" for v in versions]), 3, 0.6))
-            out += [Signature(p, keyword[name], label, prio, w) for p, prio, w in rules]
-        for tag in tags:
-            out.append(Signature(seq("spdx license identifier") + seq(tag), seq(tag), label, 1, 1.0))
-    out += [Signature(seq(p), seq(p), "copyright", 3, 0.3) for p in ("all rights reserved", "copyright notice")]
-    out += [Signature(seq(p), seq(p), "no-warranty", 3, 0.3) for p in ("without warranty of any kind", "without any warranty")]
-    return out
-
-
-# Fixed value: what a text must hold for any rule to match (words may be parted
-# by any run of characters that are not in words).
+            body, telling = seq(name), any(t in name for t in TELLING)
+            word = maybe("license", "licence", "public license") if telling else _LICENSE
+            number = one_of(*versions, *[f"v{v}" for v in versions]) if versions else maybe("4 0", "3 0", "2 5", "2 0", "1 0")
+            named = body + word + maybe("version", "v", "agreement version") + number
+            rules = [(_GRANT + _UNDER + _ARTICLE + named, 1, 1.0),
+                     (body + _LICENSE + maybe("version", "v") + number, 2, 0.9),
+                     (_SEE + _ARTICLE + named + one_of("for details", "for more details", "for the full text", "text", "file"), 2, 0.8)]
+            if telling:
+                rules.append((body + number, 3, 0.6))
+            out += [Signature(p, body, label, prio, w) for p, prio, w in rules]
+        out += [Signature(seq("spdx license identifier") + seq(tag), seq(tag), label, 1, 1.0) for tag in tags]
+    return out + [Signature(seq(p), seq(p), label, 3, 0.3) for p, label in OTHER.items()]
+
+
+# Any run of characters that are not in words.
 _PART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def gate(text: Column) -> Column:
-    """Can any rule match? Necessary for every rule: the words named here are
-    the shortest part that each form and phrase contains."""
-    hints = sorted({first_hint(s) for s in signatures()})
-    return text.rlike("(?i)(?:" + "|".join(h.replace(" ", _PART) for h in hints) + ")")
-
-
-def first_hint(s: Signature) -> str:
-    """A short necessary piece of a rule: its form's fixed word if it has one, else its keyword."""
-    if "license" in s.pattern and (s.pattern.startswith(" spdx ") or s.base or _LICENSE in s.pattern) and " cc " not in s.pattern:
-        return "licen[sc]e"
-    return " ".join(s.keyword.split())
+    """Necessary for any rule to match: every rule holds the word "license" (or
+    its other spelling), one of the telling words, or a general notice."""
+    hints = ["licen[sc]e", *[w.replace(" ", _PART) for w in (*TELLING, *OTHER, *BASE_PHRASES)]]
+    return text.rlike("(?i)(?:" + "|".join(hints) + ")")
 
 
 def spaced(text: Column) -> Column:

@@ -50,3 +50,27 @@ def jaccard_components(rows: list[tuple], size: int, percent: int) -> dict:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+ALNUM_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def contamination(docs: list[tuple], items: list[tuple], size: int = 13) -> list[tuple]:
+    """(doc_id, n_words, n_hit, items) for each document, in order."""
+    windows: dict[tuple, set] = {}
+    for item, text in items:
+        w = ALNUM_WORD.findall(lower_ascii(text or ""))
+        for i in range(max(len(w) - size + 1, 1) if w else 0):
+            windows.setdefault(tuple(w[i:i + size]), set()).add(item)
+    sizes = {len(w) for w in windows}
+    out = []
+    for doc, text in docs:
+        w = ALNUM_WORD.findall(lower_ascii(text or ""))
+        hit, found = set(), set()
+        for k in sizes:
+            for i in range(len(w) - k + 1):
+                if (items_here := windows.get(tuple(w[i:i + k]))) is not None:
+                    hit.update(range(i, i + k))
+                    found |= items_here
+        out.append((doc, len(w), len(hit), sorted(str(x) for x in found)))
+    return out
