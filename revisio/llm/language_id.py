@@ -1,8 +1,8 @@
 """3. Language identification by segmentation-marginalised unigrams.
 
 The vocabulary is fixed and public (the pieces of a sentencepiece model). For
-each language, a piece's probability is learned from the training documents by
-expected counts: one forward-backward pass over all segmentations of each word
+each language, a piece's probability is learned from at most ``MAX_TRAIN``
+training documents (those with the smallest hash of the id) by expected counts: one forward-backward pass over all segmentations of each word
 under a language-neutral prior (a piece's share falls with its number of
 characters), weighted by how often the word occurs in that language. A word's
 probability in a language is the sum over all its segmentations of the product
@@ -38,8 +38,12 @@ from revisio.llm.units import blocks
 WORD_CHARS = 32
 #: Longest vocabulary piece that is used.
 PIECE_CHARS = 12
+#: Words whose lattices are held at once.
+GROUP = 1500
 #: Words whose vectors a worker keeps.
-MEMO_LIMIT = 400_000
+MEMO_LIMIT = 800_000
+#: Bound of the training sample, in documents (documented parameter).
+MAX_TRAIN = 20_000
 #: Probability of a character outside the vocabulary; share for unseen pieces.
 UNKNOWN = 1e-7
 SMOOTHING = 0.5
@@ -53,15 +57,15 @@ MARK = "▁"
 
 
 def words_of(text: str) -> list[str]:
-    """Letter runs, lower-cased, marked as word beginnings, at most WORD_CHARS long each."""
-    out = []
-    for w in _LETTERS.findall(text.lower()):
-        if len(w) <= WORD_CHARS:
-            out.append(MARK + w)
-        else:
-            out.append(MARK + w[:WORD_CHARS])
-            out += [w[i:i + WORD_CHARS] for i in range(WORD_CHARS, len(w), WORD_CHARS)]
-    return out
+    """Letter runs, lower-cased."""
+    return _LETTERS.findall(text.lower())
+
+
+def parts_of(word: str) -> list[str]:
+    """A word as the lattice sees it: marked as a beginning, in parts of at most WORD_CHARS."""
+    if len(word) <= WORD_CHARS:
+        return [MARK + word]
+    return [MARK + word[:WORD_CHARS], *(word[i:i + WORD_CHARS] for i in range(WORD_CHARS, len(word), WORD_CHARS))]
 
 
 def load_pieces(path: str) -> dict[str, int]:
@@ -79,21 +83,36 @@ class Lattice:
     def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary = vocabulary
         self.size = len(vocabulary)
+        # Beginnings of pieces that are not pieces themselves: where to go on looking.
+        self.reach: dict[str, int] = {p[:k]: -1 for p in vocabulary for k in range(1, len(p))} | vocabulary
 
-    def edges(self, words: list[str]) -> np.ndarray:
+    def edges(self, words) -> np.ndarray:
         """[word, end, length - 1] -> piece, -1 for none, ``size`` for an unknown character."""
         n = max(map(len, words))
         out = np.full((len(words), n + 1, PIECE_CHARS), -1, dtype=np.int32)
-        get, unknown = self.vocabulary.get, self.size
+        get, unknown = self.reach.get, self.size
+        across, deep = n + 1, PIECE_CHARS
+        at: list[int] = []
+        found: list[int] = []
+        put, name = at.append, found.append
         for r, w in enumerate(words):
-            row = out[r]
-            for j in range(1, len(w) + 1):
-                for k in range(1, min(PIECE_CHARS, j) + 1):
-                    p = get(w[j - k:j])
-                    if p is not None:
-                        row[j, k - 1] = p
-                    elif k == 1:
-                        row[j, 0] = unknown
+            size = len(w)
+            for i in range(size):
+                end = (r * across + i + 1) * deep
+                p = get(w[i])
+                put(end)
+                if p is None:
+                    name(unknown)
+                    continue
+                name(p if p >= 0 else unknown)
+                for k in range(1, min(deep, size - i)):
+                    p = get(w[i:i + k + 1])
+                    if p is None:
+                        break
+                    if p >= 0:
+                        put(end + k * (deep + 1))
+                        name(p)
+        out.reshape(-1)[at] = found
         return out
 
     @staticmethod
@@ -102,8 +121,9 @@ class Lattice:
         rows, ends, _ = edges.shape
         alpha = np.zeros((rows, ends, prob.shape[1]))
         alpha[:, 0] = 1.0
+        used = (edges >= 0).any(axis=0)
         for j in range(1, ends):
-            for k in range(1, min(PIECE_CHARS, j) + 1):
+            for k in np.flatnonzero(used[j, :j]) + 1:
                 alpha[:, j] += alpha[:, j - k] * prob[edges[:, j, k - 1]]
         return alpha
 
@@ -111,14 +131,17 @@ class Lattice:
 def _groups(words: list[str]) -> Iterator[list[str]]:
     """Words of like length together, a bounded number at a time."""
     words = sorted(words, key=len)
-    for at in range(0, len(words), 1500):
-        yield words[at:at + 1500]
+    for at in range(0, len(words), GROUP):
+        yield words[at:at + GROUP]
 
 
 def expected_counts(lattice: Lattice, counts: list[tuple[str, np.ndarray]], prior: np.ndarray) -> np.ndarray:
     """[piece, language]: expected uses under ``prior`` (one column), times the words' counts."""
     out = np.zeros((lattice.size + 2, len(counts[0][1]) if counts else 0))
-    by_word = dict(counts)
+    by_word: dict[str, np.ndarray] = {}
+    for word, n in counts:
+        for part in parts_of(word):
+            by_word[part] = by_word.get(part, 0) + n
     for words in _groups(list(by_word)):
         edges = lattice.edges(words)
         alpha = lattice.forward(edges, prior)[:, :, 0]
@@ -137,6 +160,14 @@ def expected_counts(lattice: Lattice, counts: list[tuple[str, np.ndarray]], prio
     return out
 
 
+def sample(train: DataFrame, rows: int = MAX_TRAIN, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
+    """At most ``rows`` rows with a language, those with the smallest hash of the id."""
+    marks = train.select(train[id_col].alias("_id"), train[lang_col].alias("_lang")).filter("_lang is not null").select("_id", F.xxhash64("_id").alias("_h"))
+    share = min(1.0, 1.2 * rows / max(1, marks.count()))
+    marks = marks.filter(F.col("_h").cast("double") / 2.0**64 + 0.5 <= share).orderBy("_h", "_id").limit(rows).select("_id").distinct()
+    return train.join(F.broadcast(marks), train[id_col] == marks["_id"], "left_semi")  # at most ``rows`` ids
+
+
 def learn(train: DataFrame, piece_path: str, lang_col: str = "lang", text_col: str = "text") -> dict:
     """The model: languages and a [piece, language] table, from all of ``train``.
 
@@ -157,7 +188,8 @@ def learn(train: DataFrame, piece_path: str, lang_col: str = "lang", text_col: s
         def emit() -> pa.RecordBatch:
             langs = sorted(found)
             words = sorted(set().union(*found.values()))
-            pairs = [(w, np.array([found[x][w] for x in langs], dtype=float)) for w in words]
+            uses = np.stack([np.fromiter(map(found[x].__getitem__, words), dtype=float, count=len(words)) for x in langs], axis=1)
+            pairs = list(zip(words, uses))
             table = expected_counts(lattice, pairs, prior)[:lattice.size] if pairs else np.zeros((0, 0))
             piece, lang = np.nonzero(table)
             return pa.RecordBatch.from_arrays([pa.array([langs[i] for i in lang], pa.string()), pa.array(piece, pa.int32()),
@@ -165,10 +197,10 @@ def learn(train: DataFrame, piece_path: str, lang_col: str = "lang", text_col: s
 
         for batch in batches:
             langs, column = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in blocks(column.to_pylist()):
+            for a, b in blocks(column):
                 for lang, text in zip(langs[a:b], column.slice(a, b - a).to_pylist()):
                     found.setdefault(lang, Counter()).update(words_of(text))
-                if sum(map(len, found.values())) > MEMO_LIMIT // 2:
+                if sum(map(len, found.values())) > MEMO_LIMIT // 4:
                     yield emit()
                     found.clear()
         if found:
@@ -219,14 +251,18 @@ class Scorer:
         if len(self.index) + len(new) > self.limit:
             self.index.clear()
             new = list(words)
-        for group in _groups(new):
+        at = len(self.index)
+        while at + len(new) > len(self.rows):
+            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+        self.rows[at:at + len(new)] = 0
+        parts = [(part, i) for i, w in enumerate(new, at) for part in parts_of(w)]
+        parts.sort(key=lambda x: len(x[0]))
+        for k in range(0, len(parts), GROUP):
+            group, rows = zip(*parts[k:k + GROUP])
             alpha = self.lattice.forward(self.lattice.edges(group), self.prob)
             value = np.log(np.maximum(alpha[np.arange(len(group)), [len(w) for w in group]], 1e-300))
-            at = len(self.index)
-            while at + len(group) > len(self.rows):
-                self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-            self.rows[at:at + len(group)] = value
-            self.index.update(zip(group, range(at, at + len(group))))
+            np.add.at(self.rows, np.array(rows), value)  # a long word has several parts
+        self.index.update(zip(new, range(at, at + len(new))))
 
     def score(self, texts: list[str | None]) -> tuple[list[int], list[float]]:
         """For each text the best language's place (-1: none) and its posterior."""
@@ -265,7 +301,7 @@ def predict(docs: DataFrame, model: dict, held_out: Column, id_col: str = "doc_i
         scorer, langs = _SCORERS[key], [*shared.value["langs"], "und"]
         for batch in batches:
             column = batch.column(2)
-            for a, b in blocks(column.to_pylist()):
+            for a, b in blocks(column):
                 best, score = scorer.score(column.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
                                                   pa.array([langs[i] for i in best], pa.string()), pa.array(score, pa.float64())],
@@ -280,5 +316,5 @@ def op3_language_id(spark, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc32_mod(docs["doc_id"], 4) == 2, F.lit(False))
-    model = learn(docs.filter(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    model = learn(sample(docs.filter(~held_out)), public_tokenizers.path("piece_bpe_32k.model"))
     return predict(docs, model, held_out)

@@ -123,7 +123,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in blocks(batch.column(2).to_pylist()):
+            for a, b in blocks(batch.column(2)):
                 rows = _terms().rows(batch.column(2).slice(a, b - a).to_pylist())
                 at = [np.flatnonzero(r) for r in rows]
                 yield pa.RecordBatch.from_arrays(
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: dict, held_out: Column, threshold: float = THR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in blocks(batch.column(2).to_pylist()):
+            for a, b in blocks(batch.column(2)):
                 s = vote(shared.value, _terms().rows(batch.column(2).slice(a, b - a).to_pylist()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(s, pa.float64()),
                                                   pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -192,7 +192,7 @@ def keep_good(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in blocks(batch.column(at).to_pylist()):
+            for a, b in blocks(batch.column(at)):
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(vote(shared.value, _terms().rows(part.column(at).to_pylist())) >= threshold))
 

@@ -4,8 +4,8 @@ Offline, once: every vocabulary string that is one pre-token by itself is
 encoded alone; those that give one token are *whole*. That is the proof the
 shortcut rests on, since a pre-token's merges depend on nothing but itself. In
 a text, a pre-token that is whole counts 1 without any merging; only the rest
-is merged by the library. Counts of white-space units (one or more pre-tokens)
-are kept in a bounded memo.
+is merged by the library. Counts of pre-tokens and of white-space units
+are kept in bounded memos.
 
 Cases: null text counts as empty (0 bytes, 0 tokens); repeated rows give
 repeated rows; other columns are ignored, whatever their names; an empty table
@@ -13,10 +13,10 @@ gives an empty result; a text of any length is counted whole.
 """
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from revisio.llm.common import on_workers, read_table
@@ -32,65 +32,37 @@ def whole_tokens(tok) -> set[str]:
     and the library encodes it to that one id. Strings that are not valid UTF-8
     by themselves can never be a pre-token and are left to the merges.
     """
-    specials = {t.content for t in tok.get_added_tokens_decoder().values()}
-    names = [s for s in tok.get_vocab(with_added_tokens=False) if s not in specials]
-    texts = [tok.decoder.decode([s]) for s in names]
+    ids = tok.get_vocab(with_added_tokens=False)
+    names = [s for s in ids if s not in {t.content for t in tok.get_added_tokens_decoder().values()}]
     out = set()
     for at in range(0, len(names), 2000):
-        got = tok.encode_batch_fast(texts[at:at + 2000], add_special_tokens=False)
-        for s, e in zip(names[at:at + 2000], got):
-            if e.tokens == [s]:
-                out.add(s)
+        some = names[at:at + 2000]
+        got = tok.encode_batch_fast([tok.decoder.decode([s]) for s in some], add_special_tokens=False)
+        out.update(s for s, e in zip(some, got) if e.ids == [ids[s]])
     return out
 
 
 class Counter(ByteUnits):
     """Counts instead of ids; the same cutting of texts into units."""
 
-    #: One pre-token with its optional space: letters only, which is nearly all text.
-    _WORD = re.compile(r"[A-Za-z]+")
-
     def __init__(self, path: str, limit: int = MEMO_LIMIT):
         super().__init__(path, limit)
         self.shortcut = whole_tokens(self.tok)
         self.merged = 0  # pre-tokens that had to be merged
 
-    def _pieces(self, unit: str) -> list[str]:
-        """Pre-tokens of a unit in the byte alphabet."""
-        bare = unit[1:] if unit[:1] == " " else unit
-        if self._WORD.fullmatch(bare):
-            return ["Ġ" + bare if unit[:1] == " " else bare]
-        return [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(unit)]
+    def _merge(self, part: str) -> int:
+        if part in self.shortcut:
+            return 1
+        self.merged += 1
+        return len(self.tok.model.tokenize(part))
 
     def _encode_many(self, keys: list[str]) -> None:
-        rest, found = {}, []
-        model = self.tok.model
         for k in keys:
             text = k[1:] if k[0] == "\r" else k if k[0] == "\n" else " " + k
-            n, merge = 0, []
-            for p in self._pieces(text):
-                if p in self.shortcut:
-                    n += 1
-                else:
-                    merge.append(p)
-            found.append((k, n, merge))
-            rest.update(dict.fromkeys(merge, 0))
-        for p in rest:
-            rest[p] = len(model.tokenize(p))
-        self.merged += len(rest)
-        for k, n, merge in found:
-            self.memo[k] = n + sum(rest[p] for p in merge)
+            self.memo[k] = sum(self._part(p) for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(text))
 
     def count(self, texts: list[str | None]) -> list[int]:
-        plans, keys = [], set()
-        for t in texts:
-            plan = self._cut(t) if t else []
-            plans.append(plan)
-            if plan is not None:
-                keys.update(plan)
-        if not keys <= self.memo.keys():
-            self._learn(keys)
-        get = self.memo.__getitem__
+        plans, get = self.plans(texts), self.memo.__getitem__
         return [len(self.whole(t)) // 4 if p is None else sum(map(get, p)) for t, p in zip(texts, plans)]
 
 
@@ -114,11 +86,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
         counter = _counter(tokenizer_path)
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
-            for a, b in blocks(column.to_pylist()):
+            for a, b in blocks(column):
                 texts = column.slice(a, b - a).to_pylist()
                 n = counter.count(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
+                    [ids.slice(a, b - a), pc.fill_null(pc.binary_length(column.slice(a, b - a)), 0).cast(pa.int64()),
                      pa.array(n, pa.int64()), pa.array([x > limit for x in n])],
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

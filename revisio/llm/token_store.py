@@ -29,7 +29,7 @@ from revisio.llm.units import ByteUnits, blocks, encoder
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 #: Bytes of text for a file: at about 1.2 stored bytes for each byte of text.
-FILE_CHARS = 64 << 20
+FILE_CHARS = 32 << 20
 
 TOKENS = "doc_id long, ids array<int>, n_tokens int"
 
@@ -43,7 +43,7 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str
         enc = encoder(ByteUnits, tokenizer_path)
         for batch in batches:
             keys, column = batch.column(0), batch.column(1)
-            for a, b in blocks(column.to_pylist()):
+            for a, b in blocks(column):
                 raw = [x + end for x in enc.encode(column.slice(a, b - a).to_pylist())]
                 sizes = np.asarray([len(x) // 4 for x in raw], dtype=np.int32)
                 offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)

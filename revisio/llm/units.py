@@ -15,13 +15,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries of one worker's memo; about 150 bytes each.
-MEMO_LIMIT = 400_000
+#: Units in one worker's memo (and half its pre-tokens); about 150 bytes each.
+MEMO_LIMIT = 300_000
 #: Characters of units that go to the library in one call.
 CALL_CHARS = 200_000
 
@@ -30,12 +32,23 @@ _DISPUTED = re.compile("[\x1c-\x1f]")
 _RUNS = re.compile(r"(\s+)")
 
 
+# The plain unit: Latin letters and then punctuation without apostrophes. It is
+# exactly two pre-tokens (or one) in both tokenizers, which need no cutting by
+# the library; everything else is cut by it.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_LATIN = [c for c in map(chr, range(0xC0, 0x100)) if c not in "×÷"]
+
+
 def _bytes(ids) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
 class _Encoder:
-    """Shared part: the memo, its bound, and encoding of many units in a call."""
+    """Shared part: the memos, their bounds, and encoding of many units in a call.
+
+    ``memo`` holds units, ``parts`` single pre-tokens: a word is merged once,
+    whatever punctuation follows it.
+    """
 
     def __init__(self, path: str, limit: int = MEMO_LIMIT):
         from tokenizers import Tokenizer
@@ -43,21 +56,52 @@ class _Encoder:
         self.tok = Tokenizer.from_file(path)
         self.limit = limit
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict = {}
+        self.parts: dict = {}
+        # Letters beyond ASCII in the tokenizer's byte alphabet.
+        self.alphabet = {ord(c): self.tok.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in _LATIN}
 
     def whole(self, text: str) -> bytes:
         return _bytes(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
+    def _merge(self, part: str):
+        """What is kept for a pre-token: here its ids."""
+        return array("I", [t.id for t in self.tok.model.tokenize(part)]).tobytes()
+
+    def _part(self, part: str):
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) >= 2 * self.limit:
+                self.parts.clear()
+            found = self.parts[part] = self._merge(part)
+        return found
+
+    def _plain(self, text: str, lead: str = ""):
+        """The value of a plain unit's text, or None if it is not one."""
+        m = _PLAIN.fullmatch(text)
+        if m is None:
+            return None
+        word, marks = m.groups()
+        found = self._part(lead + (word if word.isascii() else word.translate(self.alphabet)))
+        return found + self._part(marks) if marks else found
+
     def _learn(self, keys: set[str]) -> None:
         new = [k for k in keys if k not in self.memo]
         if len(self.memo) + len(new) > self.limit:
             self.memo.clear()
             new = list(keys)
+        rest = []
+        for k in new:
+            found = self._quick(k)
+            if found is None:
+                rest.append(k)
+            else:
+                self.memo[k] = found
         at, size = 0, 0
-        for i, k in enumerate(new):
+        for i, k in enumerate(rest):
             size += len(k) + 16
-            if size > CALL_CHARS or i == len(new) - 1:
-                self._encode_many(new[at:i + 1])
+            if size > CALL_CHARS or i == len(rest) - 1:
+                self._encode_many(rest[at:i + 1])
                 at, size = i + 1, 0
 
     def _joined(self, units: list[str], glue: str, glue_id: int) -> list[bytes]:
@@ -75,8 +119,8 @@ class _Encoder:
         out.append(raw[at:])
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers; null is empty."""
+    def plans(self, texts: list[str | None]) -> list[list[str] | None]:
+        """Each text's units, all of them in the memo afterwards; None: encode it whole."""
         plans, keys = [], set()
         for t in texts:
             plan = self._cut(t) if t else []
@@ -85,7 +129,11 @@ class _Encoder:
                 keys.update(plan)
         if not keys <= self.memo.keys():
             self._learn(keys)
-        get = self.memo.__getitem__
+        return plans
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers; null is empty."""
+        plans, get = self.plans(texts), self.memo.__getitem__
         return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, plans)]
 
 
@@ -100,14 +148,15 @@ class ByteUnits(_Encoder):
     def __init__(self, path: str, limit: int = MEMO_LIMIT):
         super().__init__(path, limit)
         self.feed = int(self.tok.encode("\n", add_special_tokens=False).ids[0])
+        self.space, self.line = (self.tok.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in " \n")
 
     def _cut(self, text: str) -> list[str] | None:
         if any(s in text for s in self.specials) or _DISPUTED.search(text):
             return None
-        units = text.replace("\n", " \n").split(" ")
-        if len(units) == len(text.split()):  # single spaces and line feeds only, none at either end
+        if " ".join(text.split()) == text.replace("\n", " "):  # single spaces and line feeds only, none at either end
+            units = text.replace("\n", " \n").split(" ")
             units[0] = "\r" + units[0]
-            return units
+            return units if text else []
         # General: of a run of white space, all but the last character are one
         # pre-token; the last is its own, or joins the word if it is a space.
         parts = _RUNS.split(text)
@@ -126,6 +175,14 @@ class ByteUnits(_Encoder):
                 out += ["\r" + run[-1], "\r" + word]
         return out
 
+    def _quick(self, key: str):
+        if key[0] == "\r":
+            return self._plain(key[1:])
+        if key[0] == "\n":
+            found = self._plain(key[1:])
+            return None if found is None else self._part(self.line) + found
+        return self._plain(key, self.space)
+
     def _encode_many(self, keys: list[str]) -> None:
         spaced = [k for k in keys if k[0] not in "\r\n"]
         fed = [k for k in keys if k[0] == "\n"]
@@ -140,7 +197,7 @@ class ByteUnits(_Encoder):
 
 
 class WordUnits(_Encoder):
-    """BPE with word ends that drops white space: words are independent."""
+    """BPE with word ends that drops white space and case: words are independent."""
 
     def __init__(self, path: str, limit: int = MEMO_LIMIT):
         super().__init__(path, limit)
@@ -150,6 +207,9 @@ class WordUnits(_Encoder):
     def _cut(self, text: str) -> list[str]:
         return text.replace("\n", " ").split(" ")
 
+    def _quick(self, key: str):
+        return self._plain(key.lower()) if key and "<" not in key else None
+
     def _encode_many(self, keys: list[str]) -> None:
         odd = [k for k in keys if not k or any(s in k for s in self.specials)]
         plain = [k for k in keys if k and not any(s in k for s in self.specials)]
@@ -169,12 +229,13 @@ def encoder(kind: type, path: str) -> _Encoder:
 
 
 def blocks(texts, rows: int = 256, chars: int = 2_000_000):
-    """Index ranges of at most ``rows`` texts and about ``chars`` characters."""
+    """Index ranges of at most ``rows`` texts and about ``chars`` bytes of an Arrow column."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(sizes):
+        size += int(n)
         if size >= chars or i + 1 - at >= rows:
             yield at, i + 1
             at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    if at < len(sizes):
+        yield at, len(sizes)

@@ -19,9 +19,19 @@ def test_forward_sums_all_segmentations():
     lattice = L.Lattice(vocabulary)
     got = lattice.forward(lattice.edges(["▁abc", "▁a", "▁axc"]), prob)[:, :, 0]
     unknown = 1e-3
-    assert np.isclose(got[0, 4], .1 * .2 * .15 + .3 * .15 + .1 * .05 + unknown * unknown * 0 if "▁" in vocabulary else
-                      .1 * .2 * .15 + .3 * .15 + .1 * .05 + unknown * (unknown * .2 * .15 + unknown * .05))
+    # "▁" and "a" are no pieces here: each may stand as an unknown character.
+    assert np.isclose(got[0, 4], .1 * .2 * .15 + .3 * .15 + .1 * .05 + unknown * unknown * (.2 * .15 + .05))
     assert np.isclose(got[1, 2], .1 + unknown * unknown)
+    assert np.isclose(got[2, 4], (.1 + unknown * unknown) * unknown * .15)
+
+
+def test_long_words_are_scored_in_parts():
+    assert L.parts_of("ab" * 40) == [L.MARK + "ab" * 16, "ab" * 16, "ab" * 8]
+    model = {"langs": ["x"], "prob": np.array([[.5], [.25], [1e-3], [0]]), "pieces": "none"}
+    L._VOCABULARIES["none"] = {"a": 0, L.MARK: 1}
+    scorer = L.Scorer(model)
+    scorer.score(["a" * 70 + " a"])
+    assert np.isclose(scorer.rows[scorer.index["a" * 70], 0], 70 * np.log(.5) + np.log(.25))
 
 
 def test_expected_counts_by_enumeration():
@@ -33,7 +43,7 @@ def test_expected_counts_by_enumeration():
     for pieces, p in cuts:
         for x in pieces:
             expect[x] += 3 * p / total
-    got = L.expected_counts(L.Lattice(vocabulary), [("▁ab", np.array([3.0]))], prior)[:, 0]
+    got = L.expected_counts(L.Lattice(vocabulary), [("ab", np.array([3.0]))], prior)[:, 0]
     assert np.allclose(got, expect, atol=1e-4)
 
 
