@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +53,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def crc32_mod(c: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n``: the contracts' splits."""
     return F.crc32(c.cast("string").cast("binary")) % F.lit(n)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Rows in an Arrow batch while a job runs: fewer bound the memory that
+    long texts take on both sides of a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

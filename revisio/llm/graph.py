@@ -24,10 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p")), "parents")
-        one, two = parent.select("a", F.col("p").alias("pa")), parent.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        moved = labels.join(parent.select(F.col("a").alias("label"), "p"), "label", "left") \
+        # The labels follow every round's parents; this chain runs once, at the end.
+        labels = labels.join(parent.select(F.col("a").alias("label"), "p"), "label", "left") \
             .select("node", F.coalesce("p", "label").alias("label"))
-        labels = written(moved, "labels")
+        one, two = parent.select("a", F.col("p").alias("pa")), parent.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         edges = written(edges.join(one, "a").join(two, "b").filter("pa <> pb")
                         .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-    return labels
+    return written(labels, "labels")

@@ -12,16 +12,16 @@ link if 100 * |intersection| >= percent * |union|.
    of them.
 3. Classes are joined on prefix shingles. Candidates pass a length filter, a
    positional filter (what may still overlap before and after the shared
-   place), and a suffix filter (counts of the sets' shingles in fixed ranges of
-   the hash bound the overlap from above), and each pair is verified once by
-   intersecting the two sets.
+   place), and a suffix filter: the sets' shingles are dealt into fixed slots
+   by hash, and two sets differ in at least as many shingles as there are slots
+   in which one count is odd and the other even. Each pair that is left is
+   verified once by intersecting the two sets.
 4. Only components are asked for, so pairs inside a component need no further
    look. In a *star* step each prefix shingle's group is compared with one of
    its members only, which joins a large group of near copies with as many
-   pairs as members. Then all remaining candidates between different components
-   are compared, group by group. Star steps repeat while that would still be
-   many pairs; the last step always compares all that is left, so no link is
-   lost at any size.
+   pairs as members. Star steps repeat while many pairs are left and each
+   step takes a good part of them away; the last step always compares all
+   remaining candidates between different components, so no link is lost.
 
 Cases: null, empty and blank texts have empty sets, link with nothing and are
 their own component; repeated rows share a class; ties do not arise (a
@@ -45,12 +45,15 @@ from revisio.llm.shingles import shingle_sets
 from revisio.llm.units import blocks
 
 SKETCH_BITS = 18
-#: Ranges of the hash in which the suffix filter counts.
-RANGES = 32
+#: Slots of the suffix filter: parities in this many 64-bit words.
+PARITY_WORDS = 32
 #: Pairs for each prefix row up to which what is left is compared at once.
 PAIRS_PER_ROW = 2
-#: Star steps at most; after them all that is left is compared, however much.
-MAX_STARS = 4
+#: Share of the pairs left that a star step must take away to be repeated.
+STAR_GAIN = 0.3
+#: Classes whose sets are fetched by a broadcast of their documents' ids (16
+#: bytes each); more are fetched by a shuffle.
+MAX_BROADCAST = 500_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -81,7 +84,7 @@ def _rarity(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _members(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """One row a document: set size, class, prefix in order, and counts by range."""
+    """One row a document: set size, class, prefix in order, and parities."""
     rarity = docs.sparkSession.sparkContext.broadcast(_rarity(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,24 +93,27 @@ def _members(docs: DataFrame, size: int, percent: int) -> DataFrame:
             texts = batch.column(2)
             for a, b in blocks(texts):
                 sets = shingle_sets(texts.slice(a, b - a).to_pylist(), size)
-                prefix, ranges = [], []
+                prefix, parity = [], []
                 for s in sets:
                     order = np.lexsort((s, seen[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
                     prefix.append(s[order[:prefix_length(len(s), percent)]].view(np.int64) if len(s) else s.view(np.int64))
-                    ranges.append(np.bincount((s >> np.uint64(32)).astype(np.int64) % RANGES, minlength=RANGES).astype(np.int32))
+                    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
+                    parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int32()),
                      pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                     pa.array(prefix, pa.list_(pa.int64())), pa.array(ranges, pa.list_(pa.int32()))],
-                    ["doc_id", "th", "n", "sig", "prefix", "ranges"])
+                     pa.array(prefix, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))],
+                    ["doc_id", "th", "n", "sig", "prefix", "parity"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, n int, sig binary, prefix array<long>, ranges array<int>")
+    return docs.mapInArrow(run, "doc_id long, th long, n int, sig binary, prefix array<long>, parity array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``sig, items``: the sorted sets of the classes in ``wanted`` (first_id, first_th, sig), made from one text each."""
-    texts = docs.join(wanted.select("first_id", "first_th"),
-                      docs["doc_id"].eqNullSafe(F.col("first_id")) & (docs["th"] == F.col("first_th")), "left_semi").select("text")
+    wanted = written(wanted.select("first_id", "first_th"), "wanted")
+    if wanted.count() <= MAX_BROADCAST:
+        wanted = F.broadcast(wanted)
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first_id"]) & (docs["th"] == wanted["first_th"]), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,9 +142,9 @@ def _may_link(percent: int, a: str, b: str) -> Column:
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, after the suffix filter and the intersection."""
-    one = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("ranges").alias("ra"))
-    two = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("ranges").alias("rb"))
-    apart = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    one = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("parity").alias("xa"))
+    two = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("xb"))
+    apart = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     # The sets differ in at least ``apart`` shingles, so they share at most half of the others.
     pairs = written(pairs.join(one, "a").join(two, "b")
                     .filter(F.col("na") + F.col("nb") - apart >= 2 * _needed(F.col("na"), F.col("nb"), percent)).select("a", "b"), "pairs")
@@ -169,33 +175,30 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     on_workers(docs.sparkSession)
     docs = _texts(docs)
     members = written(_members(docs, size, percent), "members")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n", "prefix", "ranges")).alias("f")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n", "prefix", "parity")).alias("f")
     classes = written(members.filter("sig is not null").groupBy("sig").agg(first)
-                      .select("sig", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("first_th"), "f.n", "f.prefix", "f.ranges"), "classes")
+                      .select("sig", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("first_th"), "f.n", "f.prefix", "f.parity"), "classes")
     rows = classes.select("sig", "n", F.posexplode("prefix").alias("pos", "shingle"))
     # Only shingles that several classes share can make a pair.
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("shingle")
     rows = written(rows.join(written(shared, "shared"), "shingle", "left_semi"), "prefixes")
     n_rows = rows.count()
-    links, labels, step = None, None, 0
+    links, labels, step, before = None, None, 0, None
     while n_rows:
-        if labels is None:
-            now = rows.withColumn("label", F.col("sig"))
-        else:
+        now, last = rows.withColumn("label", F.col("sig")), False
+        if labels is not None:
             # Shingles whose classes all lie in one component are done.
             now = rows.join(labels, rows["sig"] == labels["node"], "left").drop("node").withColumn("label", F.coalesce("label", "sig"))
             now = written(now, "labelled")
-            open_ = now.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("shingle")
-            now = written(now.join(written(open_, "open"), "shingle", "left_semi"), "open-rows")
-        if labels is not None:
             by = now.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle") \
-                .agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"))
-            left = by.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
-            last = left <= PAIRS_PER_ROW * n_rows or step >= MAX_STARS
+                .agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own")).filter("all * all > own")
+            open_ = written(by.select("shingle", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("left")), "open")
+            left = open_.agg(F.sum("left")).first()[0] or 0
             if not left:
                 break
-        else:
-            last = False
+            last = left <= PAIRS_PER_ROW * n_rows or (before is not None and left > (1 - STAR_GAIN) * before)
+            before = left
+            now = written(now.join(open_.select("shingle"), "shingle", "left_semi"), "open-rows")
         if last:
             two = now.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("sig", "n", "pos", "label")])
             one = now.select("shingle", *[F.col(c).alias(f"a_{c}") for c in ("sig", "n", "pos", "label")])

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revisio.llm.common import new_folder, on_workers, read_table
+from revisio.llm.common import arrow_rows, new_folder, on_workers, read_table
 from revisio.llm.units import ByteUnits, blocks, encoder
 
 #: Bytes of a row group (before compression) and of a data page.
-ROW_GROUP_BYTES = 32 << 20
+ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 #: Bytes of text for a file: at about 1.2 stored bytes for each byte of text.
 FILE_CHARS = 32 << 20
@@ -73,11 +73,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     files = max(1, -(-int(total) // file_chars), spark.sparkContext.defaultParallelism)
     order = [F.col("doc_id").asc_nulls_first(), F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.octet_length("text")]
     dealt = docs.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    token_ids(dealt, tokenizer_path, end_id).write \
-        .option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes) \
-        .option("parquet.dictionary.page.size", page_bytes).option("parquet.writer.version", "v2") \
-        .option("parquet.enable.dictionary", "true").option("compression", "zstd") \
-        .option("maxRecordsPerFile", 0).parquet(path)
+    with arrow_rows(spark, 1000):
+        token_ids(dealt, tokenizer_path, end_id).write \
+            .option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes) \
+            .option("parquet.dictionary.page.size", page_bytes).option("parquet.writer.version", "v2") \
+            .option("parquet.enable.dictionary", "true").option("compression", "snappy") \
+            .option("maxRecordsPerFile", 0).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, columns: tuple[str, ...] = ("doc_id", "ids", "n_tokens")) -> DataFrame:
@@ -95,8 +96,8 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(3)
-            flat, at = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1], at[1:])]
+            flat, at = ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False).view(np.uint8), ids.offsets.to_numpy()
+            crc = [zlib.crc32(flat[4 * a:4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())],
                 ["file", "row", "doc_id", "n_tokens", "ids_crc32"])

@@ -22,13 +22,14 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Units in one worker's memo (and half its pre-tokens); about 150 bytes each.
-MEMO_LIMIT = 300_000
+#: Units in one generation of a worker's memo, and pre-tokens likewise; two
+#: generations of about 170 bytes an entry are held.
+MEMO_LIMIT = 250_000
 #: Characters of units that go to the library in one call.
 CALL_CHARS = 200_000
 
-# Python takes U+001C..U+001F for white space, the tokenizers' patterns do not.
-_DISPUTED = re.compile("[\x1c-\x1f]")
+# Python takes these for white space, the tokenizers' patterns do not.
+_DISPUTED = "\x1c\x1d\x1e\x1f"
 _RUNS = re.compile(r"(\s+)")
 
 
@@ -47,7 +48,8 @@ class _Encoder:
     """Shared part: the memos, their bounds, and encoding of many units in a call.
 
     ``memo`` holds units, ``parts`` single pre-tokens: a word is merged once,
-    whatever punctuation follows it.
+    whatever punctuation follows it. A full memo becomes the older generation,
+    from which entries in use come back; the rest is forgotten with the next.
     """
 
     def __init__(self, path: str, limit: int = MEMO_LIMIT):
@@ -56,8 +58,8 @@ class _Encoder:
         self.tok = Tokenizer.from_file(path)
         self.limit = limit
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.memo: dict = {}
-        self.parts: dict = {}
+        self.memo, self.older = {}, {}
+        self.parts, self.older_parts = {}, {}
         # Letters beyond ASCII in the tokenizer's byte alphabet.
         self.alphabet = {ord(c): self.tok.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in _LATIN}
 
@@ -71,9 +73,12 @@ class _Encoder:
     def _part(self, part: str):
         found = self.parts.get(part)
         if found is None:
-            if len(self.parts) >= 2 * self.limit:
-                self.parts.clear()
-            found = self.parts[part] = self._merge(part)
+            if len(self.parts) >= self.limit:
+                self.parts, self.older_parts = {}, self.parts
+            found = self.older_parts.get(part)
+            if found is None:
+                found = self._merge(part)
+            self.parts[part] = found
         return found
 
     def _plain(self, text: str, lead: str = ""):
@@ -86,13 +91,15 @@ class _Encoder:
         return found + self._part(marks) if marks else found
 
     def _learn(self, keys: set[str]) -> None:
-        new = [k for k in keys if k not in self.memo]
+        new = keys.difference(self.memo)
         if len(self.memo) + len(new) > self.limit:
-            self.memo.clear()
-            new = list(keys)
-        rest = []
+            self.memo, self.older = {}, self.memo
+            new = keys
+        rest, old = [], self.older.get
         for k in new:
-            found = self._quick(k)
+            found = old(k)
+            if found is None:
+                found = self._quick(k)
             if found is None:
                 rest.append(k)
             else:
@@ -151,7 +158,7 @@ class ByteUnits(_Encoder):
         self.space, self.line = (self.tok.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in " \n")
 
     def _cut(self, text: str) -> list[str] | None:
-        if any(s in text for s in self.specials) or _DISPUTED.search(text):
+        if any(s in text for s in self.specials) or any(c in text for c in _DISPUTED):
             return None
         if " ".join(text.split()) == text.replace("\n", " "):  # single spaces and line feeds only, none at either end
             units = text.replace("\n", " \n").split(" ")

@@ -49,10 +49,11 @@ def _near_copies(seed, n):
     return out[:n]
 
 
-@pytest.mark.parametrize("size,percent,stars", [(3, 90, 4), (5, 80, 4), (2, 60, 0)])
-def test_components_by_brute_force(spark, monkeypatch, size, percent, stars):
-    monkeypatch.setattr(J, "MAX_STARS", stars)
-    monkeypatch.setattr(J, "PAIRS_PER_ROW", 0)
+@pytest.mark.parametrize("size,percent,pairs,gain,broadcast", [(3, 90, 2, 0.3, 500_000), (5, 80, 0, 0.01, 0), (2, 60, 10**9, 0.3, 0)])
+def test_components_by_brute_force(spark, monkeypatch, size, percent, pairs, gain, broadcast):
+    monkeypatch.setattr(J, "PAIRS_PER_ROW", pairs)
+    monkeypatch.setattr(J, "STAR_GAIN", gain)
+    monkeypatch.setattr(J, "MAX_BROADCAST", broadcast)
     rows = [(i * 3 % 401, t) for i, t in enumerate(_near_copies(size, 250))] + [(500, None), (501, ""), (502, " \n"), (503, "one"), (504, "ONE")]
     docs = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, sig string, n int").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(docs, size, percent).collect()}
