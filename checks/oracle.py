@@ -70,7 +70,7 @@ def mask_text(c: str) -> str:
 # ---------------------------------------------------------------- sources
 @oracle("read_corpus")
 def _():
-    return f"SELECT * FROM {C4} t"
+    return f"SELECT * FROM {C4} t WHERE split IN ('train', 'validation')"
 
 
 # ------------------------------------------------------------ projections
@@ -108,7 +108,7 @@ def _():
 
 @oracle("resolve_columns")
 def _():
-    return f"SELECT row_id, split, input, simple AS output FROM {WIKI_LARGE} t"
+    return f"SELECT row_id, split, input, simple AS output, unnest(['position', 'map', 'name']) AS way FROM {WIKI_LARGE} t"
 
 
 @oracle("rename_splits")
@@ -221,7 +221,7 @@ def _():
 
 @oracle("alternatives_unpivot")
 def _():
-    return " UNION ALL ".join(f"SELECT row_id || ':{c}' AS row_id FROM {PARADETOX} t WHERE {c} IS NOT NULL"
+    return " UNION ALL ".join(f"SELECT row_id || ':{c}' AS row_id, toxic AS input, {c} AS output FROM {PARADETOX} t WHERE {c} IS NOT NULL"
                               for c in ("neutral1", "neutral2", "neutral3"))
 
 
@@ -287,8 +287,9 @@ def _():
 
 @oracle("slice_rows")
 def _():
-    return ("SELECT * FROM (SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) - 1 AS rank "
-            "FROM conversations) t WHERE rank >= 100 AND rank < 300")
+    key = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+    return (f"SELECT * FROM (SELECT {key}, l_quantity, row_number() OVER (ORDER BY {key}) - 1 AS rank FROM lineitem) t "
+            "WHERE rank >= 40000 AND rank < 40300")
 
 
 @oracle("train_fraction")
@@ -507,9 +508,12 @@ for _mode in ("drop_last", "even", "fixed"):
 @oracle("pad_batches")
 def _():
     b = batches(TOKD, "fixed", 8)
-    inner = (f"(SELECT row_id, CAST(batch_id AS BIGINT) AS batch_id, input_ids, CAST(ceil(max(len(input_ids)) OVER "
-             f"(PARTITION BY batch_id) / 8) * 8 AS INTEGER) AS pad_len FROM {b} x)")
-    return f"SELECT row_id, batch_id, pad_len, {ids(pad('input_ids', 'pad_len'))} AS input_ids FROM {inner} y"
+    longest = "CAST(ceil(max(len({c})) OVER (PARTITION BY batch_id) / 8) * 8 AS INTEGER)"
+    inner = (f"(SELECT row_id, CAST(batch_id AS BIGINT) AS batch_id, input_ids, labels, {longest.format(c='input_ids')} AS pad_len, "
+             f"{longest.format(c='labels')} AS label_len FROM {b} x)")
+    att = pad("list_transform(input_ids, lambda x: 1)", "pad_len")
+    return (f"SELECT row_id, batch_id, pad_len, label_len, {ids(pad('input_ids', 'pad_len'))} AS input_ids, {ids(att)} AS attention_mask, "
+            f"{ids(pad('labels', 'label_len', -100))} AS labels FROM {inner} y")
 
 
 @oracle("batch_plan")

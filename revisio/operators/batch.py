@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revisio.operators.order import hash_rank, shuffle_key
+from revisio.operators.tokenize import attention_mask, pad_to_length
+
+IGNORED = -100  # Fixed value: the label that a loss leaves out.
 
 
 def ranked(df: DataFrame, seed: int, row_id: str = "row_id") -> DataFrame:
@@ -20,35 +23,48 @@ def assign_batches(df: DataFrame, batch_size: int, seed: int, mode: str = "drop_
     """``drop_last``: ``n // bs`` full batches, remainder dropped;
     ``even``: ``ceil(n / bs)`` batches whose sizes differ by at most one,
     larger first; ``fixed``: batches of ``bs``, the last one short.
-    Adds ``batch_id`` and ``pos_in_batch``."""
+    Adds ``batch_id`` and ``pos_in_batch``, both by arithmetic on the rank."""
     r = ranked(df, seed, row_id)
     bs = F.lit(batch_size)
     rank = F.col("rank")
     if mode == "drop_last":
-        out = r.filter(rank < F.floor(F.col("n") / bs) * bs).withColumn("batch_id", F.floor(rank / bs))
+        out = r.filter(rank < F.floor(F.col("n") / bs) * bs).withColumns({"batch_id": F.floor(rank / bs), "pos_in_batch": rank % bs})
     elif mode == "fixed":
-        out = r.withColumn("batch_id", F.floor(rank / bs))
+        out = r.withColumns({"batch_id": F.floor(rank / bs), "pos_in_batch": rank % bs})
     elif mode == "even":
         steps = F.ceil(F.col("n") / bs)
         q = F.floor(F.col("n") / steps)
         rem = F.col("n") - q * steps
         big = rem * (q + 1)
-        out = r.withColumn("batch_id", F.when(rank < big, F.floor(rank / (q + 1)))
-                           .otherwise(rem + F.floor((rank - big) / q)))
+        out = r.withColumns({
+            "batch_id": F.when(rank < big, F.floor(rank / (q + 1))).otherwise(rem + F.floor((rank - big) / q)),
+            "pos_in_batch": F.when(rank < big, rank % (q + 1)).otherwise((rank - big) % q)})
     else:
         raise ValueError(mode)
-    out = out.withColumn("batch_id", F.col("batch_id").cast("long"))
-    return out.withColumn("pos_in_batch", F.row_number().over(Window.partitionBy("batch_id").orderBy("rank")) - 1) \
-        .drop("n")
+    return out.withColumns({"batch_id": F.col("batch_id").cast("long"), "pos_in_batch": F.col("pos_in_batch").cast("int")}).drop("n")
 
 
 def batch_max_length(df: DataFrame, ids_col: str, multiple: Optional[int] = None, out: str = "pad_len") -> DataFrame:
     """Length every row of a batch is padded to: the longest row of the
     batch, rounded up to ``multiple`` (8 for half precision)."""
+    return df.withColumn(out, _longest(ids_col, multiple))
+
+
+def _longest(ids_col: str, multiple: Optional[int]):
     m = F.max(F.size(ids_col)).over(Window.partitionBy("batch_id"))
     if multiple:
         m = F.ceil(m / F.lit(multiple)) * F.lit(multiple)
-    return df.withColumn(out, m.cast("int"))
+    return m.cast("int")
+
+
+def pad_batches(df: DataFrame, multiple: Optional[int] = None) -> DataFrame:
+    """Pad ``input_ids`` with the pad id and ``labels`` with -100, each to its
+    longest row in the batch; adds ``attention_mask``, ``pad_len`` and
+    ``label_len``. One window by batch serves both."""
+    df = df.withColumns({"pad_len": _longest("input_ids", multiple), "label_len": _longest("labels", multiple)})
+    return df.withColumns({"attention_mask": attention_mask(F.col("input_ids"), F.col("pad_len")),
+                           "input_ids": pad_to_length(F.col("input_ids"), F.col("pad_len")),
+                           "labels": pad_to_length(F.col("labels"), F.col("label_len"), IGNORED)})
 
 
 def batch_plan(df: DataFrame, batch_size: int, epochs: int = 1, devices: int = 1, accumulation: int = 1,

@@ -85,11 +85,17 @@ def drop_empty_pairs(df: DataFrame, a: str = "input", b: str = "output") -> Data
 
 def filter_split(df: DataFrame, splits: Sequence[str], split_col: str = "split",
                  check: bool = False) -> DataFrame:
-    """Keep the named splits. With ``check`` a missing split raises, as the
-    reference does; the check is one tiny aggregate (distinct split names)."""
-    if check:
-        present = {r[0] for r in df.select(split_col).distinct().collect()}
-        missing = [s for s in splits if s not in present]
-        if missing:
-            raise ValueError(f"missing split(s) {missing}; present: {sorted(present)}")
-    return df.filter(F.col(split_col).isin(list(splits)))
+    """Keep the named splits. With ``check`` a missing split fails the job that
+    reads the result: one row of counts (a partial aggregate over the split
+    column alone) is joined to the rows and must hold every name. Nothing runs
+    while the plan is built."""
+    kept = df.filter(F.col(split_col).isin(list(splits)))
+    if not check:
+        return kept
+    seen = F.array_except(F.array(*[F.lit(s) for s in splits]), F.collect_set(split_col))
+    verdict = df.groupBy().agg(seen.alias("_missing")).select(
+        F.lit(1).alias("_one"),
+        F.assert_true(F.size("_missing") == 0, F.concat(F.lit("missing split(s): "), F.array_join("_missing", ", "))).isNull().alias("_ok"))
+    # An outer join, so that the check is met even if no row is kept.
+    joined = verdict.join(kept.withColumn("_one", F.lit(1)), "_one", "left")
+    return joined.filter(F.col("_ok") & F.col(split_col).isNotNull()).select(*df.columns)

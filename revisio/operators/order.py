@@ -5,6 +5,8 @@ by a seeded md5 key. Dense global ranks are built without a single-partition
 window: rows are grouped into buckets that respect the order (hex-prefix
 buckets for hash keys, range partitions for other keys), a small table of
 bucket sizes gives each bucket its offset, and ``row_number`` runs per bucket.
+Where only the first ``k`` rows are wanted, the ``k``-th key is found from
+counts by key prefix, and rows are kept or dropped where they stand.
 """
 from __future__ import annotations
 
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 
 from revisio.functions.rng import h
 
-# Largest bucket-offset table that is broadcast (16^digits rows).
-MAX_BUCKET_DIGITS = 5
+# Hex digits of a rank's buckets: at most 16^4 offsets, whatever the data.
+BUCKET_DIGITS = 4
 
 
 def shuffle_key(seed: int, row_id: str = "row_id", *parts: str, stream: str = "shuffle") -> Column:
@@ -28,12 +30,12 @@ def shuffle_rows(df: DataFrame, seed: int, row_id: str = "row_id", parts: Sequen
     return df.orderBy(shuffle_key(seed, row_id, *parts), *[F.col(c) for c in (row_id, *parts)])
 
 
-def shuffle_for_write(df: DataFrame, seed: int, partitions: int, row_id: str = "row_id",
-                      parts: Sequence[str] = ()) -> DataFrame:
-    """Random order for writing: hash-spread rows over ``partitions`` files,
-    random order inside each (no range sampling pass)."""
+def shuffle_for_write(df: DataFrame, seed: int, row_id: str = "row_id", parts: Sequence[str] = ()) -> DataFrame:
+    """Random order for writing: rows are dealt by a seeded hash and ordered by
+    it in each task (no range sampling pass). The number of tasks is the
+    planner's, which adapts it to the bytes."""
     k = shuffle_key(seed, row_id, *parts)
-    return df.withColumn("_sk", k).repartition(partitions, "_sk").sortWithinPartitions("_sk").drop("_sk")
+    return df.withColumn("_sk", k).repartition("_sk").sortWithinPartitions("_sk").drop("_sk")
 
 
 def head_rows(df: DataFrame, n: int, order_cols: Sequence) -> DataFrame:
@@ -50,14 +52,8 @@ def sample_one(df: DataFrame, seed: int, row_id: str = "row_id") -> DataFrame:
     return capped_sample(df, 1, seed, row_id)
 
 
-def _bucket_digits(spark, digits: Optional[int]) -> int:
-    if digits is not None:
-        return max(1, min(int(digits), MAX_BUCKET_DIGITS))
-    return 3
-
-
 def hash_rank(df: DataFrame, hex_key: Column, tiebreak: Sequence[str] = (), rank_col: str = "rank",
-              digits: Optional[int] = None, total_col: Optional[str] = None) -> DataFrame:
+              digits: int = BUCKET_DIGITS, total_col: Optional[str] = None) -> DataFrame:
     """0-based dense rank of rows ordered by a uniform hex key (then ``tiebreak``).
 
     Buckets are the first ``digits`` hex digits of the key (uniform, so no
@@ -65,8 +61,7 @@ def hash_rank(df: DataFrame, hex_key: Column, tiebreak: Sequence[str] = (), rank
     summed and broadcast back; ``row_number`` runs within each bucket.
     ``total_col`` also attaches the total row count, with no extra action.
     """
-    d = _bucket_digits(df.sparkSession, digits)
-    keyed = df.withColumn("_hk", hex_key).withColumn("_b", F.conv(F.substring("_hk", 1, d), 16, 10).cast("int"))
+    keyed = df.withColumn("_hk", hex_key).withColumn("_b", F.conv(F.substring("_hk", 1, digits), 16, 10).cast("int"))
     sizes = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     cols = [F.col("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")]
@@ -79,15 +74,20 @@ def hash_rank(df: DataFrame, hex_key: Column, tiebreak: Sequence[str] = (), rank
     return ranked.drop("_hk", "_b", "_base")
 
 
-def ordered_rank(df: DataFrame, order_cols: Sequence[str], rank_col: str = "rank",
+def ordered_rank(df: DataFrame, order_cols: Sequence, rank_col: str = "rank",
                  partitions: Optional[int] = None) -> DataFrame:
     """0-based dense rank by arbitrary key columns (unique keys expected).
 
-    Range-partition by the key, count rows per partition (a table with one
-    row per partition, broadcast), then ``row_number`` within each partition.
+    Rows are range-partitioned by the key once: the bounds come from a sample
+    that every reader of the plan would draw anew, so the partitioned rows are
+    written (``checkpoint()``) with their partition's number before the sizes
+    and the ranks are taken from them. The table of sizes has one row a
+    partition.
     """
+    from revisio.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
+    p = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
     sizes = p.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
@@ -121,27 +121,58 @@ def train_fraction(df: DataFrame, fraction: float, seed: int, row_id: str = "row
     key = h(seed, "split", F.col(row_id), "tr")
     if not exact:
         return df.filter(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") < int(fraction * (1 << 32)))
-    ranked = hash_rank(df, key, (row_id,), rank_col="_tr", total_col="_total")
-    return ranked.filter(F.col("_tr") < F.floor(F.lit(float(fraction)) * F.col("_total"))).drop("_tr", "_total")
+    return _first(df, key, (row_id,), lambda total: F.floor(F.lit(float(fraction)) * total))
+
+
+def hash_top_k(df: DataFrame, hex_key: str, tiebreak: Sequence[str], k: int) -> DataFrame:
+    """The ``k`` rows with the smallest uniform hex key, exactly (see ``_first``).
+
+    ``orderBy().limit(k)`` would send every task's local top ``k`` to one
+    reducer (tasks x k rows)."""
+    return _first(df, F.col(hex_key), tiebreak, lambda total: F.lit(k))
 
 
-def hash_top_k(df: DataFrame, hex_key: str, tiebreak: Sequence[str], k: int, digits: int = 4) -> DataFrame:
-    """The ``k`` rows with the smallest uniform hex key, exactly, with no
-    single-reducer merge.
+def _head(keys: DataFrame, wanted: Column) -> DataFrame:
+    """One row ``(p, left)``: the four hex digits under which the ``wanted``-th
+    key lies, and its place among those. ``wanted`` may use the total
+    ``_total``. Past the end ``p`` is after every digit, before the start it is
+    empty. Counts by prefix: at most 16^4 rows."""
+    counts = keys.groupBy(F.substring("_hk", 1, 4).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    up_to = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    summed = counts.select("p", "n", F.sum("n").over(up_to).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("_total"))
+    here = (F.col("upto") - F.col("n") < wanted) & (wanted <= F.col("upto"))
+    found = F.max(F.when(here, F.struct("p", (wanted - F.col("upto") + F.col("n")).cast("long").alias("left"))))
+    outside = F.when(F.coalesce(F.max(wanted) <= 0, F.lit(False)), F.struct(F.lit("").alias("p"), F.lit(0).cast("long").alias("left"))) \
+        .otherwise(F.struct(F.lit("~").alias("p"), F.lit(0).cast("long").alias("left")))
+    return summed.agg(F.coalesce(found, outside).alias("b")).select("b.*")
 
-    ``orderBy().limit(k)`` sends every task's local top ``k`` to one reducer
-    (tasks x k rows). Here the key's first ``digits`` hex digits form
-    buckets; their sizes (a partial aggregate; at most 16^digits rows, a
-    proven bound) give each bucket's offset; buckets starting past ``k`` are
-    dropped map-side by a broadcast join, and only the surviving rows (about
-    ``k`` plus one bucket) are shuffled and ranked.
+
+def _first(df: DataFrame, hex_key: Column, tiebreak: Sequence[str], wanted) -> DataFrame:
+    """The first ``wanted(total)`` rows by (uniform hex key, tiebreak), for unique keys.
+
+    Two counts by key prefix (4 and 4 more digits) find the prefix under which
+    the last wanted row lies; the few keys with that prefix (one in 2^32) are
+    ranked, and every row is compared with the last key by a join with that one
+    row. Only keys are counted and ranked; whole rows are never shuffled.
     """
-    keyed = df.withColumn("_b", F.conv(F.substring(F.col(hex_key), 1, digits), 16, 10).cast("int"))
-    sizes = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")) \
-        .filter(F.col("_base") < k)
-    cand = keyed.join(F.broadcast(offsets), "_b")
-    w = Window.partitionBy("_b").orderBy(F.col(hex_key), *[F.col(c) for c in tiebreak])
-    ranked = cand.withColumn("_rk", F.col("_base") + F.row_number().over(w) - 1)
-    return ranked.filter(F.col("_rk") < k).drop("_b", "_base", "_rk")
+    one = F.lit(1).alias("_one")
+    keyed = df.withColumn("_hk", hex_key)
+    keys = keyed.select("_hk", *tiebreak)
+    head = _head(keys, wanted(F.col("_total"))).select(one, F.col("p").alias("_p1"), F.col("left").alias("_k1"))
+    under = keys.withColumn("_one", F.lit(1)).join(F.broadcast(head), "_one").filter(F.substring("_hk", 1, 4) == F.col("_p1"))
+    tail = _tail(under)
+    last = under.withColumn("_p2", F.substring("_hk", 5, 4)).join(F.broadcast(tail), "_p2") \
+        .withColumn("_rk", F.row_number().over(Window.partitionBy("_p2").orderBy("_hk", *tiebreak))).filter(F.col("_rk") == F.col("_k2"))
+    whole = F.struct("_hk", *tiebreak)
+    bound = head.join(last.select(F.lit(1).alias("_one"), whole.alias("_last")), "_one", "left")
+    inside = F.when(F.col("_last").isNull(), F.col("_hk") < F.col("_p1")).otherwise(whole <= F.col("_last"))
+    return keyed.withColumn("_one", F.lit(1)).join(F.broadcast(bound), "_one").filter(inside).select(*df.columns)
+
+
+def _tail(under: DataFrame) -> DataFrame:
+    """``(_p2, _k2)``: the next four digits of the last wanted key, and its place under them."""
+    counts = under.groupBy(F.substring("_hk", 5, 4).alias("_p2")).agg(F.count(F.lit(1)).alias("n"), F.max("_k1").alias("_k1"))
+    up_to = Window.orderBy("_p2").rowsBetween(Window.unboundedPreceding, 0)
+    summed = counts.withColumn("upto", F.sum("n").over(up_to))
+    return summed.filter((F.col("upto") - F.col("n") < F.col("_k1")) & (F.col("_k1") <= F.col("upto"))) \
+        .select("_p2", (F.col("_k1") - F.col("upto") + F.col("n")).alias("_k2"))

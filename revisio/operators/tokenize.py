@@ -2,9 +2,9 @@
 
 The reference loads a trained subword vocabulary that is not available
 offline; ``build_vocab`` is the stand-in: a word vocabulary built from the
-corpus, ids by (count desc, token), 0 = pad, 1 = eos, 2 = unk. Its size is a
-parameter (the vocabulary size of a tokenizer is its feature), so the lookup
-table has a proven bound and is broadcast only below a checked size.
+corpus, ids by (count desc, token), 0 = pad, 1 = eos, 2 = unk. A lookup table
+is broadcast only if its measured bytes are below ``BROADCAST_BYTES``; a larger
+one is joined by shuffle, where Spark splits skewed words.
 """
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from revisio.operators.order import ordered_rank
 
 PAD, EOS, UNK = 0, 1, 2
 SPECIALS = 3
-BROADCAST_VOCAB_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def build_vocab(df: DataFrame, cols: Sequence[str], size: int = 32000) -> DataFrame:
@@ -30,8 +30,7 @@ def build_vocab(df: DataFrame, cols: Sequence[str], size: int = 32000) -> DataFr
         t = df.select(F.explode(words(c)).alias("token"))
         toks = t if toks is None else toks.unionByName(t)
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
-    # The ranking reads the counts three times (range bounds, partition
-    # sizes, rows); cut lineage once so the corpus is exploded and counted once.
+    # The range partitioning reads the counts twice (sample, rows).
     from revisio.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     counts = counts.checkpoint(eager=True)
@@ -48,24 +47,25 @@ def _is_side(i: int):
     return lambda e: e["side"] == i
 
 
-def _lookup(vocab: DataFrame, size: int) -> DataFrame:
+def _lookup(vocab: DataFrame) -> DataFrame:
     v = vocab.select("token", "id")
-    return F.broadcast(v) if size <= BROADCAST_VOCAB_ROWS else v
+    size = v.agg(F.sum(F.octet_length("token") + F.lit(40))).first()[0] or 0  # 40: an entry beside its text
+    return F.broadcast(v) if size <= BROADCAST_BYTES else v
 
 
-def tokenize(df: DataFrame, vocab: DataFrame, sides: Sequence[tuple], vocab_size: int = 32000,
-             row_id: str = "row_id") -> DataFrame:
+def tokenize(df: DataFrame, vocab: DataFrame, sides: Sequence[tuple], row_id: str = "row_id") -> DataFrame:
     """Token ids per side: ``sides`` is ``[(column, out_column, max_len), ..]``.
     Words beyond ``max_len - 1`` are cut (truncation keeps the end token), the
-    ids end with eos. One explode over all sides, one lookup join, one
-    regroup by row (each group is bounded by ``max_len`` per side)."""
+    ids end with eos; a null side is empty. One explode over all sides, one
+    lookup join, one regroup by row (each group is bounded by ``max_len`` per
+    side)."""
     items = []
     for i, (col, _, max_len) in enumerate(sides):
-        w = F.slice(words(col), 1, max_len - 1)
+        w = F.coalesce(F.slice(words(col), 1, max_len - 1), F.array().cast("array<string>"))
         items.append(F.transform(w, _side_entry(i)))
     base = df.select(F.col(row_id).alias("row_id"), F.explode_outer(F.concat(*items)).alias("_t"))
     base = base.select("row_id", "_t.side", "_t.pos", "_t.token")
-    joined = base.join(_lookup(vocab, vocab_size), "token", "left")
+    joined = base.join(_lookup(vocab), "token", "left")
     entry = F.struct("side", "pos", F.coalesce("id", F.lit(UNK)).alias("id"))
     grouped = joined.groupBy("row_id").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), entry)))
                                            .alias("_all"))
@@ -107,11 +107,11 @@ def decoder_attention_mask(labels: Column, pad: int = PAD) -> Column:
 
 
 def decode_ids(df: DataFrame, vocab: DataFrame, ids_col: str, out_col: str, skip_special: bool = True,
-               vocab_size: int = 32000, row_id: str = "row_id") -> DataFrame:
+               row_id: str = "row_id") -> DataFrame:
     """ids -> text through the vocabulary; specials skipped or kept as
     ``<pad>``, ``</s>``, ``<unk>``."""
     ex = df.select(F.col(row_id).alias("row_id"), F.posexplode_outer(ids_col).alias("pos", "id"))
-    j = ex.join(_lookup(vocab, vocab_size), "id", "left")
+    j = ex.join(_lookup(vocab), "id", "left")
     tok = F.coalesce(F.col("token"), F.when(F.col("id") == PAD, "<pad>").when(F.col("id") == EOS, "</s>")
                      .otherwise("<unk>"))
     keep = F.col("pos").isNotNull()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Callable, Dict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revisio.functions.text import materialize, words
@@ -47,7 +47,10 @@ def mask_text(c) -> F.Column:
 # ---------------------------------------------------------------- sources
 @query("read_corpus")
 def q_read_corpus(spark, sf):
-    return S.c4_corpus(spark, sf)
+    """A corpus laid out by split, read back without its test split."""
+    path = _scratch(spark, "read_corpus")
+    S.c4_corpus(spark, sf).write.partitionBy("split").parquet(path)
+    return read_corpus(spark, path, splits=["train", "validation"]).select("row_id", "split", "input", "output")
 
 
 # ------------------------------------------------------------ projections
@@ -87,7 +90,18 @@ def q_add_prefix(spark, sf):
 
 @query("resolve_columns")
 def q_resolve_columns(spark, sf):
-    return P.select_pair(S.wiki_large_corpus(spark, sf), keep=["row_id", "split"])
+    """Each way of finding the two columns: by position, by the known map, by name."""
+    keep = ["row_id", "split"]
+    wiki = S.wiki_large_corpus(spark, sf)
+    known = wiki.select(*keep, F.col("simple").alias("summary"), F.lit(1).alias("other"), F.col("input").alias("dialogue"))
+    named = wiki.select(*keep, F.lit(1).alias("other"), "simple", "input")
+    ways = {"position": P.select_pair(wiki, keep=keep), "map": P.select_pair(known, dataset_name="samsum", keep=keep),
+            "name": P.select_pair(named, "input", "simple", "samsum", keep=keep)}
+    out = None
+    for way, df in ways.items():
+        df = df.withColumn("way", F.lit(way))
+        out = df if out is None else out.unionByName(df)
+    return out
 
 
 @query("rename_splits")
@@ -214,7 +228,7 @@ def q_bidirectional_pairs(spark, sf):
 def q_alternatives_unpivot(spark, sf):
     d = S.paradetox_corpus(spark, sf).select("row_id", F.col("toxic").alias("input"), "neutral1", "neutral2",
                                               "neutral3")
-    return alternatives_unpivot(d, ["row_id", "input"], ["neutral1", "neutral2", "neutral3"]).select("row_id")
+    return alternatives_unpivot(d, ["row_id", "input"], ["neutral1", "neutral2", "neutral3"]).select("row_id", "input", "output")
 
 
 # ---------------------------------------------------------------- masks
@@ -304,8 +318,13 @@ def _docs(spark, sf):
 
 @query("shuffle_rows")
 def q_shuffle_rows(spark, sf):
-    d = _docs(spark, sf)
-    return O.hash_rank(d, O.shuffle_key(SEED, "row_id"), ("row_id",), rank_col="position")
+    """The order of the shuffled rows, read off their keys: each row carries its place among its neighbours."""
+    shuffled = O.shuffle_rows(_docs(spark, sf), SEED).withColumn("_pid", F.spark_partition_id()) \
+        .withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    sizes = shuffled.groupBy("_pid").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("_pid", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return shuffled.join(base, "_pid").select("row_id", "lang", (F.col("base") + F.col("_at") - F.col("first")).alias("position"))
 
 
 @query("head_rows")
@@ -321,8 +340,9 @@ def q_capped_sample(spark, sf):
 
 @query("slice_rows")
 def q_slice_rows(spark, sf):
-    c = S.table(spark, sf, "conversations").select("conv_id", "turn", "role")
-    return O.slice_rows(c, 100, 300, ["conv_id", "turn"])
+    """A late slice of a table with more rows than a range sample, with a column that is not in the key."""
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return O.slice_rows(S.table(spark, sf, "lineitem").select(*key, "l_quantity"), 40_000, 40_300, key)
 
 
 @query("train_fraction")
@@ -368,7 +388,7 @@ CORPUS = {
 
 
 def recipe_frame(spark, sf, key: str) -> DataFrame:
-    return generate(RECIPES[key], CORPUS[key](spark, sf), catalogue(), SEED)
+    return generate(RECIPES[key], CORPUS[key](spark, sf), catalogue(), SEED, cut_lineage=True)
 
 
 def _register_recipe(key: str):
@@ -381,9 +401,8 @@ for _k in RECIPES:
 
 @query("mixture")
 def q_mixture(spark, sf):
-    """Every recipe that needs no difference masks, merged and shuffled."""
-    keys = [k for k, r in RECIPES.items() if not r.diff]
-    frames = [generate(RECIPES[k], CORPUS[k](spark, sf), catalogue(), SEED, shuffle=None) for k in keys]
+    """All recipes, merged and shuffled."""
+    frames = [generate(r, CORPUS[k](spark, sf), catalogue(), SEED, shuffle=None, cut_lineage=True) for k, r in RECIPES.items()]
     return mixture(frames, SEED)
 
 
@@ -400,10 +419,9 @@ def vocab_frame(spark, sf):
     return K.build_vocab(S.table(spark, sf, "documents"), ["text"], VOCAB)
 
 
-def tokenized(spark, sf):
+def tokenized(spark, sf, vocab=None):
     r = S.related_pairs(spark, sf)
-    return K.tokenize(r, vocab_frame(spark, sf), [("edited", "input_ids", SRC_LEN), ("text", "labels", TGT_LEN)],
-                      VOCAB)
+    return K.tokenize(r, vocab or vocab_frame(spark, sf), [("edited", "input_ids", SRC_LEN), ("text", "labels", TGT_LEN)])
 
 
 @query("build_vocab")
@@ -473,10 +491,9 @@ def q_b3(spark, sf):
 
 @query("pad_batches")
 def q_pad_batches(spark, sf):
-    t = B.assign_batches(tokenized(spark, sf), 8, SEED, "fixed")
-    t = B.batch_max_length(t, "input_ids", multiple=8)
-    return t.select("row_id", "batch_id", "pad_len",
-                    K.ids_text(K.pad_to_length(F.col("input_ids"), F.col("pad_len"))).alias("input_ids"))
+    t = B.pad_batches(B.assign_batches(tokenized(spark, sf), 8, SEED, "fixed"), multiple=8)
+    return t.select("row_id", "batch_id", "pad_len", "label_len", K.ids_text("input_ids").alias("input_ids"),
+                    K.ids_text("attention_mask").alias("attention_mask"), K.ids_text("labels").alias("labels"))
 
 
 @query("batch_plan")
@@ -508,7 +525,8 @@ def q_split_sentences(spark, sf):
 
 @query("decode_ids")
 def q_decode_ids(spark, sf):
-    return K.decode_ids(tokenized(spark, sf), vocab_frame(spark, sf), "labels", "text", True, VOCAB)
+    vocab = vocab_frame(spark, sf)
+    return K.decode_ids(tokenized(spark, sf, vocab), vocab, "labels", "text", True)
 
 
 @query("corpus_bleu")
@@ -602,20 +620,19 @@ def q_read_files(spark, sf):
 
 @query("build_all")
 def q_build_all(spark, sf):
-    """Every enabled recipe of the default config, written and read back."""
+    """Every enabled recipe of the default configuration: corpora stored by
+    name and split, read by name, generated, written and read back."""
     import os
     from revisio.plans.recipes import build_all
     from revisio.sources.config import load_recipe_config
-    cfg = load_recipe_config(os.path.join(os.path.dirname(os.path.dirname(__file__)), "resources", "recipes.yaml"))
-    corpora = {k: CORPUS[k](spark, sf) for k, _ in cfg}
-    out = _scratch(spark, "build_all")
-    paths = build_all(cfg, corpora, catalogue(), out, SEED)
-    cols = ["row_id", "variant", "input", "output", "type", "from"]
-    out = None
-    for p in paths:  # one partitioned root per recipe
-        df = spark.read.parquet(p).select(cols)
-        out = df if out is None else out.unionByName(df)
-    return out
+    config = os.path.join(os.path.dirname(os.path.dirname(__file__)), "resources", "recipes.yaml")
+    root, stored = _scratch(spark, "corpora"), set()
+    for key, opts in load_recipe_config(config):
+        name = opts.get("name", key)
+        if name not in stored:
+            stored.add(name)
+            CORPUS[key](spark, sf).write.partitionBy("split").parquet(f"{root}/{name}")
+    return build_all(spark, config, root, _scratch(spark, "build_all"), catalogue(), SEED)
 
 
 @query("assign_prompts")

@@ -1,5 +1,5 @@
 """Corpus recipes: filter -> project -> [subset] ->
-{plain + masked + no-edit} -> tag -> shuffle, one lazy plan per recipe.
+{plain + masked + no-edit} -> tag -> shuffle.
 
 A recipe is a value, not a subclass: its corpus-specific steps are small
 ``DataFrame -> DataFrame`` functions. ``generate`` returns
@@ -12,7 +12,7 @@ import dataclasses
 from dataclasses import dataclass
 from typing import Callable, Dict, List, Mapping, Optional, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revisio.operators.filters import char_ratio_ok, filter_single_span, word_bounds
@@ -163,18 +163,15 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def prepared(recipe: Recipe, corpus: DataFrame, cut_lineage: bool = False) -> DataFrame:
-    """Filter, project and subset a corpus: ``(row_id, input, output)``.
-    The exact subset reads its input twice (bucket sizes, then rows); with
-    ``cut_lineage`` that input is checkpointed first."""
+def prepared(recipe: Recipe, corpus: DataFrame) -> DataFrame:
+    """Filter, project and subset a corpus: ``(row_id, input, output)``. Lazy;
+    the exact subset reads the row ids twice more to find its last key."""
     df = corpus.filter(F.col("split").isin(list(recipe.splits)))
     if recipe.type_filter:
         col, val = recipe.type_filter
         df = df.filter(F.col(col) == F.lit(val))
     base = recipe.prepare(df)
     if recipe.fraction is not None:
-        if cut_lineage and not base.isStreaming:
-            base = _cut(base)
         base = train_fraction(base, recipe.fraction, recipe.fraction_seed)
     if recipe.expand is not None:
         base = recipe.expand(base)
@@ -182,23 +179,23 @@ def prepared(recipe: Recipe, corpus: DataFrame, cut_lineage: bool = False) -> Da
 
 
 def generate(recipe: Recipe, corpus: DataFrame, catalogue: Mapping[str, List[str]], seed: int = 0,
-             shuffle: Optional[str] = "hash", cut_lineage: bool = True) -> DataFrame:
-    """All examples of one recipe.
-
-    The prepared corpus feeds the plain/masked pass and both steps of the
-    exact no-edit cap. Its lineage is cut once with ``checkpoint()`` (a
-    reliable copy under ``spark.checkpoint.dir``), so the upstream scan,
-    filters and stand-in derivation run once and a lost executor does not
-    recompute them. ``cut_lineage=False`` keeps the plan fully lazy.
-
-    ``shuffle``: ``"hash"`` (default) spreads rows by a seeded key over the
-    shuffle partitions and orders each partition by it: a seeded random
-    permutation with no range-sampling pass (which would run the whole
-    upstream plan, difference UDF included, a second time); ``"sort"`` is a
-    total order by the key; ``None`` keeps generation order.
+             shuffle: Optional[str] = "hash", cut_lineage: bool = False) -> DataFrame:
+    """All examples of one recipe, as a lazy plan.
+
+    The prepared corpus has several readers (plain and masked pairs, the no-edit
+    cap). Over a stored corpus that is a cheap scan; where the corpus is costly
+    to derive, ``cut_lineage`` writes the prepared rows once with
+    ``checkpoint()`` (a job that runs at once). Annotated-span recipes have one
+    reader and are never cut.
+
+    ``shuffle``: ``"hash"`` (default) deals rows by a seeded key and orders
+    each task's rows by it: a seeded random permutation with no range-sampling
+    pass (which would run the whole upstream plan, difference UDF included, a
+    second time); ``"sort"`` is a total order by the key; ``None`` keeps
+    generation order.
     """
-    base = prepared(recipe, corpus, cut_lineage)
-    if cut_lineage and not base.isStreaming:
+    base = prepared(recipe, corpus)
+    if cut_lineage and recipe.intent is None and not base.isStreaming:
         base = _cut(base)
     stream = recipe.key
     if recipe.intent is not None:
@@ -224,8 +221,7 @@ def _shuffle(df: DataFrame, seed: int, how: Optional[str]) -> DataFrame:
         return df
     if how == "sort":
         return shuffle_rows(df, seed, "row_id", ("from", "variant"))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shuffle_for_write(df, seed, n, "row_id", ("from", "variant"))
+    return shuffle_for_write(df, seed, "row_id", ("from", "variant"))
 
 
 def mixture(frames: Sequence[DataFrame], seed: int = 0, shuffle: Optional[str] = "hash") -> DataFrame:
@@ -236,16 +232,35 @@ def mixture(frames: Sequence[DataFrame], seed: int = 0, shuffle: Optional[str] =
     return _shuffle(out, seed, shuffle)
 
 
-def build_all(config: Sequence, corpora: Mapping[str, DataFrame], catalogue: Mapping[str, List[str]],
-              out_dir: str, seed: int = 0) -> List[str]:
-    """Generate and write every enabled recipe (``config`` as returned by
-    ``load_recipe_config``) to ``out_dir/<key>`` (one folder per recipe, so
-    recipes on one source never collide). Returns the written paths."""
+def build(config: Sequence, read, catalogue: Mapping[str, List[str]], out_dir: str, seed: int = 0) -> List[str]:
+    """Generate and write every enabled recipe of a configuration (as returned
+    by ``load_recipe_config``) to ``out_dir/<key>``, one folder a recipe, so
+    that recipes on one source never collide. ``read(name, splits)`` gives a
+    corpus by the configuration's ``name``. Returns the written paths."""
     from revisio.sources.sinks import write_corpus
     paths = []
     for key, opts in config:
         recipe = RECIPES[key].with_options(**opts)
         path = f"{out_dir.rstrip('/')}/{key}"
-        write_corpus(generate(recipe, corpora[key], catalogue, seed, shuffle=None), path, seed=seed)
+        corpus = read(opts.get("name", key), list(recipe.splits))
+        write_corpus(generate(recipe, corpus, catalogue, seed, shuffle=None), path, seed=seed)
         paths.append(path)
     return paths
+
+
+def build_all(spark: SparkSession, config_path: str, corpus_root: str, out_dir: str,
+              catalogue: Optional[Mapping[str, List[str]]] = None, seed: int = 0) -> DataFrame:
+    """From a configuration file to one table of all recipes' examples.
+
+    Corpora are Parquet folders ``corpus_root/<name>`` with ``split=...``
+    partitions; only the splits a recipe uses are read."""
+    from revisio.sources.config import load_recipe_config
+    from revisio.sources.corpus import read_corpus
+    from revisio.sources.prompts import load_prompts
+    paths = build(load_recipe_config(config_path), lambda name, splits: read_corpus(spark, f"{corpus_root.rstrip('/')}/{name}", splits=splits),
+                  catalogue or load_prompts(), out_dir, seed)
+    frames = [spark.read.parquet(p).select(OUT_COLS) for p in paths]  # one partitioned root per recipe
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out

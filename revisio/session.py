@@ -37,13 +37,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster the setting is given by the deployment and is read, never
-    replaced. Only when it is unset (local tests) a scratch folder is made.
+    replaced. Only where it is unset and the master is local (tests) a scratch
+    folder is made; elsewhere a local folder would be missing on the other
+    machines, and an unset folder is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if conf_dir:
         conf_dir = str(conf_dir)
         spark.sparkContext.setCheckpointDir(conf_dir)
         return conf_dir
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local_dir = tempfile.mkdtemp(prefix="revisio-ckpt-", dir=os.environ.get("REVISIO_SCRATCH", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local_dir)
     spark.sparkContext.setCheckpointDir(local_dir)

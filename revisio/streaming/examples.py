@@ -16,11 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revisio.operators.pairs import edit_pairs
+from revisio.operators.projections import reverse_pair
 from revisio.plans.recipes import Recipe
 
 
 def stream_examples(rows: DataFrame, recipe: Recipe, catalogue: Mapping[str, List[str]], seed: int = 0) -> DataFrame:
-    """``(row_id, variant, input, output, type, from)`` for each arriving row."""
+    """``(row_id, variant, input, output, type, from)`` for each arriving row:
+    the plain and masked pairs, in both directions where the recipe has two.
+    The recipe's no-edit rows are left out: their cap is over all rows, so they
+    belong to a batch run."""
     if recipe.fraction is not None or recipe.intent is not None:
         raise ValueError(f"recipe {recipe.key} needs all rows (subset or span generator); run it in batch")
     df = rows.filter(F.col("split").isin(list(recipe.splits)))
@@ -30,4 +34,9 @@ def stream_examples(rows: DataFrame, recipe: Recipe, catalogue: Mapping[str, Lis
     base = recipe.prepare(df).select("row_id", "input", "output")
     out = edit_pairs(base, catalogue[recipe.group], recipe.repeat, recipe.mask_sample_size, recipe.diff, seed,
                      f"{recipe.key}/fwd")
-    return out.withColumn("from", F.lit(recipe.tag))
+    out = out.withColumn("from", F.lit(recipe.tag))
+    if recipe.reverse_group:
+        back = edit_pairs(reverse_pair(base), catalogue[recipe.reverse_group], recipe.repeat, recipe.mask_sample_size, recipe.diff, seed,
+                          f"{recipe.key}/rev")
+        out = out.unionByName(back.withColumn("from", F.lit(recipe.reverse_tag)))
+    return out

@@ -1,6 +1,7 @@
 """Difference masks have no SQL form; check them against a plain-Python
 brute force on the smallest tables."""
 import difflib
+import itertools
 
 from pyspark.sql import functions as F
 
@@ -10,24 +11,13 @@ from revisio.sources import standins as S
 
 
 def encode(words, mask):
-    toks, target, k, prev = [], "", 0, False
-    for w, m in zip(words, mask):
-        if m and not prev:
-            toks.append(f"<extra_id_{k}>")
-            target = target or "<extra_id_0>"
-            k += 1
-        elif m:
-            toks.append("")
-        else:
-            if prev:
-                target += f" <extra_id_{k}>"
-            toks.append(w)
-        if m:
-            target += f" {w}"
-        prev = m
-    if prev:
-        target += f" <extra_id_{k}>"
-    return " ".join(toks), target
+    """By the definition: group the words by mask, then write each group."""
+    groups = [(m, [w for w, _ in g]) for m, g in itertools.groupby(zip(words, mask), key=lambda x: x[1])]
+    hidden = [g for m, g in groups if m]
+    numbers = itertools.count()
+    masked = [w for m, g in groups for w in ([f"<extra_id_{next(numbers)}>"] + [""] * (len(g) - 1) if m else g)]
+    target = "".join(f"<extra_id_{i}> {' '.join(g)} " for i, g in enumerate(hidden)) + f"<extra_id_{len(hidden)}>"
+    return " ".join(masked), target if hidden else ""
 
 
 def runs(mask):

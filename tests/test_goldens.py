@@ -111,3 +111,30 @@ def test_h19_no_edit_count(spark):
     df = spark.createDataFrame([("a", "x y"), ("b", "z"), ("c", "")], "row_id string, input string")
     assert no_edit_pairs(df, ["keep"], 5000, 0).count() == 7
     assert no_edit_pairs(df, ["keep"], 5, 0).count() == 5
+
+
+def test_tokenize_null_sides(spark):
+    vocab = spark.createDataFrame([("a", 3), ("b", 4)], "token string, id int")
+    df = spark.createDataFrame([("1", None, "b"), ("2", "a zz", None), ("3", "a b", "b a")], "row_id string, s string, t string")
+    got = {r.row_id: (r.i, r.l) for r in K.tokenize(df, vocab, [("s", "i", 9), ("t", "l", 9)]).collect()}
+    assert got == {"1": ([1], [4, 1]), "2": ([3, 2, 1], [1]), "3": ([3, 4, 1], [4, 3, 1])}
+    plain = K.decode_ids(spark.createDataFrame([("1", [3, 2, 1, 0])], "row_id string, i array<int>"), vocab, "i", "t", skip_special=False).first()
+    assert plain.t == "a <unk> </s> <pad>"
+
+
+def test_padding_of_batches(spark):
+    df = spark.createDataFrame([("1", 0, [5, 6, 1], [7, 1]), ("2", 0, [5, 1], [7, 8, 9, 1])], "row_id string, batch_id long, input_ids array<int>, labels array<int>")
+    got = {r.row_id: r for r in B.pad_batches(df, multiple=4).collect()}
+    assert got["2"].input_ids == [5, 1, 0, 0] and got["2"].attention_mask == [1, 1, 0, 0]
+    assert got["1"].labels == [7, 1, -100, -100] and got["2"].labels == [7, 8, 9, 1]
+
+
+def test_resolve_columns():
+    import pytest
+    from revisio.operators.projections import resolve_columns
+    assert resolve_columns(["a", "b", "c"]) == ("a", "b")
+    assert resolve_columns(["a", "b"], dataset_name="xsum") == ("document", "summary")
+    assert resolve_columns(["a", "b"], summary_column="a") == ("a", "a")
+    assert resolve_columns(["a", "b"], "b", dataset_name="xsum") == ("b", "summary")
+    with pytest.raises(ValueError, match="zz"):
+        resolve_columns(["a", "b"], text_column="zz")

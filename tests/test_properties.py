@@ -75,3 +75,38 @@ def test_no_edit_rows_copy_their_text(spark):
         if r.variant == "ns0":
             p, rest = r.input.split(": ", 1)
             assert p in cat["do_not_edit"] and rest == r.output + " ->"
+
+
+def test_ordered_ranks_are_dense_above_the_sampling_size(spark):
+    """More rows than a range sample holds, and a column outside the key."""
+    from revisio.operators.order import ordered_rank, slice_rows
+    n = 400_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.md5(F.col("id").cast("string")).alias("other")).repartition(5)
+    for partitions in (1, 4, 50):
+        r = ordered_rank(df, ["k"], partitions=partitions)
+        assert r.agg(F.count("*"), F.sum((F.col("rank") != F.col("k")).cast("int")), F.max("rank")).first() == (n, 0, n - 1)
+    got = slice_rows(df, 200_000, 200_300, ["k"]).orderBy("k").collect()
+    assert [x.k for x in got] == list(range(200_000, 200_300)) and all(x.other for x in got)
+
+
+def test_first_k_by_hash_is_exact(spark):
+    import hashlib
+    from revisio.operators.order import hash_top_k, train_fraction
+    df = spark.range(5000).select(F.col("id").cast("string").alias("row_id"), F.md5(F.col("id").cast("string")).alias("h"))
+    order = sorted(range(5000), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    for k in (0, 1, 7, 4999, 5000, 6000):
+        got = {int(r.row_id) for r in hash_top_k(df, "h", ["row_id"], k).collect()}
+        assert got == set(order[:k])
+    for f in (0.0, 0.333, 0.95, 1.0):
+        assert train_fraction(df, f, 3).count() == int(f * 5000)
+    assert hash_top_k(df.limit(0), "h", ["row_id"], 3).count() == 0
+
+
+def test_filter_split_checks_lazily(spark):
+    import pytest
+    from revisio.operators.filters import filter_split
+    df = spark.createDataFrame([("a", "train"), ("b", "test")], "x string, split string")
+    assert [r.x for r in filter_split(df, ["train"], check=True).collect()] == ["a"]
+    missing = filter_split(df, ["train", "validation"], check=True)
+    with pytest.raises(Exception, match="validation"):
+        missing.collect()
