@@ -403,12 +403,6 @@ for _key, _kind, _group, _rep in [("IteraTeR_V1_Simplicity", "clarity", "simplif
                                   ("IteraTeR_V1_Fluency", "fluency", "gec", 3)]:
     ORACLE[_key] = _v1(_key, _kind, _group, _rep)
 
-_NON_DIFF = ["gyafc", "disco_fuse", "wiki_auto", "wiki_large", "para_bank_v2", "IteraTeR_Simplicity",
-             "IteraTeR_Coherence", "IteraTeR_Fluency", "IteraTeR_V1_Simplicity", "IteraTeR_V1_Coherence",
-             "IteraTeR_V1_Fluency"]
-ORACLE["mixture"] = " UNION ALL ".join(f"SELECT * FROM ({ORACLE[k]}) m{i}" for i, k in enumerate(_NON_DIFF))
-
-
 # ------------------------------------------------- tokenise, pad, batch
 VOCAB = ("(SELECT token, count, CAST(id AS INTEGER) AS id FROM (SELECT token, count, row_number() OVER "
          "(ORDER BY count DESC, token) - 1 + 3 AS id FROM (SELECT token, count(*) AS count FROM (SELECT unnest("
@@ -533,7 +527,6 @@ from revisio.functions.text import WS_CLASS  # noqa: E402
 
 def strip_sql(c: str) -> str:
     return "regexp_replace(" + c + ", " + q(f"^{WS_CLASS}+|{WS_CLASS}+$") + ", '', 'g')"
-PUNCT = q(r"([^\p{L}\p{N}" + WS_CLASS[1:-1] + r"])")
 
 
 @oracle("clean_text")
@@ -573,7 +566,12 @@ def gram_counts(tok_expr: str, orders) -> str:
 
 
 def BLEU_TOK(c: str) -> str:
-    return words("regexp_replace(" + c + ", " + PUNCT + ", ' \\1 ', 'g')")
+    for old, new in (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        c = f"replace({c}, {q(old)}, {q(new)})"
+    c = f"' ' || {c} || ' '"
+    for pattern, new in ((r"([{-~\[-` -&(-+:-@/])", r" \1 "), (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        c = f"regexp_replace({c}, {q(pattern)}, {q(new)}, 'g')"
+    return words(c)
 
 
 def ROUGE_TOK(c: str) -> str:
@@ -592,7 +590,7 @@ def bleu_sql() -> str:
              f"ELSE 100.0 / (pow(2.0, {z}) * t{n}) END)")
         logs.append(f"(CASE WHEN {p} > 0 THEN ln({p}) ELSE -9999999999.0 END)")
     bp = "(CASE WHEN t1 >= ref_len THEN 1.0 WHEN t1 > 0 THEN exp(1 - ref_len / t1) ELSE 0.0 END)"
-    return (f"SELECT round({bp} * exp(({' + '.join(logs)}) / 4), 4) AS bleu, m1, m2, m3, m4, t1, t2, t3, t4, "
+    return (f"SELECT CASE WHEN m1 + m2 + m3 + m4 = 0 THEN 0.0 ELSE round_even({bp} * exp(({' + '.join(logs)}) / 4), 4) END AS bleu, m1, m2, m3, m4, t1, t2, t3, t4, "
             f"t1 AS hyp_len, ref_len FROM {s} s")
 
 
@@ -607,7 +605,7 @@ def rouge_sql() -> str:
     for n in (1, 2):
         p = f"(coalesce(o{n}, 0) / greatest(coalesce(h{n}, 0), 1))"
         r = f"(coalesce(o{n}, 0) / greatest(coalesce(r{n}, 0), 1))"
-        fs.append(f"round(avg(CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END) * 100, 4) "
+        fs.append(f"round_even(avg(CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END) * 100, 4) "
                   f"AS rouge{n}")
     return f"SELECT {', '.join(fs)} FROM {rows} x"
 
@@ -621,7 +619,7 @@ ORACLE["scale_round"] = (f"SELECT 'bleu' AS metric, bleu AS value FROM ({bleu_sq
 
 @oracle("gen_len")
 def _():
-    return f"SELECT round(avg(len(input_ids)), 4) AS gen_len FROM {TOKD} t"
+    return f"SELECT round_even(avg(len(input_ids)), 4) AS gen_len FROM {TOKD} t"
 
 
 @oracle("count_examples")
@@ -638,8 +636,8 @@ ORACLE["write_corpus"] = ORACLE["wiki_large"]
 @oracle("write_predictions")
 def _():
     s = strip_sql("edited")
-    return (f"SELECT replace(replace(replace({s}, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r') AS value "
-            f"FROM {RELATED} r")
+    return (f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS line, "
+            f"replace(replace(replace({s}, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r') AS value FROM {RELATED} r")
 
 
 @oracle("write_metrics")

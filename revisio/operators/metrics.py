@@ -1,32 +1,39 @@
 """Scoring: cleaning, sentence split, corpus BLEU, ROUGE-N,
-ROUGE-L, mean generated length, example counts.
-
-BLEU and ROUGE-N are distributed aggregates: n-grams are exploded, counted
-per (row, n, gram) with map-side partial aggregation, clipped, and summed;
-the driver receives one row. Definitions (SURVEY Q15): BLEU uses a
-punctuation-splitting tokenizer and exponential smoothing of zero
-precisions; ROUGE lower-cases, keeps ``[a-z0-9]`` runs, no stemming, and
-averages per-row F1 (no bootstrap).
+ROUGE-L, ROUGE-Lsum, mean generated length, example counts, one report.
+
+N-gram matches are counted inside the row (sorted hashes of both sides, folded
+once), so only the sums are shuffled and the driver receives one row.
+Definitions: BLEU uses the public 13a tokenizer, exponential smoothing of zero
+precisions, and is 0 without any match; ROUGE lower-cases, keeps ``[a-z0-9]``
+runs without stemming, and averages per-row F1 (no bootstrap). Rounding is half
+to even.
 """
 from __future__ import annotations
 
 import sys
-from typing import Sequence
+from collections import Counter
+from typing import Optional, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revisio.functions.text import WS_CLASS, strip, words
+from revisio.functions.text import WS_CLASS, materialize, strip, words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WS_BODY = WS_CLASS[1:-1]
-# Fixed value: a punctuation character is anything but a letter, digit or space.
-PUNCT = r"([^\p{L}\p{N}" + WS_BODY + r"])"
+# The 13a rules (pattern, replacement), applied in order to the
+# text between two spaces; the result is split at white space.
+RULES_13A = (
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),  # punctuation but . , - and '
+    (r"([^0-9])([\.,])", "$1 $2 "),  # period and comma unless after a digit
+    (r"([\.,])([^0-9])", " $1 $2"),  # period and comma unless before a digit
+    (r"([0-9])(-)", "$1 $2 "),  # dash after a digit
+)
+# Texts that 13a replaces first.
+PLAIN_13A = (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 SENT_END = r"([.!?])" + WS_CLASS + "+"
 LOG_ZERO = -9999999999.0
 
@@ -42,84 +49,79 @@ def split_sentences(c) -> Column:
 
 
 def bleu_tokens(c) -> Column:
-    return words(F.regexp_replace(F.col(c) if isinstance(c, str) else c, PUNCT, " $1 "))
+    x = F.col(c) if isinstance(c, str) else c
+    for old, new in PLAIN_13A:
+        x = F.replace(x, F.lit(old), F.lit(new))
+    x = F.concat(F.lit(" "), x, F.lit(" "))
+    for pattern, new in RULES_13A:
+        x = F.regexp_replace(x, pattern, new)
+    return words(x)
 
 
 def rouge_tokens(c) -> Column:
     return words(F.regexp_replace(F.lower(F.col(c) if isinstance(c, str) else c), "[^a-z0-9]+", " "))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    size = F.size(tokens)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(0), size - n),
-                                         lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))) \
-        .otherwise(F.array().cast("array<string>"))
+def _grams(tokens: Column, n: int, side: int) -> Column:
+    """Hashes of a token array's n-grams; the last bit tells the side."""
+    hashed = F.transform(F.slice(tokens, 1, F.greatest(F.size(tokens) - (n - 1), F.lit(0))),
+                         lambda w, i: F.xxhash64(w, *[F.get(tokens, i + k) for k in range(1, n)]))
+    return F.transform(hashed, lambda x: x.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(side).cast("long")))
 
 
-def _gram_entry(n: int, side: int):
-    return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("s"))
+def _matches(grams: Column) -> Column:
+    """Clipped matches from the sorted hashes of both sides, in one pass."""
+    def step(acc, x):
+        gram = F.shiftright(x, 1)
+        same = F.coalesce(acc["gram"] == gram, F.lit(False))
+        ref = x.bitwiseAND(F.lit(1).cast("long")).cast("int")
+        return F.struct(gram.alias("gram"), (F.when(same, acc["h"]).otherwise(0) + 1 - ref).alias("h"),
+                        (F.when(same, acc["r"]).otherwise(0) + ref).alias("r"),
+                        (acc["m"] + F.when(same, 0).otherwise(F.least(acc["h"], acc["r"]))).cast("long").alias("m"))
 
+    start = F.struct(F.lit(None).cast("long").alias("gram"), F.lit(0).alias("h"), F.lit(0).alias("r"), F.lit(0).cast("long").alias("m"))
+    return F.aggregate(grams, start, step, lambda acc: acc["m"] + F.least(acc["h"], acc["r"]))
 
-def _gram_counts(df: DataFrame, hyp: Column, ref: Column, orders: Sequence[int], row_id: str) -> DataFrame:
-    """(row_id, n, gram, c_h, c_r): one explode, one local aggregate.
-    Every row also yields a marker entry (n = 0) so rows with no n-grams
-    still appear."""
-    # Co-locate each row's text once (hash on row_id); the per-gram and
-    # per-row aggregates below then need no exchange: the shuffle moves text,
-    # not the ~4x2 n-gram copies of it.
-    base = df.select(F.col(row_id).alias("row_id"), hyp.alias("_h"), ref.alias("_r")).repartition("row_id")
-    items = [F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("g"), F.lit(0).alias("s")))]
-    for n in orders:
-        for side, col in ((1, "_h"), (2, "_r")):
-            items.append(F.transform(ngrams(F.col(col), n), _gram_entry(n, side)))
-    ex = base.select("row_id", F.explode(F.concat(*items)).alias("_e")).select("row_id", "_e.n", "_e.g", "_e.s")
-    return ex.groupBy("row_id", "n", "g").agg(F.sum((F.col("s") == 1).cast("long")).alias("c_h"),
-                                              F.sum((F.col("s") == 2).cast("long")).alias("c_r"))
+
+def _counted(df: DataFrame, hyp: Column, ref: Column, orders: Sequence[int]) -> DataFrame:
+    """``m{n}, h{n}, r{n}`` for each row: clipped matches and both sides' n-grams. No shuffle."""
+    none = F.array().cast("array<string>")
+    base = materialize(df.select(hyp.alias("_ht"), ref.alias("_rt")), {"_h": F.coalesce("_ht", none), "_r": F.coalesce("_rt", none)})
+    both = materialize(base, {f"_g{n}": F.sort_array(F.concat(_grams(F.col("_h"), n, 0), _grams(F.col("_r"), n, 1))) for n in orders})
+    sizes = [F.greatest(F.size(f"_{s}") - (n - 1), F.lit(0)).cast("long").alias(f"{s}{n}") for n in orders for s in ("h", "r")]
+    return both.select(*[_matches(F.col(f"_g{n}")).alias(f"m{n}") for n in orders], *sizes)
 
 
-def corpus_bleu(df: DataFrame, pred: str, ref: str, row_id: str = "row_id") -> DataFrame:
+def corpus_bleu(df: DataFrame, pred: str, ref: str) -> DataFrame:
     """One row: ``bleu`` (0-100, 4 places), clipped matches and totals per
     order, hypothesis and reference lengths."""
-    g = _gram_counts(df, bleu_tokens(pred), bleu_tokens(ref), range(1, 5), row_id)
-    clip = F.least("c_h", "c_r")
-    aggs = []
-    for n in range(1, 5):
-        aggs += [F.sum(F.when(F.col("n") == n, clip).otherwise(0)).alias(f"m{n}"),
-                 F.sum(F.when(F.col("n") == n, F.col("c_h")).otherwise(0)).alias(f"t{n}")]
-    aggs.append(F.sum(F.when(F.col("n") == 1, F.col("c_r")).otherwise(0)).alias("ref_len"))
-    s = g.agg(*aggs)
-    zeros = F.lit(0)
-    logs = []
-    for n in range(1, 5):
+    orders = range(1, 5)
+    s = _counted(df, bleu_tokens(pred), bleu_tokens(ref), orders).agg(
+        *[F.sum(f"m{n}").alias(f"m{n}") for n in orders], *[F.sum(f"h{n}").alias(f"t{n}") for n in orders], F.sum("r1").alias("ref_len"))
+    zeros, logs, matched = F.lit(0), [], F.lit(0)
+    for n in orders:
         m, t = F.col(f"m{n}"), F.col(f"t{n}")
+        matched = matched + m
         zeros = zeros + F.when((m == 0) & (t > 0), 1).otherwise(0)
         p = F.when(t == 0, F.lit(0.0)).when(m > 0, F.lit(100.0) * m / t) \
             .otherwise(F.lit(100.0) / (F.pow(F.lit(2.0), zeros) * t))
         logs.append(F.when(p > 0, F.log(p)).otherwise(F.lit(LOG_ZERO)))
     hyp_len, ref_len = F.col("t1"), F.col("ref_len")
     bp = F.when(hyp_len >= ref_len, F.lit(1.0)).when(hyp_len > 0, F.exp(1 - ref_len / hyp_len)).otherwise(0.0)
-    bleu = bp * F.exp((logs[0] + logs[1] + logs[2] + logs[3]) / 4)
-    return s.select(F.round(bleu, 4).alias("bleu"), *[F.col(f"m{n}") for n in range(1, 5)],
-                    *[F.col(f"t{n}") for n in range(1, 5)], F.col("t1").alias("hyp_len"), "ref_len")
+    bleu = F.when(matched == 0, F.lit(0.0)).otherwise(bp * F.exp((logs[0] + logs[1] + logs[2] + logs[3]) / 4))
+    return s.select(F.bround(bleu, 4).alias("bleu"), *[F.col(f"m{n}") for n in orders],
+                    *[F.col(f"t{n}") for n in orders], F.col("t1").alias("hyp_len"), "ref_len")
 
 
-def rouge_n(df: DataFrame, pred: str, ref: str, orders: Sequence[int] = (1, 2), row_id: str = "row_id") -> DataFrame:
+def rouge_n(df: DataFrame, pred: str, ref: str, orders: Sequence[int] = (1, 2)) -> DataFrame:
     """One row: ``rouge{n}`` = mean per-row F1 x 100, 4 places."""
-    g = _gram_counts(df, rouge_tokens(pred), rouge_tokens(ref), orders, row_id)
-    per = []
-    for n in orders:
-        on = F.col("n") == n
-        per += [F.sum(F.when(on, F.least("c_h", "c_r")).otherwise(0)).alias(f"o{n}"),
-                F.sum(F.when(on, F.col("c_h")).otherwise(0)).alias(f"h{n}"),
-                F.sum(F.when(on, F.col("c_r")).otherwise(0)).alias(f"r{n}")]
-    rows = g.groupBy("row_id").agg(*per)
+    rows = _counted(df, rouge_tokens(pred), rouge_tokens(ref), orders)
     fs = []
     for n in orders:
-        p = F.col(f"o{n}") / F.greatest(F.col(f"h{n}"), F.lit(1))
-        r = F.col(f"o{n}") / F.greatest(F.col(f"r{n}"), F.lit(1))
+        p = F.col(f"m{n}") / F.greatest(F.col(f"h{n}"), F.lit(1))
+        r = F.col(f"m{n}") / F.greatest(F.col(f"r{n}"), F.lit(1))
         fs.append(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)).alias(f"f{n}"))
-    rows = rows.select("row_id", *fs)
-    return rows.agg(*[F.round(F.avg(f"f{n}") * 100, 4).alias(f"rouge{n}") for n in orders])
+    return rows.select(*fs).agg(*[F.bround(F.avg(f"f{n}") * 100, 4).alias(f"rouge{n}") for n in orders])
 
 
 def _lcs(a, b) -> int:
@@ -138,30 +140,111 @@ def _lcs(a, b) -> int:
     return len(b) - bin(v).count("1")
 
 
+def _f1(hits: int, n: int, m: int) -> float:
+    """F1 of ``hits`` out of ``n`` predicted and ``m`` expected."""
+    return 2 * hits / (n + m) if hits else 0.0
+
+
 @F.pandas_udf(T.DoubleType())
 def _rouge_l_f(h: pd.Series, r: pd.Series) -> pd.Series:
-    out = np.zeros(len(h))
-    for k, (a, b) in enumerate(zip(h, r)):
-        a = [] if a is None else list(a)
-        b = [] if b is None else list(b)
-        lcs = _lcs(a, b)
-        p = lcs / len(a) if len(a) else 0.0
-        rc = lcs / len(b) if len(b) else 0.0
-        out[k] = 2 * p * rc / (p + rc) if p + rc > 0 else 0.0
-    return pd.Series(out)
+    return pd.Series([0.0 if a is None or b is None else _f1(_lcs(a, b), len(a), len(b)) for a, b in zip(h, r)])
 
 
 def rouge_l(df: DataFrame, pred: str, ref: str) -> DataFrame:
     """One row: ``rougeL`` = mean per-row LCS F1 x 100, 4 places. The LCS is
     a per-row kernel (Arrow-batched UDF); the mean is a native aggregate."""
     f = _rouge_l_f(rouge_tokens(pred), rouge_tokens(ref))
-    return df.agg(F.round(F.avg(f) * 100, 4).alias("rougeL"))
+    return df.agg(F.bround(F.avg(f) * 100, 4).alias("rougeL"))
+
+
+def _lcs_places(a, b) -> set:
+    """Places in ``a`` of one longest common subsequence with ``b``: the rows
+    of the bit-parallel method are kept and walked back, taking a match where
+    there is one, else dropping ``a``'s token unless that loses a match."""
+    masks: dict = {}
+    for j, tok in enumerate(b):
+        masks[tok] = masks.get(tok, 0) | (1 << j)
+    full = (1 << len(b)) - 1
+    rows = [full]
+    for tok in a:
+        v = rows[-1]
+        u = v & masks.get(tok, 0)
+        rows.append(((v + u) | (v - u)) & full)
+    out, i, j = set(), len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            out.add(i - 1)
+            i, j = i - 1, j - 1
+            continue
+        low = (1 << j) - 1
+        here, above = (j - (rows[k] & low).bit_count() for k in (i, i - 1))
+        if here > above:
+            j -= 1
+        else:
+            i -= 1
+    return out
+
+
+def _summary_hits(pred: list, ref: list) -> int:
+    """Union-LCS hits over sentences (lists of tokens), each token counted at
+    most as often as it stands on either side."""
+    left_p, left_r = Counter(t for s in pred for t in s), Counter(t for s in ref for t in s)
+    hits = 0
+    for s in ref:
+        for i in sorted(set().union(*(_lcs_places(s, p) for p in pred))):
+            if left_p[s[i]] > 0 and left_r[s[i]] > 0:
+                hits += 1
+                left_p[s[i]] -= 1
+                left_r[s[i]] -= 1
+    return hits
+
+
+@F.pandas_udf(T.DoubleType())
+def _rouge_lsum_f(h: pd.Series, r: pd.Series) -> pd.Series:
+    out = []
+    for a, b in zip(h, r):
+        a, b = ([list(s) for s in x] if x is not None else [] for x in (a, b))
+        out.append(_f1(_summary_hits(a, b), sum(map(len, a)), sum(map(len, b))))
+    return pd.Series(out)
+
+
+def rouge_lsum(df: DataFrame, pred: str, ref: str) -> DataFrame:
+    """One row: ``rougeLsum`` = mean per-row F1 x 100 of the union LCS over
+    sentences (``split_sentences`` of the cleaned texts), 4 places."""
+    def sentences(c: str) -> Column:
+        return F.transform(F.split(split_sentences(clean_text(F.col(c))), "\n"), rouge_tokens)
+
+    f = _rouge_lsum_f(sentences(pred), sentences(ref))
+    return df.agg(F.bround(F.avg(f) * 100, 4).alias("rougeLsum"))
+
+
+def score(df: DataFrame, pred: str, ref: str, ids_col: str = "") -> DataFrame:
+    """``(metric, value)`` rows: bleu, rouge1, rouge2, rougeL, rougeLsum, and
+    gen_len where ``ids_col`` names the generated ids."""
+    tables = [corpus_bleu(df, pred, ref).select("bleu"), rouge_n(df, pred, ref), rouge_l(df, pred, ref), rouge_lsum(df, pred, ref)]
+    if ids_col:
+        tables.append(gen_len(df, ids_col))
+    out = None
+    for t in tables:
+        long = t.unpivot([], t.columns, "metric", "value")
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
+def pair_predictions(predictions: DataFrame, references: DataFrame, key: str = "row_id") -> DataFrame:
+    """Predictions beside their references by key. A key that stands on one
+    side only fails the job that reads the result."""
+    p, r = predictions.withColumn("_p", F.lit(True)), references.withColumn("_r", F.lit(True))
+    both = p.join(r, key, "full_outer")
+    whole = F.col("_p").isNotNull() & F.col("_r").isNotNull()
+    checked = F.when(whole, True).otherwise(F.raise_error(F.concat(F.lit("no partner for "), F.col(key).cast("string"))).cast("boolean"))
+    return both.filter(checked).drop("_p", "_r")
 
 
-def gen_len(df: DataFrame, ids_col: str, pad: int = 0, digits: int = 4) -> DataFrame:
-    """Mean count of non-pad ids."""
-    n = F.size(F.filter(ids_col, lambda x: x != pad))
-    return df.agg(F.round(F.avg(n), digits).alias("gen_len"))
+def gen_len(df: DataFrame, ids_col: str, pad: int = 0, digits: Optional[int] = 4) -> DataFrame:
+    """Mean count of non-pad ids; ``digits=None`` leaves it unrounded."""
+    mean = F.avg(F.size(F.filter(ids_col, lambda x: x != pad)))
+    return df.agg((mean if digits is None else F.bround(mean, digits)).alias("gen_len"))
 
 
 def count_examples(df: DataFrame, limits: dict, split_col: str = "split") -> DataFrame:

@@ -19,6 +19,7 @@ from revisio.operators import projections as P
 from revisio.operators.diff import diff_opcodes
 from revisio.operators.masks import (full_diff_variant, positions, protect_positions, random_span_variants,
                                      render_runs, single_run_variants, variant_mask, with_encoding)
+from revisio.operators.metrics import pair_predictions
 from revisio.operators.pairs import (alternatives_unpivot, edit_pairs, masked_pairs, no_edit_pairs,
                                      sample_prompts, simple_pairs, span_annotated_pairs)
 from revisio.sources import standins as S
@@ -174,7 +175,7 @@ def q_pair_predictions(spark, sf):
     preds = preds.select(F.col("doc_id").cast("string").alias("row_id"),
                          S.edited_text(F.col("doc_id"), F.col("_tw")).alias("prediction"))
     refs = d.select(F.col("doc_id").cast("string").alias("row_id"), F.col("text").alias("reference"))
-    return preds.join(refs, "row_id", "inner")
+    return pair_predictions(preds, refs)
 
 
 # ------------------------------------------------------- pair generation
@@ -544,6 +545,18 @@ def q_rouge_l(spark, sf):
     return M.rouge_l(_preds(spark, sf), "prediction", "reference")
 
 
+@query("rouge_lsum")
+def q_rouge_lsum(spark, sf):
+    return M.rouge_lsum(_preds(spark, sf), "prediction", "reference")
+
+
+@query("score")
+def q_score(spark, sf):
+    """The whole report: all metrics of the predictions and their generated ids."""
+    d = _preds(spark, sf).join(tokenized(spark, sf).select("row_id", "input_ids"), "row_id")
+    return M.score(d, "prediction", "reference", "input_ids")
+
+
 @query("gen_len")
 def q_gen_len(spark, sf):
     t = tokenized(spark, sf).select(K.pad_to_length(F.col("input_ids"), SRC_LEN).alias("ids"))
@@ -592,9 +605,12 @@ def q_write_corpus(spark, sf):
 
 @query("write_predictions")
 def q_write_predictions(spark, sf):
+    """Line i of the written predictions is example i: the lines are read back with their places."""
     path = _scratch(spark, "predictions")
     SK.write_predictions(q_clean_text(spark, sf), path)
-    return spark.read.text(path)
+    lines = spark.read.text(path).select("value", F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int").alias("_f"),
+                                         F.monotonically_increasing_id().alias("_i")).checkpoint()
+    return O.ordered_rank(lines, ["_f", "_i"], rank_col="line").select("line", "value")
 
 
 @query("write_metrics")

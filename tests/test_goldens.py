@@ -138,3 +138,65 @@ def test_resolve_columns():
     assert resolve_columns(["a", "b"], "b", dataset_name="xsum") == ("b", "summary")
     with pytest.raises(ValueError, match="zz"):
         resolve_columns(["a", "b"], text_column="zz")
+
+
+def test_bleu_tokens_and_zero_matches(spark):
+    df = spark.createDataFrame([("It's 3.14 well-known, 5-6 (a&amp;b)! x.", "a b c d e", "v w x y z")], "t string, p string, r string")
+    assert df.select(M.bleu_tokens("t").alias("x")).first().x == ["It's", "3.14", "well-known", ",", "5", "-", "6", "(", "a", "&", "b", ")", "!", "x", "."]
+    assert M.corpus_bleu(df, "p", "r").first().bleu == 0.0
+    none = spark.createDataFrame([(None, "a"), ("", ""), ("b", None)], "p string, r string")
+    assert M.corpus_bleu(none, "p", "r").first().bleu == 0.0 and M.rouge_n(none, "p", "r").first().rouge1 == 0.0
+
+
+def test_row_local_matches_by_counting(spark):
+    import random
+    from collections import Counter
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choice("abc") for _ in range(rng.randrange(12))), " ".join(rng.choice("abc") for _ in range(rng.randrange(12)))) for _ in range(60)]
+    got = M.corpus_bleu(spark.createDataFrame(rows, "p string, r string"), "p", "r").first()
+    for n in range(1, 5):
+        grams = [[Counter(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) for w in (p.split(), r.split())] for p, r in rows]
+        assert got[f"m{n}"] == sum(sum((a & b).values()) for a, b in grams) and got[f"t{n}"] == sum(sum(a.values()) for a, _ in grams)
+
+
+def test_union_lcs():
+    import random
+
+    def table(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return t
+
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in range(2))
+        t, i, j, places = table(a, b), len(a), len(b), set()
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                places.add(i - 1)
+                i, j = i - 1, j - 1
+            elif t[i][j - 1] > t[i - 1][j]:
+                j -= 1
+            else:
+                i -= 1
+        assert M._lcs_places(a, b) == places and len(places) == t[-1][-1] == M._lcs(a, b)
+    # Two predicted sentences cover different words of one reference sentence.
+    assert M._summary_hits([["a", "b"], ["d", "e"]], [["a", "b", "c", "d", "e"]]) == 4
+    assert M._summary_hits([["a"]], [["a"], ["a"]]) == 1
+
+
+def test_score_report(spark):
+    df = spark.createDataFrame([("0", "The cat sat. It ran.", "The cat sat. It ran.", [3, 4, 1, 0])], "row_id string, p string, r string, i array<int>")
+    got = {r.metric: r.value for r in M.score(df, "p", "r", "i").collect()}
+    assert set(got) == {"bleu", "rouge1", "rouge2", "rougeL", "rougeLsum", "gen_len"}
+    assert got["gen_len"] == 3.0 and all(abs(got[k] - 100) < 1e-6 for k in got if k != "gen_len")
+
+
+def test_pair_predictions_meets_every_row(spark):
+    import pytest
+    p, r = spark.createDataFrame([("1", "a"), ("2", "b")], "row_id string, prediction string"), spark.createDataFrame([("1", "x")], "row_id string, reference string")
+    assert [tuple(x) for x in M.pair_predictions(p.limit(1), r).collect()] == [("1", "a", "x")]
+    with pytest.raises(Exception, match="no partner for 2"):
+        M.pair_predictions(p, r).collect()
