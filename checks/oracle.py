@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Dict
 
-from checks.gen_sql import masked_rows, no_edit_rows, random_spans, encode, sample_prompts_rows, simple_rows, span_rows
+from checks.gen_sql import diff_masks, diff_opcodes, diff_variants, masked_rows, no_edit_rows, random_spans, encode, sample_prompts_rows, simple_rows, span_rows
 from checks.sqlfrag import arr, bounds, char_ratio, h, md5key, n_words, q, u32, words
 from revisio.plans.queries import SEED
 from revisio.sources.prompts import load_prompts
@@ -206,10 +206,10 @@ def _():
     return f"SELECT * FROM {span_rows(src, 'clarity', CAT['simplification'], 3, SEED, 'q')} t"
 
 
-def edit_rows(src: str, prompts, repeat: int, V: int, seed: int, stream: str) -> str:
-    """Plain + random-mask rows with ``type`` (the fused generator)."""
+def edit_rows(src: str, prompts, repeat: int, V: int, seed: int, stream: str, diff: bool = False) -> str:
+    """Plain + masked rows with ``type`` (the fused generator)."""
     return (f"(SELECT *, 'simple' AS type FROM {simple_rows(src, prompts, repeat, seed, stream)} a "
-            f"UNION ALL SELECT *, 'mask' AS type FROM {masked_rows(src, prompts, V, seed, stream)} b)")
+            f"UNION ALL SELECT *, 'mask' AS type FROM {masked_rows(src, prompts, V, seed, stream, diff=diff)} b)")
 
 
 @oracle("bidirectional_pairs")
@@ -226,6 +226,26 @@ def _():
 
 
 # ---------------------------------------------------------------- masks
+REL_WORDS = f"(SELECT row_id, {words('text')} AS a, {words('edited')} AS b FROM {RELATED} r)"
+
+
+@oracle("diff_opcodes")
+def _():
+    return f"SELECT row_id, k::INTEGER AS k, tag, i1::INTEGER AS i1, i2::INTEGER AS i2, j1::INTEGER AS j1, j2::INTEGER AS j2 FROM {diff_opcodes(REL_WORDS)} o"
+
+
+@oracle("mask_diff_full")
+def _():
+    return f"SELECT row_id, {mask_text('mask')} AS mask FROM {diff_masks(REL_WORDS)} m"
+
+
+@oracle("mask_diff_single_run")
+def _():
+    m = "list_transform(range(len(w)), lambda p: p >= spans[1].st AND p < spans[1].st + spans[1].ln)"
+    src = f"(SELECT row_id, edited AS inp, text AS out FROM {RELATED} r)"
+    return f"SELECT row_id, vname AS variant, {mask_text(m)} AS mask FROM {diff_variants(src, SEED, 'q')} v WHERE vname <> 'd0'"
+
+
 RAND_VARIANTS = random_spans(SEED, "q", 4, f"(SELECT row_id, input AS inp, {words('output')} AS w FROM {CONV} c)")
 RAND_MASK = (f"(SELECT row_id, vname, w, spans, list_transform(range(len(w)), lambda p: "
              f"len(list_filter(spans, lambda sp: p >= sp.st AND p < sp.st + sp.ln)) > 0) AS m FROM {RAND_VARIANTS} v)")
@@ -334,8 +354,8 @@ def fraction(src: str, frac: float = 0.95, seed: int = 1337) -> str:
 
 
 def standard_recipe(key: str, tag: str, group: str, base: str, repeat: int, V: int,
-                    rev_group: str = None, rev_tag: str = None) -> str:
-    parts = [f"SELECT *, '{tag}' AS \"from\" FROM {edit_rows(base, CAT[group], repeat, V, SEED, key + '/fwd')} a"]
+                    rev_group: str = None, rev_tag: str = None, diff: bool = False) -> str:
+    parts = [f"SELECT *, '{tag}' AS \"from\" FROM {edit_rows(base, CAT[group], repeat, V, SEED, key + '/fwd', diff)} a"]
     if rev_group:
         rbase = f"(SELECT row_id, out AS inp, inp AS out FROM {base} rb)"
         parts.append(f"SELECT *, '{rev_tag}' AS \"from\" FROM "
@@ -380,6 +400,32 @@ def _():
     return standard_recipe("para_bank_v2", "parabank_paraphrase", "paraphrasing", fraction(base), 1, 5)
 
 
+def _diff_recipe(key: str, tag: str, group: str, source: str, inp: str, out: str, where: str, repeat: int, V: int, part: bool = False) -> None:
+    base = f"(SELECT row_id, {inp} AS inp, {out} AS out FROM {source} t WHERE {where})"
+    ORACLE[key] = standard_recipe(key, tag, group, fraction(base) if part else base, repeat, V, diff=True)
+
+
+WNC = f"(SELECT row_id, split, edited AS text, text AS edited_text FROM {RELATED} r)"
+TRAIN, TRAIN_VAL = "split = 'train'", "split IN ('train', 'validation')"
+_diff_recipe("c4_gec", "c4_gec", "gec", C4, "input", "output", f"{TRAIN} AND {bounds('input', 10, 100)} AND {char_ratio()}", 1, 2)
+_diff_recipe("fce_gec", "fce_gec", "gec", FCE, "text", "edited_text",
+             f"split IN ('train', 'validation', 'test') AND len(still_need_edit) = 0 AND {bounds('text', None, 300)}", 3, 10)
+_diff_recipe("lang8", "clang8_gec", "gec", C4, "input", "output", f"{TRAIN} AND {bounds('input', 12, 50)}", 1, 1)
+_diff_recipe("bea19", "bea19_gec", "gec", FCE, "text", "edited_text", f"{TRAIN_VAL} AND {bounds('text', None, 350)} AND len(still_need_edit) < 2", 2, 10)
+_diff_recipe("wnc", "wnc_neut", "neutralization", WNC, "text", "edited_text", TRAIN_VAL, 1, 5, part=True)
+_diff_recipe("APPDIA_offensive", "appdia_offensive", "offensive", WNC, "text", "edited_text", TRAIN_VAL, 1, 5)
+
+
+def _paradetox() -> str:
+    rows = f"(SELECT row_id, toxic AS inp, row_id AS out FROM {PARADETOX} t WHERE {TRAIN} AND {bounds('toxic', 6)} AND {bounds('neutral1', 6)})"
+    parts = " UNION ALL ".join(f"SELECT p.row_id || ':{c}' AS row_id, p.toxic AS inp, p.{c} AS out FROM {PARADETOX} p JOIN {fraction(rows)} f "
+                               f"ON f.row_id = p.row_id WHERE p.{c} IS NOT NULL" for c in ("neutral1", "neutral2", "neutral3"))
+    return standard_recipe("Paradetox_toxic", "paradetox_toxic", "toxic", f"({parts})", 1, 3, diff=True)
+
+
+ORACLE["Paradetox_toxic"] = _paradetox()
+
+
 def _v2(key: str, kind: str, group: str, repeat: int) -> str:
     base = (f"(SELECT row_id, before_sent_with_intent AS inp, after_sent AS out FROM {ITV2} i "
             f"WHERE split = 'train' AND labels = '{kind}' AND {bounds('before_sent_with_intent', 10)} AND "
@@ -403,6 +449,13 @@ for _key, _kind, _group, _rep in [("IteraTeR_V1_Simplicity", "clarity", "simplif
                                   ("IteraTeR_V1_Fluency", "fluency", "gec", 3)]:
     ORACLE[_key] = _v1(_key, _kind, _group, _rep)
 
+# Every recipe; a new one without its SQL here would fail.
+from revisio.plans.recipes import RECIPES  # noqa: E402
+
+ORACLE["mixture"] = " UNION ALL ".join(f'SELECT row_id, variant, input, output, type, "from" FROM ({ORACLE[k]}) m{i}' for i, k in enumerate(RECIPES))
+ORACLE["build_all"] = ORACLE["mixture"]
+
+
 # ------------------------------------------------- tokenise, pad, batch
 VOCAB = ("(SELECT token, count, CAST(id AS INTEGER) AS id FROM (SELECT token, count, row_number() OVER "
          "(ORDER BY count DESC, token) - 1 + 3 AS id FROM (SELECT token, count(*) AS count FROM (SELECT unnest("
