@@ -54,6 +54,9 @@ STAR_GAIN = 0.3
 #: Classes whose sets are fetched by a broadcast of their documents' ids (16
 #: bytes each); more are fetched by a shuffle.
 MAX_BROADCAST = 500_000
+#: Shared prefix shingles (8 bytes each) that are broadcast; more are joined by
+#: a shuffle of the prefixes.
+MAX_SHARED = 2_000_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -180,8 +183,10 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
                       .select("sig", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("first_th"), "f.n", "f.prefix", "f.parity"), "classes")
     rows = classes.select("sig", "n", F.posexplode("prefix").alias("pos", "shingle"))
     # Only shingles that several classes share can make a pair.
-    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("shingle")
-    rows = written(rows.join(written(shared, "shared"), "shingle", "left_semi"), "prefixes")
+    shared = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("shingle"), "shared")
+    if shared.count() <= MAX_SHARED:
+        shared = F.broadcast(shared)
+    rows = written(rows.join(shared, "shingle", "left_semi"), "prefixes")
     n_rows = rows.count()
     links, labels, step, before = None, None, 0, None
     while n_rows:

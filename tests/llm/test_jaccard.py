@@ -54,6 +54,7 @@ def test_components_by_brute_force(spark, monkeypatch, size, percent, pairs, gai
     monkeypatch.setattr(J, "PAIRS_PER_ROW", pairs)
     monkeypatch.setattr(J, "STAR_GAIN", gain)
     monkeypatch.setattr(J, "MAX_BROADCAST", broadcast)
+    monkeypatch.setattr(J, "MAX_SHARED", broadcast)
     rows = [(i * 3 % 401, t) for i, t in enumerate(_near_copies(size, 250))] + [(500, None), (501, ""), (502, " \n"), (503, "one"), (504, "ONE")]
     docs = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, sig string, n int").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(docs, size, percent).collect()}
