@@ -563,6 +563,26 @@ def _():
             f"{ids(pad('labels', 'label_len', -100))} AS labels FROM {inner} y")
 
 
+@oracle("prepare")
+def _():
+    rows = (f"(SELECT row_id, 'fix: ' || input AS input, output FROM (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS rk FROM {GAPS} g) s "
+            f"WHERE rk >= 10 AND rk < 900 AND coalesce(length(input), 0) > 0 AND coalesce(length(output), 0) > 0)")
+
+    def side(col: str, most: int) -> str:
+        cut = f"list_slice({words(col)}, 1, {most - 1})"
+        toks = f"(SELECT row_id, unnest({cut}) AS token, generate_subscripts({cut}, 1) AS pos FROM {rows} r)"
+        return (f"(SELECT t.row_id, list(CAST(coalesce(v.id, 2) AS INTEGER) ORDER BY pos) AS ids FROM {toks} t LEFT JOIN {VOCAB} v "
+                f"ON v.token = t.token GROUP BY t.row_id)")
+
+    tokens = (f"(SELECT r.row_id, list_concat(coalesce(a.ids, []::INTEGER[]), [1]) AS input_ids, list_concat(coalesce(b.ids, []::INTEGER[]), [1]) AS labels "
+              f"FROM {rows} r LEFT JOIN {side('input', 128)} a ON a.row_id = r.row_id LEFT JOIN {side('output', 64)} b ON b.row_id = r.row_id)")
+    longest = "CAST(ceil(max(len({c})) OVER (PARTITION BY batch_id) / 8) * 8 AS INTEGER)"
+    inner = (f"(SELECT row_id, CAST(batch_id AS BIGINT) AS batch_id, CAST(pos_in_batch AS INTEGER) AS pos_in_batch, input_ids, labels, "
+             f"{longest.format(c='input_ids')} AS pad_len, {longest.format(c='labels')} AS label_len FROM {batches(tokens, 'drop_last', 8)} x)")
+    return (f"SELECT row_id, batch_id, pos_in_batch, pad_len, label_len, {ids(pad('input_ids', 'pad_len'))} AS input_ids, "
+            f"{ids(pad('labels', 'label_len', -100))} AS labels FROM {inner} y")
+
+
 @oracle("batch_plan")
 def _():
     return ("SELECT count(*) AS examples, CAST(floor(count(*) / 64) AS BIGINT) AS steps_per_epoch, "
