@@ -68,6 +68,11 @@ def parts_of(word: str) -> list[str]:
     return [MARK + word[:WORD_CHARS], *(word[i:i + WORD_CHARS] for i in range(WORD_CHARS, len(word), WORD_CHARS))]
 
 
+def _has_letter(words: list[str]) -> bool:
+    """Number characters such as fractions stand in words, but are no letters."""
+    return any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w)
+
+
 def load_pieces(path: str) -> dict[str, int]:
     import sentencepiece
 
@@ -272,7 +277,7 @@ class Scorer:
             self._learn(need)
         best, posterior = [], []
         for ws in words:
-            if not ws or not self.width:
+            if not self.width or not _has_letter(ws):
                 best.append(-1)
                 posterior.append(0.0)
                 continue

@@ -61,7 +61,7 @@ def test_language_cases(spark):
                                   "doc_id long, text string, lang string")
     model = L.learn(train, PIECES)
     assert model["langs"] == ["de", "en"]
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "12 !?"), (4, "the tree"), (4, "the tree"), (5, "und das " * 20000), (6, "日本"), (7, "x" * 300)],
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "12 !? ½ Ⅷ"), (4, "the tree"), (4, "the tree"), (5, "und das " * 20000), (6, "日本"), (7, "x" * 300)],
                                  "doc_id long, text string").withColumn("score", F.lit("clash"))
     got = [tuple(r) for r in L.predict(docs, model, F.lit(False)).collect()]
     pred = {d: p for d, _, p, _ in got}
