@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,9 @@ from revisio.llm.shingles import shingle_sets
 from revisio.llm.units import blocks
 
 SKETCH_BITS = 18
-#: Slots of the suffix filter: parities in this many 64-bit words.
-PARITY_WORDS = 32
+#: Slots of the suffix filter: parities in this many 64-bit words, folded into
+#: fewer where they travel with each prefix shingle.
+PARITY_WORDS, FOLDED_WORDS = 32, 8
 #: Pairs for each prefix row up to which what is left is compared at once.
 PAIRS_PER_ROW = 2
 #: Share of the pairs left that a star step must take away to be repeated.
@@ -136,18 +138,39 @@ def _needed(na: Column, nb: Column, percent: int) -> Column:
     return F.expr("0") + F.ceil((na + nb) * percent / F.lit(100 + percent) - F.lit(1e-9))
 
 
-def _may_link(percent: int, a: str, b: str) -> Column:
-    """Length and positional filters on rows with ``{a}n, {a}pos, {b}n, {b}pos``."""
-    na, nb, pa_, pb = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}pos"), F.col(f"{b}pos")
+def _apart(x: Column, y: Column) -> Column:
+    """Slots whose parities differ: no more than the shingles in which two sets differ."""
+    return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, n: s + n)
+
+
+def _folded(parity: Column) -> Column:
+    """The parities of merged slots."""
+    words = [F.get(parity, F.lit(k)) for k in range(PARITY_WORDS)]
+    return F.array(*[reduce(lambda x, y: x.bitwiseXOR(y), words[k::FOLDED_WORDS]) for k in range(FOLDED_WORDS)])
+
+
+#: What travels with each prefix shingle.
+_ROW = ("sig", "n", "pos", "odd", "label")
+
+
+def _side(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select("shingle", *[F.col(c).alias(f"{name}_{c}") for c in _ROW])
+
+
+def _may_link(percent: int) -> Column:
+    """Length, positional and suffix filters on rows with both sides' ``a_`` and ``b_`` columns."""
+    na, nb, pa_, pb = F.col("a_n"), F.col("b_n"), F.col("a_pos"), F.col("b_pos")
     most = F.least(pa_, pb) + 1 + F.least(na - pa_, nb - pb) - 1
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (most >= _needed(na, nb, percent))
+    need = _needed(na, nb, percent)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (most >= need) \
+        & (na + nb - _apart(F.col("a_odd"), F.col("b_odd")) >= 2 * need)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, after the suffix filter and the intersection."""
     one = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("parity").alias("xa"))
     two = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("xb"))
-    apart = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    apart = _apart(F.col("xa"), F.col("xb"))
     # The sets differ in at least ``apart`` shingles, so they share at most half of the others.
     pairs = written(pairs.join(one, "a").join(two, "b")
                     .filter(F.col("na") + F.col("nb") - apart >= 2 * _needed(F.col("na"), F.col("nb"), percent)).select("a", "b"), "pairs")
@@ -181,11 +204,11 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n", "prefix", "parity")).alias("f")
     classes = written(members.filter("sig is not null").groupBy("sig").agg(first)
                       .select("sig", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("first_th"), "f.n", "f.prefix", "f.parity"), "classes")
-    rows = classes.select("sig", "n", F.posexplode("prefix").alias("pos", "shingle"))
     # Only shingles that several classes share can make a pair.
-    shared = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("shingle"), "shared")
+    shared = written(classes.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("shingle"), "shared")
     if shared.count() <= MAX_SHARED:
         shared = F.broadcast(shared)
+    rows = classes.select("sig", "n", _folded(F.col("parity")).alias("odd"), F.posexplode("prefix").alias("pos", "shingle"))
     rows = written(rows.join(shared, "shingle", "left_semi"), "prefixes")
     n_rows = rows.count()
     links, labels, step, before = None, None, 0, None
@@ -204,18 +227,17 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
             last = left <= PAIRS_PER_ROW * n_rows or (before is not None and left > (1 - STAR_GAIN) * before)
             before = left
             now = written(now.join(open_.select("shingle"), "shingle", "left_semi"), "open-rows")
+        two = _side(now, "b")
         if last:
-            two = now.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("sig", "n", "pos", "label")])
-            one = now.select("shingle", *[F.col(c).alias(f"a_{c}") for c in ("sig", "n", "pos", "label")])
+            one = _side(now, "a")
             found = one.join(two, (one["shingle"] == two["shingle"]) & (F.col("a_sig") < F.col("b_sig")) & (F.col("a_label") != F.col("b_label"))
-                             & _may_link(percent, "a_", "b_"))
+                             & _may_link(percent))
         else:
             # The middle of a group: another one in each step.
-            place = F.xxhash64("sig", F.lit(step))
-            middle = written(now.groupBy("shingle").agg(F.min(F.struct(place.alias("h"), "sig", "n", "pos", "label")).alias("m"))
-                             .select("shingle", *[F.col(f"m.{c}").alias(f"a_{c}") for c in ("sig", "n", "pos", "label")]), "middles")
-            two = now.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("sig", "n", "pos", "label")])
-            found = two.join(middle, "shingle").filter((F.col("a_label") != F.col("b_label")) & _may_link(percent, "a_", "b_"))
+            place = F.xxhash64("sig", F.lit(step)).alias("h")
+            middle = now.groupBy("shingle").agg(F.min(F.struct(place, *_ROW)).alias("m")).select("shingle", *[f"m.{c}" for c in _ROW])
+            middle = _side(written(middle, "middles"), "a")
+            found = two.join(middle, (middle["shingle"] == two["shingle"]) & (F.col("a_label") != F.col("b_label")) & _may_link(percent))
         pairs = found.select(F.least("a_sig", "b_sig").alias("a"), F.greatest("a_sig", "b_sig").alias("b")).distinct()
         new = _verified(pairs, classes, docs, size, percent)
         links = written(new if links is None else links.unionByName(new), "links")
