@@ -221,12 +221,15 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
             by = now.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle") \
                 .agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own")).filter("all * all > own")
             open_ = written(by.select("shingle", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("left")), "open")
-            left = open_.agg(F.sum("left")).first()[0] or 0
+            left, n_open = open_.agg(F.coalesce(F.sum("left"), F.lit(0)), F.count(F.lit(1))).first()
             if not left:
                 break
             last = left <= PAIRS_PER_ROW * n_rows or (before is not None and left > (1 - STAR_GAIN) * before)
             before = left
-            now = written(now.join(open_.select("shingle"), "shingle", "left_semi"), "open-rows")
+            if n_open <= MAX_SHARED:
+                now = now.join(F.broadcast(open_.select("shingle")), "shingle", "left_semi")
+            else:
+                now = written(now.join(open_.select("shingle"), "shingle", "left_semi"), "open-rows")
         two = _side(now, "b")
         if last:
             one = _side(now, "a")
