@@ -268,15 +268,25 @@ def keep_one(docs: DataFrame, size: int, percent: int) -> DataFrame:
     (of rows that repeat it exactly, one). Texts without a shingle all stay."""
     found = written(jaccard_components(docs, size, percent), "decided")
     first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("component_th"))
-    gone = found.filter(~first).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    again = found.filter(first & (F.col("n_shingles") > 0)).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")) \
-        .agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
-    gone, again = written(gone, "gone"), written(again, "repeated")
+    key = [F.col("doc_id").alias("_id"), F.col("th").alias("_th")]
+    gone = found.filter(~first).select(*key).distinct().withColumn("_again", F.lit(False))
+    again = found.filter(first & (F.col("n_shingles") > 0)).groupBy(*key).agg(F.count(F.lit(1)).alias("_c")) \
+        .filter("_c > 1").select("_id", "_th", F.lit(True).alias("_again"))
+    moved = written(gone.unionAll(again), "moved")
+    n_moved, n_again = moved.agg(F.count(F.lit(1)), F.count_if("_again")).first()
 
     def same(keys: DataFrame) -> Column:
         return docs["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_th"])
 
-    once = docs.join(gone, same(gone), "left_anti").join(again, same(again), "left_anti")
+    def keys(rows: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(rows.select("_id", "_th")) if n <= MAX_BROADCAST else rows.select("_id", "_th")
+
+    # The texts meet all ids that do not stay as they are in one join.
+    gone = keys(moved, n_moved)
+    once = docs.join(gone, same(gone), "left_anti")
+    if not n_again:
+        return once
+    again = keys(moved.filter("_again"), n_again)
     repeated = docs.join(again, same(again), "left_semi").withColumn("__llm_th", F.xxhash64("text")) \
         .dropDuplicates(["doc_id", "__llm_th"]).drop("__llm_th")
     return once.unionByName(repeated)
