@@ -225,8 +225,13 @@ def decision(rules: list[Rule], stats: Column) -> Column:
 
 def apply_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
+    return kept_rows(with_stats(docs, text_col), rules)
+
+
+def kept_rows(judged: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows that stay of a table that has its statistics already, without them."""
     s = F.col("_stats")
-    return with_stats(docs, text_col).filter(~base_failed(s) & decision(rules, s).isNull()).drop("_stats")
+    return judged.filter(~base_failed(s) & decision(rules, s).isNull()).drop("_stats")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
