@@ -15,18 +15,20 @@ from revisio.llm.jaccard import keep_one
 from revisio.llm.packing import harmonic_packing
 from revisio.llm.quality_knn import keep_good
 from revisio.llm.quality_knn import learn as learn_knn
-from revisio.llm.quality_rules import apply_rules, learn_rules, with_stats
+from revisio.llm.quality_rules import kept_rows, learn_rules, with_stats
 
 #: Near duplicates: word shingles of this size, and a similarity in percent.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the base rule or a learned rule rejects."""
-    labels = read_table(spark, sf_dir, "labels")
-    labelled = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    stats = written(with_stats(labelled).drop("text"), "pipeline-stats")
-    return apply_rules(docs, learn_rules(stats, labels))
+    """Drop documents that the base rule or a learned rule rejects.
+
+    The statistics are computed once and written beside the texts; learning
+    reads the narrow columns alone, so no text is shuffled.
+    """
+    judged = written(with_stats(docs), "pipeline-stats")
+    return kept_rows(judged, learn_rules(judged, read_table(spark, sf_dir, "labels")))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
