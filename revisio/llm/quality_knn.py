@@ -3,7 +3,9 @@
 Terms. Each white-space word gives its form (letters by case, digits and other
 characters as they are, runs written once), pairs of neighbouring forms give
 another term, and a word that repeats the one before it a third; words
-themselves are hashed into a fixed number of terms. A text's vector holds
+themselves are hashed into a fixed number of terms. A word above ``PART_CHARS``
+characters (unspaced scripts, encoded runs, minified code) is cut into
+consecutive parts, and each part counts as a word. A text's vector holds
 damped, length-normalised term shares weighted by inverse document frequency.
 
 Space. A singular value decomposition of the labelled vectors (on the driver,
@@ -43,17 +45,26 @@ NEIGHBOURS = 15
 MAX_LABELLED = 6000
 THRESHOLD = 0.3
 MEMO_LIMIT = 300_000
+#: Longest word that is one term; longer ones are cut, and all their parts count.
+PART_CHARS = 64
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 _RUN = re.compile(r"(.)\1+", re.S)
+_PART = re.compile(rf"\S{{1,{PART_CHARS}}}")
 
 
 def form(word: str) -> str:
     """Letters become a or A, digits 0; runs are written once."""
-    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return _RUN.sub(r"\1", out)
 
 
+def words_of(text: str) -> list[str]:
+    """White-space words, long ones in parts of at most PART_CHARS."""
+    words = text.split()
+    return _PART.findall(text) if max(map(len, words), default=0) > PART_CHARS else words
+
+
 def _bucket(s: str, n: int) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass")) % n
 
@@ -74,7 +85,7 @@ class Terms:
             self.memo[w] = _bucket(form(w), FORMS) * WORDS + _bucket(w.lower(), WORDS)
 
     def rows(self, texts: list[str | None]) -> np.ndarray:
-        words = [t.split() if t else [] for t in texts]
+        words = [words_of(t) if t else [] for t in texts]
         need = set().union(*words)
         if not need <= self.memo.keys():
             self._learn(need)

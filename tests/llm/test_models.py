@@ -107,3 +107,14 @@ def test_vote_by_hand():
     model = {"share": .5, "project": np.eye(2, dtype=np.float32), "vectors": np.array([[1, 0], [0, 1], [.6, .8]], np.float32), "y": np.array([1, 0, 0], np.float32)}
     got = K.vote(model, np.array([[1, 0], [0, 0]], np.float32), neighbours=2)
     assert np.allclose(got, [1 / (1 + .6 ** 4), .5])
+
+
+def test_long_words_count_whole():
+    head = "x" * 64
+    tails = ["", "9" * 40, "9" * 400, "AbC-" * 300]
+    rows = K.Terms().rows([head + t for t in tails] + ["漢字、" * 500 + "END9", "漢字、" * 500])
+    assert len({r[:K.FORMS + K.PAIRS].tobytes() for r in rows}) == len(rows)  # what stands behind the head tells in forms and pairs
+    parts = K.words_of(" a\x1c" + "漢" * 150 + "　b ")
+    assert [len(p) for p in parts] == [1, 64, 64, 22, 1] and "".join(parts) == "a" + "漢" * 150 + "b"
+    assert K.words_of("ab  c\td e " + "y" * 64) == ["ab", "c", "d", "e", "y" * 64]
+    assert K.form("a" * 70 + "9B") == "a0A"
