@@ -583,6 +583,13 @@ def _():
             f"{ids(pad('labels', 'label_len', -100))} AS labels FROM {inner} y")
 
 
+@oracle("prepare_all")
+def _():
+    upper = " AND rk < 900"
+    assert upper in ORACLE["prepare"]
+    return ORACLE["prepare"].replace(upper, "")
+
+
 @oracle("batch_plan")
 def _():
     return ("SELECT count(*) AS examples, CAST(floor(count(*) / 64) AS BIGINT) AS steps_per_epoch, "

@@ -497,16 +497,26 @@ def q_pad_batches(spark, sf):
                     K.ids_text("attention_mask").alias("attention_mask"), K.ids_text("labels").alias("labels"))
 
 
-@query("prepare")
-def q_prepare(spark, sf):
-    """Pairs with gaps: sliced, cleaned, prefixed, tokenised, batched and padded."""
+def _prepared(spark, sf, stop):
     from revisio.operators.prepare import prepare
-    t = prepare(with_gaps(S.related_pairs(spark, sf)), vocab_frame(spark, sf), 8, SEED, SRC_LEN, TGT_LEN, start=10, stop=900,
+    t = prepare(with_gaps(S.related_pairs(spark, sf)), vocab_frame(spark, sf), 8, SEED, SRC_LEN, TGT_LEN, start=10, stop=stop,
                 prefix="fix: ", mode="drop_last")
     return t.select("row_id", "batch_id", "pos_in_batch", "pad_len", "label_len", K.ids_text("input_ids").alias("input_ids"),
                     K.ids_text("labels").alias("labels"))
 
 
+@query("prepare")
+def q_prepare(spark, sf):
+    """Pairs with gaps: ranks 10 to 900 sliced, cleaned, prefixed, tokenised, batched and padded."""
+    return _prepared(spark, sf, 900)
+
+
+@query("prepare_all")
+def q_prepare_all(spark, sf):
+    """The chain of ``prepare`` over all rows from rank 10 on, at every size."""
+    return _prepared(spark, sf, None)
+
+
 @query("batch_plan")
 def q_batch_plan(spark, sf):
     return B.batch_plan(_docs(spark, sf), 8, epochs=3, devices=2, accumulation=4)
