@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from revisio.llm.common import read_table
 
-#: Conversations with the same first turn that are ranked together.
+#: Conversations with the same first turn that one task ranks, about.
 GROUP_ROWS = 1000
 _OPEN, _SHUT = "<|", "|>"
 
@@ -86,35 +86,44 @@ def assemble(formatted: DataFrame) -> DataFrame:
         .select("pair_id", "part", F.array_join(F.transform("rows", lambda x: x["text"]), "").alias("text"), spans.alias("loss"))
 
 
-def _hash(c: Column) -> Column:
-    return F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
-
-
 def preference_pairs(turns: DataFrame, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected turns (``pair_id, turn, seq, role, text``) out of plain conversations.
 
     * Conversations that open with the same turn answer the same request: they
-      are paired two by two in the order of their ids; the one in which the
-      assistant writes more is chosen (ties: the smaller id). Groups above
-      ``group_rows`` are first dealt by a hash of the id. ``pair_id`` is
+      are paired two by two in the order of their ids; an odd last one is paired
+      with the one before it, which then stands in two pairs. The one in which
+      the assistant writes more is chosen (ties: the smaller id). ``pair_id`` is
       ``<chosen>-<rejected>``.
     * Every conversation with an assistant turn is also chosen against its own
       copy whose last such turn breaks off after half its characters.
       ``pair_id`` is ``<id>-cut``.
+    * A conversation without an assistant turn has no copy; if no other opens
+      like it either, it is in no pair and gives no row.
+
+    Places in a group come from ``row_number`` in buckets of about
+    ``group_rows`` neighbouring ids and the buckets' sizes summed up; the
+    pairs depend on neither.
     """
     first = turns.groupBy("conv").agg(
         F.min(F.struct("turn", "seq", "role", "text")).alias("f"),
         F.sum(F.when(F.col("role") == "assistant", F.length("text")).otherwise(0)).alias("said"),
         F.max(F.when(F.col("role") == "assistant", F.struct("turn", "seq"))).alias("last"))
     opened = first.select("conv", "said", "last", F.md5(F.concat("f.role", F.lit("\n"), "f.text").cast("binary")).alias("key"))
-    groups = opened.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1") \
-        .select("key", F.ceil(F.col("n") / group_rows).alias("k"))
+    groups = opened.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("conv").cast("double").alias("low"), F.max("conv").cast("double").alias("high")) \
+        .filter("n > 1").withColumn("k", F.ceil(F.col("n") / group_rows))
+    # Equal steps between the smallest and the largest id: buckets keep the ids' order.
+    step = F.floor((F.col("conv").cast("double") - F.col("low")) / (F.col("high") - F.col("low") + 1) * F.col("k"))
+    dealt = opened.join(groups, "key").select("conv", "said", "key", "n", F.least(step, F.col("k") - 1).alias("bucket"))
+    sizes = dealt.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("m"))
+    earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("key", "bucket", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("start"))
     own = Window.partitionBy("key", "bucket").orderBy("conv")
-    ranked = opened.join(groups, "key").withColumn("bucket", _hash(F.col("conv")) % F.col("k")) \
-        .select("conv", "said", "key", "bucket", (F.row_number().over(own) - 1).alias("i"))
-    two = ranked.groupBy("key", "bucket", F.floor(F.col("i") / 2).alias("pair")).agg(
-        F.count(F.lit(1)).alias("n"), F.max_by("conv", F.struct("said", -F.col("conv"))).alias("chosen"),
-        F.min_by("conv", F.struct("said", -F.col("conv"))).alias("rejected")).filter("n = 2")
+    ranked = dealt.join(starts, ["key", "bucket"]).withColumn("i", F.col("start") + F.row_number().over(own) - 1)
+    pair = F.expr("i div 2")
+    places = F.when((F.col("n") % 2 == 1) & (F.col("i") == F.col("n") - 2), F.array(pair, pair + 1)).otherwise(F.array(pair))
+    two = ranked.select("conv", "said", "key", F.explode(places).alias("pair")).groupBy("key", "pair").agg(
+        F.max_by("conv", F.struct("said", -F.col("conv"))).alias("chosen"),
+        F.min_by("conv", F.struct("said", -F.col("conv"))).alias("rejected"))
     pair_id = F.concat_ws("-", "chosen", "rejected")
     natural = two.select(pair_id.alias("pair_id"), F.inline(F.array(
         F.struct(F.col("chosen").alias("conv"), F.lit(True).alias("is_chosen")),
@@ -133,6 +142,8 @@ def op10_preference_format(spark, sf_dir: str) -> DataFrame:
     return format_preferences(*preference_pairs(turns_of(read_table(spark, sf_dir, "conversations"))))
 
 
+# Equal to the query wherever no opening is shared by an odd number of
+# conversations or by more than GROUP_ROWS of them: it leaves those unpaired.
 ORACLE_SQL = f"""
 WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv, turn ORDER BY role, text) - 1 AS seq FROM (
     SELECT DISTINCT conv_id AS conv, turn, replace(coalesce(role, ''), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text

@@ -207,3 +207,20 @@ def test_hot_first_turn_is_dealt_out(spark):
     natural = [r.pair_id for r in chosen.select("pair_id").distinct().collect() if not r.pair_id.endswith("cut")]
     ends = [int(x) for p in natural for x in p.split("-")]
     assert len(set(ends)) == len(ends) and len(ends) >= 300 - 16
+
+
+@pytest.mark.parametrize("n, group_rows", [(2, 1000), (3, 1000), (301, 1000), (301, 20), (300, 7), (301, 1)])
+def test_no_conversation_is_lost_from_the_pairs(spark, n, group_rows):
+    ids = [i * i for i in range(n)]  # not evenly spread
+    rows = [(i, t, "user" if t == 0 else "assistant", "same" if t == 0 else "answer", 0) for i in ids for t in (0, 1)]
+    chosen, rejected = preference_pairs(turns_of(_turns(spark, rows)), group_rows=group_rows)
+    want = {f"{a}-{b}" for a, b in zip(ids[::2], ids[1::2])} | ({f"{ids[-2]}-{ids[-1]}"} if n % 2 else set())
+    for side in (chosen, rejected):
+        assert {r.pair_id for r in side.select("pair_id").collect() if not r.pair_id.endswith("cut")} == want
+
+
+def test_conversations_without_an_assistant(spark):
+    rows = [(1, 0, "user", "alone", 0), (2, 0, "user", "both", 0), (2, 1, "user", "more", 0), (3, 0, "user", "both", 0), (3, 1, "assistant", "yes", 0)]
+    got = format_preferences(*preference_pairs(turns_of(_turns(spark, rows)))).collect()
+    assert {r.pair_id for r in got} == {"3-2", "3-cut"}
+    assert [(r.part, r.turn, r.loss_to) for r in got if r.pair_id == "3-2" and r.part == "rejected"] == [("rejected", 1, 0)]
