@@ -2,7 +2,8 @@
 
 The vocabulary is fixed and public (the pieces of a sentencepiece model). For
 each language, a piece's probability is learned from at most ``MAX_TRAIN``
-training documents (those with the smallest hash of the id) by expected counts: one forward-backward pass over all segmentations of each word
+training documents (the same number of each language, as far as it has them:
+those with the smallest hash of the id) by expected counts: one forward-backward pass over all segmentations of each word
 under a language-neutral prior (a piece's share falls with its number of
 characters), weighted by how often the word occurs in that language. A word's
 probability in a language is the sum over all its segmentations of the product
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revisio.llm.common import crc32_mod, on_workers, read_table
@@ -165,12 +166,37 @@ def expected_counts(lattice: Lattice, counts: list[tuple[str, np.ndarray]], prio
     return out
 
 
-def sample(train: DataFrame, rows: int = MAX_TRAIN, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
-    """At most ``rows`` rows with a language, those with the smallest hash of the id."""
-    marks = train.select(train[id_col].alias("_id"), train[lang_col].alias("_lang")).filter("_lang is not null").select("_id", F.xxhash64("_id").alias("_h"))
-    share = min(1.0, 1.2 * rows / max(1, marks.count()))
-    marks = marks.filter(F.col("_h").cast("double") / 2.0**64 + 0.5 <= share).orderBy("_h", "_id").limit(rows).select("_id").distinct()
-    return train.join(F.broadcast(marks), train[id_col] == marks["_id"], "left_semi")  # at most ``rows`` ids
+def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """How many rows each language gets of ``rows``: all of a small one's, an
+    equal number of the others', at least one."""
+    out, left = {}, rows
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(1, left // (len(counts) - i)))
+        left -= out[lang]
+    return out
+
+
+def sample(train: DataFrame, rows: int = MAX_TRAIN, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """At most ``rows`` rows with a language and letters in the text, shared out
+    by ``quotas``: those of each language with the smallest hash of the id. Rows
+    without letters teach nothing and take no places."""
+    spark = train.sparkSession
+    lang = train[lang_col].cast("string")
+    marks = train.filter(lang.isNotNull() & train[text_col].cast("string").rlike(r"[\p{L}\p{N}]")) \
+        .select(train[id_col].alias("_id"), lang.alias("_lang"), F.xxhash64(train[id_col]).alias("_h"))
+    found = marks.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("low")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; raise MAX_LANGUAGES if the model may be that large")
+    quota = quotas({r["_lang"]: r["n"] for r in found}, rows)
+    # A threshold on a uniform hash takes the share that is wanted and some more, without a sort of all rows;
+    # the smallest hash is taken in any case.
+    shares = spark.createDataFrame(
+        [(r["_lang"], quota[r["_lang"]], min(1.0, (1.2 * quota[r["_lang"]] + 30) / r["n"]), r["low"]) for r in found],
+        "_lang string, _quota long, _share double, _low long")
+    near = marks.join(F.broadcast(shares), "_lang").filter("_h <= _low or double(_h) / 18446744073709551616D + 0.5D <= _share")  # a row a language
+    own = Window.partitionBy("_lang").orderBy("_h", "_id")
+    marks = near.withColumn("_place", F.row_number().over(own)).filter("_place <= _quota").select("_id", "_lang").distinct()
+    return train.join(F.broadcast(marks), (train[id_col] == marks["_id"]) & (lang == marks["_lang"]), "left_semi")  # at most ``rows`` ids
 
 
 def learn(train: DataFrame, piece_path: str, lang_col: str = "lang", text_col: str = "text") -> dict:

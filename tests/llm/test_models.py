@@ -118,3 +118,18 @@ def test_long_words_count_whole():
     assert [len(p) for p in parts] == [1, 64, 64, 22, 1] and "".join(parts) == "a" + "漢" * 150 + "b"
     assert K.words_of("ab  c\td e " + "y" * 64) == ["ab", "c", "d", "e", "y" * 64]
     assert K.form("a" * 70 + "9B") == "a0A"
+
+
+def test_sample_keeps_rare_languages(spark):
+    rows = [(i, "common", f"text {i}") for i in range(3000)] + [(5000 + i, "rare", f"seldom {i}") for i in range(3)] \
+        + [(6000 + i, "rare", None if i % 2 else "- -") for i in range(500)] + [(9000, None, "x"), (None, "common", "y")] \
+        + [(8000, "copies", "one id")] * 50
+    train = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = L.sample(train, 40).collect()
+    assert sorted(r.doc_id for r in got if r.lang == "rare") == [5000, 5001, 5002]
+    assert "copies" in {r.lang for r in got} and sum(r.lang == "common" for r in got) == 19
+    assert sorted(r.doc_id for r in L.sample(train.repartition(7), 40).collect()) == sorted(r.doc_id for r in got)
+    assert L.sample(train, 10_000).filter("lang = 'common'").count() == 3000
+    assert L.sample(train.limit(0), 40).count() == 0
+    assert set(L.learn(L.sample(train, 2), PIECES)["langs"]) == {"common", "rare", "copies"}
+    assert L.quotas({"a": 1, "b": 100, "c": 9}, 30) == {"a": 1, "c": 9, "b": 20}
