@@ -6,11 +6,13 @@ another term, and a word that repeats the one before it a third; words
 themselves are hashed into a fixed number of terms. A word above ``PART_CHARS``
 characters (unspaced scripts, encoded runs, minified code) is cut into
 consecutive parts, and each part counts as a word. A text's vector holds
-damped, length-normalised term shares weighted by inverse document frequency.
+damped, length-normalised term shares weighted by inverse document frequency,
+which is counted over all documents.
 
 Space. A singular value decomposition of the labelled vectors (on the driver,
 from a bounded sample: ``max_labelled`` rows, the smallest by a hash of the id,
-times ``TERMS`` columns) gives the latent directions.
+times ``TERMS`` columns; if ids repeat in the documents, the first four times as
+many matches by the hashes of id and text) gives the latent directions.
 
 Voting. The labelled latent vectors are broadcast (max_labelled x rank floats,
 about 1 MB); every document's cosine with every one of them is computed exactly
@@ -118,6 +120,29 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
+def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of rows of ``docs`` and for each term the number that have it.
+
+    Each task adds up its own rows, so at most TERMS + 1 numbers a task are
+    summed by Spark, and as many reach the driver.
+    """
+    on_workers(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(TERMS + 1, dtype=np.int64)  # the last: rows
+        for batch in batches:
+            for a, b in blocks(batch.column(0)):
+                n[:TERMS] += (_terms().rows(batch.column(0).slice(a, b - a).to_pylist()) > 0).sum(axis=0)
+                n[TERMS] += b - a
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["term", "n"])
+
+    out = np.zeros(TERMS + 1, dtype=np.int64)
+    for r in docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        out[r["term"]] = r["n"]
+    return int(out[TERMS]), out[:TERMS]
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rank: int = RANK) -> dict:
     """The latent space and the labelled vectors, from at most ``max_labelled``
     labelled rows, those with the smallest hash of the id."""
@@ -130,7 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     marks = marks.withColumn("_h", F.xxhash64("doc_id")).filter((F.col("_h").cast("double") / 2.0**64 + 0.5) <= share) \
         .orderBy("_h", "doc_id", "quality").limit(max_labelled)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")) \
-        .join(F.broadcast(marks.drop("_h")), "doc_id").select("doc_id", "quality", "text")  # at most max_labelled narrow rows
+        .join(F.broadcast(marks.drop("_h")), "doc_id").select("doc_id", "quality", "text", F.xxhash64("text").alias("_t"))  # at most max_labelled narrow rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,17 +164,20 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
                 at = [np.flatnonzero(r) for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([x.astype("<i2").tobytes() for x in at], pa.binary()),
-                     pa.array([r[x].astype("<f4").tobytes() for r, x in zip(rows, at)], pa.binary())], ["doc_id", "quality", "cols", "vals"])
+                     pa.array([r[x].astype("<f4").tobytes() for r, x in zip(rows, at)], pa.binary()),
+                     batch.column(3).slice(a, b - a)], ["doc_id", "quality", "cols", "vals", "_t"])
 
-    found = texts.mapInArrow(run, "doc_id long, quality int, cols binary, vals binary").limit(4 * max_labelled).collect()
-    found = sorted(found, key=lambda r: (r["doc_id"], r["quality"], bytes(r["vals"])))
+    found = texts.mapInArrow(run, "doc_id long, quality int, cols binary, vals binary, _t long") \
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "_t", "quality", "vals", "cols").limit(4 * max_labelled).collect()
+    found = sorted(found, key=lambda r: (r["doc_id"], r["quality"], bytes(r["vals"]), bytes(r["cols"])))
     x = np.zeros((len(found), TERMS), dtype=np.float32)
     for row, r in zip(x, found):
         row[np.frombuffer(r["cols"], "<i2")] = np.frombuffer(r["vals"], "<f4")
     y = np.array([r["quality"] for r in found], dtype=np.float32)
     if not len(found):
         return {"share": 0.5, "vectors": np.zeros((0, 1), np.float32), "y": y, "project": np.zeros((TERMS, 1), np.float32)}
-    idf = np.log((1 + len(found)) / (1 + (x > 0).sum(axis=0))) + 0.1
+    total, having = document_frequencies(docs)
+    idf = np.log((1 + total) / (1 + having)) + 0.1
     x = _unit(x * idf)
     # Singular vectors by the terms' own products: TERMS x TERMS, whatever the sample.
     value, vector = np.linalg.eigh((x.T @ x).astype(np.float64))

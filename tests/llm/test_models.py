@@ -133,3 +133,24 @@ def test_sample_keeps_rare_languages(spark):
     assert L.sample(train.limit(0), 40).count() == 0
     assert set(L.learn(L.sample(train, 2), PIECES)["langs"]) == {"common", "rare", "copies"}
     assert L.quotas({"a": 1, "b": 100, "c": 9}, 30) == {"a": 1, "c": 9, "b": 20}
+
+
+def test_frequencies_cover_all_documents(spark):
+    texts = ["a a b", "a", "", None, "a 漢字"] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    n, having = K.document_frequencies(docs)
+    assert n == 150 and (having == (K.Terms().rows(texts) > 0).sum(axis=0)).all()
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    few, more = (K.learn(d, labels) for d in (docs.filter("doc_id < 2"), docs))
+    assert (few["y"] == more["y"]).all() and not np.allclose(few["project"], more["project"])
+    assert K.document_frequencies(docs.limit(0))[0] == 0
+
+
+def test_repeated_ids_are_cut_in_a_fixed_order(spark):
+    rows = [(1, f"word{i} " * (i % 7 + 1) + "x" * i) for i in range(60)]
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    models = []
+    for parts, backwards in ((1, False), (1, True), (7, False)):
+        docs = spark.createDataFrame(rows[::-1] if backwards else rows, "doc_id long, text string").repartition(parts, "text")
+        models.append(K.learn(docs, labels, max_labelled=2))
+    assert all(len(m["y"]) == 8 and np.array_equal(m["vectors"], models[0]["vectors"]) for m in models)
