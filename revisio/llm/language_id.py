@@ -34,11 +34,9 @@ from pyspark.sql import functions as F
 from revisio.llm.common import crc32_mod, on_workers, read_table
 from revisio.llm.units import blocks
 
-#: Longest word that is scored in one piece; longer runs of letters are cut,
-#: and all their parts count.
+#: Characters of a word that a lattice takes at a time; longer runs of letters
+#: go on where the part before ended, so pieces across the parts count as well.
 WORD_CHARS = 32
-#: Longest vocabulary piece that is used.
-PIECE_CHARS = 12
 #: Words whose lattices are held at once.
 GROUP = 1500
 #: Words whose vectors a worker keeps.
@@ -63,7 +61,7 @@ def words_of(text: str) -> list[str]:
 
 
 def parts_of(word: str) -> list[str]:
-    """A word as the lattice sees it: marked as a beginning, in parts of at most WORD_CHARS."""
+    """A word as the lattice takes it: marked as a beginning, in parts of at most WORD_CHARS."""
     if len(word) <= WORD_CHARS:
         return [MARK + word]
     return [MARK + word[:WORD_CHARS], *(word[i:i + WORD_CHARS] for i in range(WORD_CHARS, len(word), WORD_CHARS))]
@@ -80,7 +78,7 @@ def load_pieces(path: str) -> dict[str, int]:
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     names = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())
              if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return {p: i for i, p in enumerate(sorted(p for p in names if 0 < len(p) <= PIECE_CHARS))}
+    return {p: i for i, p in enumerate(sorted(p for p in names if p))}
 
 
 class Lattice:
@@ -89,15 +87,16 @@ class Lattice:
     def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary = vocabulary
         self.size = len(vocabulary)
+        self.deep = max(map(len, vocabulary), default=1)
         # Beginnings of pieces that are not pieces themselves: where to go on looking.
         self.reach: dict[str, int] = {p[:k]: -1 for p in vocabulary for k in range(1, len(p))} | vocabulary
 
     def edges(self, words) -> np.ndarray:
         """[word, end, length - 1] -> piece, -1 for none, ``size`` for an unknown character."""
         n = max(map(len, words))
-        out = np.full((len(words), n + 1, PIECE_CHARS), -1, dtype=np.int32)
+        out = np.full((len(words), n + 1, self.deep), -1, dtype=np.int32)
         get, unknown = self.reach.get, self.size
-        across, deep = n + 1, PIECE_CHARS
+        across, deep = n + 1, self.deep
         at: list[int] = []
         found: list[int] = []
         put, name = at.append, found.append
@@ -122,17 +121,64 @@ class Lattice:
         return out
 
     @staticmethod
-    def forward(edges: np.ndarray, prob: np.ndarray) -> np.ndarray:
-        """[word, end, language]: probability of each prefix; ``prob`` has a zero last row."""
+    def forward(edges: np.ndarray, prob: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+        """[word, end, language]: probability of each prefix; ``prob`` has a zero
+        last row. ``start`` has the first ends' values if they are known."""
         rows, ends, _ = edges.shape
         alpha = np.zeros((rows, ends, prob.shape[1]))
-        alpha[:, 0] = 1.0
+        first = 1 if start is None else start.shape[1]
+        alpha[:, :first] = 1.0 if start is None else start
         used = (edges >= 0).any(axis=0)
-        for j in range(1, ends):
+        for j in range(first, ends):
             for k in np.flatnonzero(used[j, :j]) + 1:
                 alpha[:, j] += alpha[:, j - k] * prob[edges[:, j, k - 1]]
         return alpha
 
+    def log_forward(self, words: list[str], prob: np.ndarray) -> np.ndarray:
+        """[word, language]: log-probability over all segmentations of each word.
+
+        Long words go through the lattice part by part: the values at the last
+        ends, as many as a piece can reach back over, are carried on, scaled so
+        that the last is 1.
+        """
+        out = np.zeros((len(words), prob.shape[1]))
+        parts = [parts_of(w) for w in words]
+        rows, before, start, t = np.arange(len(words)), [""] * len(words), None, 0
+        while len(rows):
+            spans = [b + parts[i][t] for i, b in zip(rows, before)]
+            size = np.array([len(x) for x in spans])
+            alpha = self.forward(self.edges(spans), prob, start)
+            last = np.maximum(alpha[np.arange(len(rows)), size], 1e-300)
+            out[rows] += np.log(last)
+            t += 1
+            more = np.flatnonzero([len(parts[i]) > t for i in rows])  # their spans are full, so of one length
+            if not len(more):
+                break
+            n = int(size[more[0]])
+            back = min(self.deep - 1, n)
+            start = alpha[more, n - back:n + 1] / last[more, None]
+            rows, before = rows[more], [spans[i][n - back:] for i in more]
+        return out
+
+    def uses(self, word: str, prior: np.ndarray) -> np.ndarray:
+        """[piece]: expected uses in one word of any length, summed in logarithms."""
+        edges = self.edges([word])[0]
+        with np.errstate(divide="ignore"):
+            logs = np.log(prior[:, 0])
+        end, short = np.nonzero(edges >= 0)
+        piece = edges[end, short]
+        begin, value = end - short - 1, logs[piece]
+        bounds = np.searchsorted(end, np.arange(len(word) + 2))
+        left, right = np.full(len(word) + 1, -np.inf), np.full(len(word) + 1, -np.inf)
+        left[0] = right[len(word)] = 0.0
+        for j in range(1, len(word) + 1):
+            at = slice(bounds[j], bounds[j + 1])
+            left[j] = np.logaddexp.reduce(left[begin[at]] + value[at])
+        for j in range(len(word), 0, -1):
+            at = slice(bounds[j], bounds[j + 1])
+            right[begin[at]] = np.logaddexp(right[begin[at]], right[j] + value[at])  # each place once
+        return np.bincount(piece, np.exp(left[begin] + value + right[end] - left[-1]), minlength=self.size + 2)
+
 
 def _groups(words: list[str]) -> Iterator[list[str]]:
     """Words of like length together, a bounded number at a time."""
@@ -146,18 +192,20 @@ def expected_counts(lattice: Lattice, counts: list[tuple[str, np.ndarray]], prio
     out = np.zeros((lattice.size + 2, len(counts[0][1]) if counts else 0))
     by_word: dict[str, np.ndarray] = {}
     for word, n in counts:
-        for part in parts_of(word):
-            by_word[part] = by_word.get(part, 0) + n
+        if len(word) > WORD_CHARS:
+            out += lattice.uses(MARK + word, prior)[:, None] * n
+        else:
+            by_word[MARK + word] = by_word.get(MARK + word, 0) + n
     for words in _groups(list(by_word)):
         edges = lattice.edges(words)
         alpha = lattice.forward(edges, prior)[:, :, 0]
         size = np.array([len(w) for w in words])
         rows, ends = alpha.shape
-        beta = np.zeros((rows, ends + PIECE_CHARS))
+        beta = np.zeros((rows, ends + lattice.deep))
         beta[np.arange(rows), size] = 1.0
         weight = np.stack([by_word[w] for w in words]) / alpha[np.arange(rows), size][:, None]
         for j in range(ends - 1, 0, -1):
-            for k in range(1, min(PIECE_CHARS, j) + 1):
+            for k in range(1, min(lattice.deep, j) + 1):
                 e = edges[:, j, k - 1]
                 use = alpha[:, j - k] * prior[e, 0] * beta[:, j]
                 beta[:, j - k] += prior[e, 0] * beta[:, j]
@@ -286,13 +334,10 @@ class Scorer:
         while at + len(new) > len(self.rows):
             self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
         self.rows[at:at + len(new)] = 0
-        parts = [(part, i) for i, w in enumerate(new, at) for part in parts_of(w)]
-        parts.sort(key=lambda x: len(x[0]))
-        for k in range(0, len(parts), GROUP):
-            group, rows = zip(*parts[k:k + GROUP])
-            alpha = self.lattice.forward(self.lattice.edges(group), self.prob)
-            value = np.log(np.maximum(alpha[np.arange(len(group)), [len(w) for w in group]], 1e-300))
-            np.add.at(self.rows, np.array(rows), value)  # a long word has several parts
+        order = sorted(range(len(new)), key=lambda i: len(new[i]))
+        for k in range(0, len(order), GROUP):
+            group = order[k:k + GROUP]
+            self.rows[at + np.array(group)] = self.lattice.log_forward([new[i] for i in group], self.prob)
         self.index.update(zip(new, range(at, at + len(new))))
 
     def score(self, texts: list[str | None]) -> tuple[list[int], list[float]]:

@@ -154,3 +154,35 @@ def test_repeated_ids_are_cut_in_a_fixed_order(spark):
         docs = spark.createDataFrame(rows[::-1] if backwards else rows, "doc_id long, text string").repartition(parts, "text")
         models.append(K.learn(docs, labels, max_labelled=2))
     assert all(len(m["y"]) == 8 and np.array_equal(m["vectors"], models[0]["vectors"]) for m in models)
+
+
+def test_no_piece_is_dropped():
+    pieces = L.load_pieces(PIECES)
+    assert {"▁international", "▁professional", "▁relationship", "▁construction"} <= set(pieces)
+    edges = L.Lattice(pieces).edges(["▁international"])
+    assert edges[0, 14, 13] == pieces["▁international"]
+
+
+def test_segmentations_across_parts(monkeypatch):
+    names = [L.MARK, L.MARK + "a", "a", "b", "ab", "ba", "abab", "babba"]
+    vocabulary = {p: i for i, p in enumerate(names)}
+    prob = np.random.default_rng(3).uniform(.01, .2, (len(names) + 2, 3))
+    prob[-1] = 0
+    prior, rand = prob[:, :1], random.Random(4)
+    words = ["".join(rand.choice("aabbx") for _ in range(n)) for n in (1, 2, 5, 9, 17, 30, 31, 30)]
+    counts = [(w, np.array([i + 1.0, 2.0])) for i, w in enumerate(words)]
+    L._VOCABULARIES["parts"] = vocabulary
+
+    def scores():
+        scorer = L.Scorer({"langs": ["x", "y", "z"], "prob": prob, "pieces": "parts"})
+        scorer.score([" ".join(words)])
+        return np.stack([scorer.rows[scorer.index[w]] for w in words])
+
+    whole, uses = scores(), L.expected_counts(L.Lattice(vocabulary), counts, prior)
+    for chars in (1, 3, 8):
+        monkeypatch.setattr(L, "WORD_CHARS", chars)
+        assert np.allclose(scores(), whole)
+        assert np.allclose(L.expected_counts(L.Lattice(vocabulary), counts, prior), uses)
+    monkeypatch.undo()
+    uses = L.expected_counts(L.Lattice(vocabulary), [("ab" * 3000, np.ones(1))], prior)  # below the smallest float
+    assert np.isclose(sum(uses[i, 0] * len(p) for i, p in enumerate(names)) + uses[-2, 0], 6001)
