@@ -12,8 +12,9 @@ that differ. ``assemble`` joins the rows of a side into one text, for
 conversations that are known to fit a row.
 
 Cases: exactly repeated turn rows count once; several turns with the same
-number stand in the order of role and text; null role or text is rendered as
-empty text; the marks of the template are broken up inside texts; if one side
+number stand in the order of role and text; turn rows without a conv_id or
+without a turn number have no place and are dropped, so a conversation with no
+numbered turn gives no row; null role or text is rendered as empty text; the marks of the template are broken up inside texts; if one side
 is a prefix of the other, its completion has no rows; equal conversations give
 a prompt and no completions; pairs that name a missing conversation give no
 rows for it; other columns are ignored; an empty table gives an empty result.

@@ -224,3 +224,14 @@ def test_conversations_without_an_assistant(spark):
     got = format_preferences(*preference_pairs(turns_of(_turns(spark, rows)))).collect()
     assert {r.pair_id for r in got} == {"3-2", "3-cut"}
     assert [(r.part, r.turn, r.loss_to) for r in got if r.pair_id == "3-2" and r.part == "rejected"] == [("rejected", 1, 0)]
+
+
+def test_turns_without_conversation_or_number_are_dropped(spark):
+    rows = [(1, 0, "user", "q", 0), (1, None, "user", "no place", 0), (1, 1, "assistant", "answer", 0),
+            (2, None, "user", "q", 0), (2, None, "assistant", "answer", 0), (None, 0, "user", "q", 0), (None, 1, "assistant", "answer", 0)]
+    turns = turns_of(_turns(spark, rows))
+    assert sorted((r.conv, r.turn, r.text) for r in turns.collect()) == [(1, 0, "q"), (1, 1, "answer")]
+    got = format_preferences(*preference_pairs(turns)).collect()
+    assert {r.pair_id for r in got} == {"1-cut"} and not [r for r in got if "no place" in r.text]
+    from revisio.llm import chat
+    assert "without a turn number have no place and are dropped" in chat.__doc__
