@@ -4,6 +4,7 @@ from __future__ import annotations
 from revisio.llm import chat, decontamination, licenses
 from revisio.llm.chat import op10_preference_format
 from revisio.llm.decontamination import op9_decontamination
+from revisio.llm.hmm import op11_hmm_scoring
 from revisio.llm.jaccard import op7_jaccard_join
 from revisio.llm.language_id import op3_language_id
 from revisio.llm.licenses import op2_license_scan
@@ -15,7 +16,7 @@ from revisio.llm.token_store import op4_token_store
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_license_scan, op3_language_id, op4_token_store, op5_quality_knn, op6_packing, op7_jaccard_join,
-    op8_quality_rules, op9_decontamination, op10_preference_format)}
+    op8_quality_rules, op9_decontamination, op10_preference_format, op11_hmm_scoring)}
 
 #: Where SQL can state the whole result; the others are tested against brute force.
 ORACLE: dict[str, str] = {
