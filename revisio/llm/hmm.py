@@ -48,7 +48,9 @@ STATES, ROUNDS = 8, 6
 #: Classes: frequent words, and slots for all others.
 HEAD, REST = 16_384, 1_024
 #: Words whose counts are broadcast, 16 bytes each.
-KNOWN = 1 << 20
+KNOWN = 1 << 18
+#: Distinct words between two mergers of a task's counts; at four times as many they are sent off.
+TASK_WORDS = 1 << 20
 #: Added to counts, as the contract's base has it.
 ADD = 0.1
 #: Tokens of a training piece, and of a piece of a long text that is scored.
@@ -108,7 +110,7 @@ def word_counts(docs: DataFrame, training: Column) -> DataFrame:
         return words, np.bincount(where, weights=np.concatenate([n for _, n in parts]), minlength=len(words)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, limit = [], 0, KNOWN
+        parts, size, limit = [], 0, TASK_WORDS
         for batch in batches:
             for a, b in blocks(batch.column(0), rows=4096):
                 parts.append(np.unique(word_hashes(batch.column(0).slice(a, b - a).to_pylist())[0], return_counts=True))
@@ -116,10 +118,10 @@ def word_counts(docs: DataFrame, training: Column) -> DataFrame:
                 if size > limit:
                     parts = [rows(parts)]
                     size = len(parts[0][0])
-                    limit = size + KNOWN
-                    if size > 4 * KNOWN:  # bounds the memory of a task
+                    limit = size + TASK_WORDS
+                    if size > 4 * TASK_WORDS:  # bounds the memory of a task
                         yield pa.RecordBatch.from_arrays([pa.array(parts[0][0].view(np.int64)), pa.array(parts[0][1])], ["h", "n"])
-                        parts, size, limit = [], 0, KNOWN
+                        parts, size, limit = [], 0, TASK_WORDS
         if parts:
             words, n = rows(parts)
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["h", "n"])
@@ -153,15 +155,14 @@ def vocabulary(counts: DataFrame, ends: int, head: int = HEAD, known: int = KNOW
     top_h, top_n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     np.subtract.at(slot_n, _slot(top_h), top_n)
     np.subtract.at(slot_v, _slot(top_h), 1)
-    both = dict(zip(np.concatenate([frequent["h"].to_numpy(np.int64), top_h.view(np.int64)]).view(np.uint64).tolist(),
-                    np.concatenate([frequent["n"].to_numpy(np.int64), top_n]).tolist()))
-    hashes = np.sort(np.fromiter(both, dtype=np.uint64, count=len(both)))
+    every = np.concatenate([frequent["h"].to_numpy(np.int64).view(np.uint64), top_h])
+    hashes, where = np.unique(every, return_index=True)
     classes = 1 + len(top_h) + _slot(hashes)
     classes[np.searchsorted(hashes, top_h)] = 1 + np.arange(len(top_h))
     inside = slot_n + ADD * (slot_v + 1)
     shares = np.concatenate([[ends + ADD], top_n + ADD, inside])
     return Vocabulary(int(words) + ends, n_words + (ends > 0), ends, hashes,
-                      np.fromiter((both[h] for h in hashes.tolist()), dtype=np.int64, count=len(hashes)), classes.astype(np.int64),
+                      np.concatenate([frequent["n"].to_numpy(np.int64), top_n])[where], classes.astype(np.int64),
                       len(hashes) >= n_words, shares / shares.sum(), np.log10(inside), len(top_h))
 
 
