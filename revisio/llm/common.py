@@ -50,6 +50,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(table: DataFrame) -> None:
+    """Delete a table that ``written`` made, once nothing reads it any more."""
+    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {os.path.dirname(f) for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName().startswith("llm-"):
+            path.getFileSystem(conf).delete(path, True)
+
+
 def crc32_mod(c: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n``: the contracts' splits."""
     return F.crc32(c.cast("string").cast("binary")) % F.lit(n)
