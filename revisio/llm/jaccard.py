@@ -10,7 +10,9 @@ link if 100 * |intersection| >= percent * |union|.
    results, rarity only makes the prefixes selective). A set's prefix are its
    first n - ceil(percent * n / 100) + 1 shingles: two sets that link share one
    of them.
-3. Classes are joined on prefix shingles. Candidates pass a length filter, a
+3. A prefix shingle is kept for a class only if another class of a size that may
+   link has it too (sizes in steps of the linking ratio; the same step or a
+   neighbouring one). Classes are joined on these shingles. Candidates pass a length filter, a
    positional filter (what may still overlap before and after the shared
    place), and a suffix filter: the sets' shingles are dealt into fixed slots
    by hash, and two sets differ in at least as many shingles as there are slots
@@ -22,6 +24,8 @@ link if 100 * |intersection| >= percent * |union|.
    pairs as members. Star steps repeat while many pairs are left and each
    step takes a good part of them away; the last step always compares all
    remaining candidates between different components, so no link is lost.
+   A shingle whose classes all lie in one component is done for good, so the
+   prefix rows shrink with each step; tables of past steps are deleted.
 
 Cases: null, empty and blank texts have empty sets, link with nothing and are
 their own component; repeated rows share a class; ties do not arise (a
@@ -32,15 +36,16 @@ through); an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revisio.llm.common import on_workers, read_table, written
+from revisio.llm.common import on_workers, read_table, remove, written
 from revisio.llm.graph import components
 from revisio.llm.shingles import shingle_sets
 from revisio.llm.units import blocks
@@ -133,6 +138,23 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "sig binary, items binary").filter("sig is not null").dropDuplicates(["sig"])
 
 
+def _band(n: Column, percent: int) -> Column:
+    """Set sizes in steps of the ratio that still links: sets that link lie in the same step or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / percent) * (1 + 1e-9)) if percent < 100 else n).cast("int")
+
+
+def _partnered(classes: DataFrame, percent: int) -> DataFrame:
+    """``shingle, band``: the prefix shingles that several classes of sizes that may link share.
+
+    Counted by shingle and size step first, so that a frequent shingle sends one
+    row a step; the steps of one shingle are then held against their neighbours."""
+    counts = classes.select(_band(F.col("n"), percent).alias("band"), F.explode("prefix").alias("shingle")) \
+        .groupBy("shingle", "band").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("shingle").orderBy("band")
+    near = (F.coalesce(F.col("band") - F.lag("band").over(w) <= 1, F.lit(False))) | (F.coalesce(F.lead("band").over(w) - F.col("band") <= 1, F.lit(False)))
+    return written(counts.withColumn("near", near).filter("c > 1 or near").select("shingle", "band"), "shared")
+
+
 def _needed(na: Column, nb: Column, percent: int) -> Column:
     """Least overlap of sets of these sizes that link."""
     return F.expr("0") + F.ceil((na + nb) * percent / F.lit(100 + percent) - F.lit(1e-9))
@@ -166,8 +188,9 @@ def _may_link(percent: int) -> Column:
         & (na + nb - _apart(F.col("a_odd"), F.col("b_odd")) >= 2 * need)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, after the suffix filter and the intersection."""
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The pairs (a, b) that link, after the suffix filter and the intersection,
+    and the tables that they are read from."""
     one = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("parity").alias("xa"))
     two = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("xb"))
     apart = _apart(F.col("xa"), F.col("xb"))
@@ -189,7 +212,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a binary, b binary"), [pairs, sets]
 
 
 def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -204,20 +227,25 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n", "prefix", "parity")).alias("f")
     classes = written(members.filter("sig is not null").groupBy("sig").agg(first)
                       .select("sig", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("first_th"), "f.n", "f.prefix", "f.parity"), "classes")
-    # Only shingles that several classes share can make a pair.
-    shared = written(classes.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("shingle"), "shared")
-    if shared.count() <= MAX_SHARED:
-        shared = F.broadcast(shared)
-    rows = classes.select("sig", "n", _folded(F.col("parity")).alias("odd"), F.posexplode("prefix").alias("pos", "shingle"))
-    rows = written(rows.join(shared, "shingle", "left_semi"), "prefixes")
+    shared = _partnered(classes, percent)
+    n_shared = shared.count()
+    band = _band(F.col("n"), percent).alias("band")
+    if n_shared <= MAX_SHARED:
+        rows = classes.select("sig", "n", _folded(F.col("parity")).alias("odd"), band, F.posexplode("prefix").alias("pos", "shingle")) \
+            .join(F.broadcast(shared), ["shingle", "band"], "left_semi")
+    else:
+        # Narrow rows meet the shingles; those that stay fetch their class's parities.
+        narrow = classes.select("sig", band, F.posexplode("prefix").alias("pos", "shingle")).join(shared, ["shingle", "band"], "left_semi")
+        rows = narrow.join(classes.select("sig", "n", _folded(F.col("parity")).alias("odd")), "sig")
+    rows = written(rows.select("shingle", "sig", "n", "pos", "odd"), "prefixes")
+    remove(shared)
     n_rows = rows.count()
     links, labels, step, before = None, None, 0, None
     while n_rows:
         now, last = rows.withColumn("label", F.col("sig")), False
         if labels is not None:
-            # Shingles whose classes all lie in one component are done.
             now = rows.join(labels, rows["sig"] == labels["node"], "left").drop("node").withColumn("label", F.coalesce("label", "sig"))
-            now = written(now, "labelled")
+            # Shingles whose classes all lie in one component are done, and stay so.
             by = now.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle") \
                 .agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own")).filter("all * all > own")
             open_ = written(by.select("shingle", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("left")), "open")
@@ -226,10 +254,11 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 break
             last = left <= PAIRS_PER_ROW * n_rows or (before is not None and left > (1 - STAR_GAIN) * before)
             before = left
-            if n_open <= MAX_SHARED:
-                now = now.join(F.broadcast(open_.select("shingle")), "shingle", "left_semi")
-            else:
-                now = written(now.join(open_.select("shingle"), "shingle", "left_semi"), "open-rows")
+            still = F.broadcast(open_.select("shingle")) if n_open <= MAX_SHARED else open_.select("shingle")
+            now = written(now.join(still, "shingle", "left_semi").select("shingle", *_ROW), "prefixes")
+            remove(rows)
+            remove(open_)
+            rows = now.drop("label")
         two = _side(now, "b")
         if last:
             one = _side(now, "a")
@@ -239,12 +268,16 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
             # The middle of a group: another one in each step.
             place = F.xxhash64("sig", F.lit(step)).alias("h")
             middle = now.groupBy("shingle").agg(F.min(F.struct(place, *_ROW)).alias("m")).select("shingle", *[f"m.{c}" for c in _ROW])
-            middle = _side(written(middle, "middles"), "a")
+            middle = _side(middle, "a")
             found = two.join(middle, (middle["shingle"] == two["shingle"]) & (F.col("a_label") != F.col("b_label")) & _may_link(percent))
         pairs = found.select(F.least("a_sig", "b_sig").alias("a"), F.greatest("a_sig", "b_sig").alias("b")).distinct()
-        new = _verified(pairs, classes, docs, size, percent)
+        new, used = _verified(pairs, classes, docs, size, percent)
+        old_links, old_labels = links, labels
         links = written(new if links is None else links.unionByName(new), "links")
         labels = components(links)
+        for table in (*used, old_links, old_labels):
+            if table is not None:
+                remove(table)
         step += 1
         if last:
             break
