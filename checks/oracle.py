@@ -2,10 +2,12 @@
 views named after the Parquet files)."""
 from __future__ import annotations
 
+import math
 from typing import Dict
 
 from checks.gen_sql import diff_masks, diff_opcodes, diff_variants, masked_rows, no_edit_rows, random_spans, encode, sample_prompts_rows, simple_rows, span_rows
 from checks.sqlfrag import arr, bounds, char_ratio, h, md5key, n_words, q, u32, words
+from revisio.operators.stem import sql_stems
 from revisio.plans.queries import SEED
 from revisio.sources.prompts import load_prompts
 
@@ -563,10 +565,9 @@ def _():
             f"{ids(pad('labels', 'label_len', -100))} AS labels FROM {inner} y")
 
 
-@oracle("prepare")
-def _():
+def prepared_sql(start: int) -> str:
     rows = (f"(SELECT row_id, 'fix: ' || input AS input, output FROM (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS rk FROM {GAPS} g) s "
-            f"WHERE rk >= 10 AND rk < 900 AND coalesce(length(input), 0) > 0 AND coalesce(length(output), 0) > 0)")
+            f"WHERE rk >= {start} AND coalesce(length(input), 0) > 0 AND coalesce(length(output), 0) > 0)")
 
     def side(col: str, most: int) -> str:
         cut = f"list_slice({words(col)}, 1, {most - 1})"
@@ -583,11 +584,8 @@ def _():
             f"{ids(pad('labels', 'label_len', -100))} AS labels FROM {inner} y")
 
 
-@oracle("prepare_all")
-def _():
-    upper = " AND rk < 900"
-    assert upper in ORACLE["prepare"]
-    return ORACLE["prepare"].replace(upper, "")
+ORACLE["prepare"] = prepared_sql(0)
+ORACLE["prepare_all"] = prepared_sql(10)
 
 
 @oracle("batch_plan")
@@ -658,11 +656,23 @@ def ROUGE_TOK(c: str) -> str:
     return words("regexp_replace(lower(" + c + "), '[^a-z0-9]+', ' ', 'g')")
 
 
-def bleu_sql() -> str:
+LEVEL = ("CASE WHEN grouping(d.source) = 0 THEN 'from' WHEN grouping(d.lang) = 0 THEN 'type' ELSE 'all' END AS level, "
+         "d.source AS \"from\", d.lang AS type")
+LEVELS = "GROUP BY GROUPING SETS ((d.source), (d.lang), ())"
+BY = 'level, "from", type'
+
+
+def with_document(rows: str) -> str:
+    return f"{rows} g JOIN documents d ON CAST(d.doc_id AS VARCHAR) = g.row_id"
+
+
+def bleu_sql(by: bool = False) -> str:
     g = gram_counts(BLEU_TOK, range(1, 5))
     sums = ", ".join(f"CAST(sum(CASE WHEN n = {n} THEN least(c_h, c_r) ELSE 0 END) AS BIGINT) AS m{n}, "
                      f"CAST(sum(CASE WHEN n = {n} THEN c_h ELSE 0 END) AS BIGINT) AS t{n}" for n in range(1, 5))
     s = f"(SELECT {sums}, CAST(sum(CASE WHEN n = 1 THEN c_r ELSE 0 END) AS BIGINT) AS ref_len FROM {g} g)"
+    if by:
+        s = s.replace("(SELECT ", f"(SELECT {LEVEL}, ", 1)[:-len(f"{g} g)")] + f"{with_document(g)} {LEVELS})"
     z, logs = "0", []
     for n in range(1, 5):
         z = f"({z} + CASE WHEN m{n} = 0 AND t{n} > 0 THEN 1 ELSE 0 END)"
@@ -670,12 +680,13 @@ def bleu_sql() -> str:
              f"ELSE 100.0 / (pow(2.0, {z}) * t{n}) END)")
         logs.append(f"(CASE WHEN {p} > 0 THEN ln({p}) ELSE -9999999999.0 END)")
     bp = "(CASE WHEN t1 >= ref_len THEN 1.0 WHEN t1 > 0 THEN exp(1 - ref_len / t1) ELSE 0.0 END)"
-    return (f"SELECT CASE WHEN m1 + m2 + m3 + m4 = 0 THEN 0.0 ELSE round_even({bp} * exp(({' + '.join(logs)}) / 4), 4) END AS bleu, m1, m2, m3, m4, t1, t2, t3, t4, "
+    return (f"SELECT {BY + ', ' if by else ''}CASE WHEN m1 + m2 + m3 + m4 = 0 THEN 0.0 ELSE round_even({bp} * exp(({' + '.join(logs)}) / 4), 4) END AS bleu, m1, m2, m3, m4, t1, t2, t3, t4, "
             f"t1 AS hyp_len, ref_len FROM {s} s")
 
 
-def rouge_sql() -> str:
-    g = gram_counts(ROUGE_TOK, (1, 2))
+def rouge_rows(tok=ROUGE_TOK) -> str:
+    """row_id, f1, f2: each row's F1."""
+    g = gram_counts(tok, (1, 2))
     per = ", ".join(f"sum(CASE WHEN n = {n} THEN least(c_h, c_r) ELSE 0 END) AS o{n}, "
                     f"sum(CASE WHEN n = {n} THEN c_h ELSE 0 END) AS h{n}, "
                     f"sum(CASE WHEN n = {n} THEN c_r ELSE 0 END) AS r{n}" for n in (1, 2))
@@ -685,11 +696,44 @@ def rouge_sql() -> str:
     for n in (1, 2):
         p = f"(coalesce(o{n}, 0) / greatest(coalesce(h{n}, 0), 1))"
         r = f"(coalesce(o{n}, 0) / greatest(coalesce(r{n}, 0), 1))"
-        fs.append(f"round_even(avg(CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END) * 100, 4) "
-                  f"AS rouge{n}")
-    return f"SELECT {', '.join(fs)} FROM {rows} x"
+        fs.append(f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0.0 END AS f{n}")
+    return f"(SELECT row_id, {', '.join(fs)} FROM {rows} x)"
 
 
+ROUGE_MEANS = ", ".join(f"round_even(avg(f{n}) * 100, 4) AS rouge{n}" for n in (1, 2))
+
+
+def rouge_sql() -> str:
+    return f"SELECT {ROUGE_MEANS} FROM {rouge_rows()} x"
+
+
+def intervals_sql(replicates: int) -> str:
+    share, cumulative, weight = math.exp(-1), 0.0, []
+    for k in range(1, 13):  # Poisson(1) by its cumulative probabilities
+        cumulative += share
+        weight.append(f"CASE WHEN u >= {int(cumulative * (1 << 32))} THEN 1 ELSE 0 END")
+        share /= k
+    draws = f"(SELECT f1, f2, b, {u32(h(SEED, 'boot', 'row_id', 'pw', 'b'))} AS u FROM {rouge_rows()} x, range({replicates}) t(b))"
+    weighed = f"(SELECT f1, f2, b, {' + '.join(weight)} AS w FROM {draws} y)"
+    sums = ", ".join(f"coalesce(CAST(sum(w * CAST(round(f{n} * 1e12) AS HUGEINT)) AS DOUBLE) / nullif(sum(w), 0) / 1e12, 0.0) AS m{n}" for n in (1, 2))
+    means = f"(SELECT b, {sums} FROM {weighed} z GROUP BY b)"
+    rows = [f"SELECT 'rouge{n}' AS metric, " + ", ".join(f"round_even(quantile_cont(m{n}, {p}) * 100, 4) AS {c}" for c, p in
+                                                         (("low", (1 - 0.95) / 2), ("mid", 0.5), ("high", 1 - (1 - 0.95) / 2))) + f" FROM {means} v"
+            for n in (1, 2)]
+    return " UNION ALL ".join(rows)
+
+
+def levels_sql() -> str:
+    rouge = f"(SELECT {LEVEL}, {ROUGE_MEANS} FROM {with_document(rouge_rows())} {LEVELS})"
+    lens = f"(SELECT {LEVEL}, round_even(avg(len(g.input_ids)), 4) AS gen_len FROM {with_document(TOKD)} {LEVELS})"
+    return " UNION ALL ".join([f"SELECT {BY}, 'bleu' AS metric, bleu AS value FROM ({bleu_sql(True)}) b",
+                               *[f"SELECT {BY}, 'rouge{n}', rouge{n} FROM {rouge} r" for n in (1, 2)],
+                               f"SELECT {BY}, 'gen_len', gen_len FROM {lens} l"])
+
+
+ORACLE["score_levels"] = levels_sql()
+ORACLE["rouge_intervals"] = intervals_sql(1000)
+ORACLE["rouge_stemmed"] = f"SELECT {ROUGE_MEANS} FROM {rouge_rows(lambda c: sql_stems(ROUGE_TOK(c)))} x"
 ORACLE["corpus_bleu"] = bleu_sql()
 ORACLE["rouge_n"] = rouge_sql()
 ORACLE["scale_round"] = (f"SELECT 'bleu' AS metric, bleu AS value FROM ({bleu_sql()}) b UNION ALL "
@@ -720,6 +764,13 @@ def _():
             f"replace(replace(replace({s}, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r') AS value FROM {RELATED} r")
 
 
+@oracle("pair_by_position")
+def _():
+    def line(c: str) -> str:
+        return f"replace(replace(replace({strip_sql(c)}, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r')"
+    return (f"SELECT row_number() OVER (ORDER BY row_id) - 1 AS line, {line('edited')} AS prediction, {line('text')} AS reference FROM {RELATED} r")
+
+
 @oracle("write_metrics")
 def _():
     return (f"SELECT b.bleu AS eval_bleu, r.rouge1 AS eval_rouge1, r.rouge2 AS eval_rouge2 FROM ({bleu_sql()}) b, "

@@ -10,6 +10,7 @@ to even.
 """
 from __future__ import annotations
 
+import math
 import sys
 from collections import Counter
 from typing import Optional, Sequence
@@ -20,7 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from revisio.functions.rng import h, u32
 from revisio.functions.text import WS_CLASS, materialize, strip, words
+from revisio.operators.stem import stems
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -58,8 +61,9 @@ def bleu_tokens(c) -> Column:
     return words(x)
 
 
-def rouge_tokens(c) -> Column:
-    return words(F.regexp_replace(F.lower(F.col(c) if isinstance(c, str) else c), "[^a-z0-9]+", " "))
+def rouge_tokens(c, stem: bool = False) -> Column:
+    tokens = words(F.regexp_replace(F.lower(F.col(c) if isinstance(c, str) else c), "[^a-z0-9]+", " "))
+    return stems(tokens) if stem else tokens
 
 
 def _grams(tokens: Column, n: int, side: int) -> Column:
@@ -83,20 +87,38 @@ def _matches(grams: Column) -> Column:
     return F.aggregate(grams, start, step, lambda acc: acc["m"] + F.least(acc["h"], acc["r"]))
 
 
-def _counted(df: DataFrame, hyp: Column, ref: Column, orders: Sequence[int]) -> DataFrame:
+def _counted(df: DataFrame, hyp: Column, ref: Column, orders: Sequence[int], keep: Sequence[str] = ()) -> DataFrame:
     """``m{n}, h{n}, r{n}`` for each row: clipped matches and both sides' n-grams. No shuffle."""
     none = F.array().cast("array<string>")
-    base = materialize(df.select(hyp.alias("_ht"), ref.alias("_rt")), {"_h": F.coalesce("_ht", none), "_r": F.coalesce("_rt", none)})
+    base = materialize(df.select(*keep, hyp.alias("_ht"), ref.alias("_rt")), {"_h": F.coalesce("_ht", none), "_r": F.coalesce("_rt", none)})
     both = materialize(base, {f"_g{n}": F.sort_array(F.concat(_grams(F.col("_h"), n, 0), _grams(F.col("_r"), n, 1))) for n in orders})
     sizes = [F.greatest(F.size(f"_{s}") - (n - 1), F.lit(0)).cast("long").alias(f"{s}{n}") for n in orders for s in ("h", "r")]
-    return both.select(*[_matches(F.col(f"_g{n}")).alias(f"m{n}") for n in orders], *sizes)
+    return both.select(*keep, *[_matches(F.col(f"_g{n}")).alias(f"m{n}") for n in orders], *sizes)
 
 
-def corpus_bleu(df: DataFrame, pred: str, ref: str) -> DataFrame:
+def _levels(rows: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
+    """Aggregates over all rows; with ``by``, one row for each value of each of
+    these columns and one for all rows, from one pass (grouping sets). ``level``
+    names the column that a row stands for (``all``); the others are null."""
+    if not by:
+        return rows.agg(*aggs)
+    level = F.lit("all")
+    for c in by:
+        level = F.when(F.grouping(c) == 0, F.lit(c)).otherwise(level)
+    return rows.groupingSets([[F.col(c)] for c in by] + [[]], *by).agg(level.alias("level"), *aggs)
+
+
+def _named(by: Sequence[str]) -> list:
+    return ["level", *by] if by else []
+
+
+def corpus_bleu(df: DataFrame, pred: str, ref: str, by: Sequence[str] = ()) -> DataFrame:
     """One row: ``bleu`` (0-100, 4 places), clipped matches and totals per
-    order, hypothesis and reference lengths."""
+    order, hypothesis and reference lengths. ``by``: a row for each value of
+    these columns too (``level`` and the columns come first)."""
     orders = range(1, 5)
-    s = _counted(df, bleu_tokens(pred), bleu_tokens(ref), orders).agg(
+    s = _levels(
+        _counted(df, bleu_tokens(pred), bleu_tokens(ref), orders, by), by,
         *[F.sum(f"m{n}").alias(f"m{n}") for n in orders], *[F.sum(f"h{n}").alias(f"t{n}") for n in orders], F.sum("r1").alias("ref_len"))
     zeros, logs, matched = F.lit(0), [], F.lit(0)
     for n in orders:
@@ -109,19 +131,63 @@ def corpus_bleu(df: DataFrame, pred: str, ref: str) -> DataFrame:
     hyp_len, ref_len = F.col("t1"), F.col("ref_len")
     bp = F.when(hyp_len >= ref_len, F.lit(1.0)).when(hyp_len > 0, F.exp(1 - ref_len / hyp_len)).otherwise(0.0)
     bleu = F.when(matched == 0, F.lit(0.0)).otherwise(bp * F.exp((logs[0] + logs[1] + logs[2] + logs[3]) / 4))
-    return s.select(F.bround(bleu, 4).alias("bleu"), *[F.col(f"m{n}") for n in orders],
+    return s.select(*_named(by), F.bround(bleu, 4).alias("bleu"), *[F.col(f"m{n}") for n in orders],
                     *[F.col(f"t{n}") for n in orders], F.col("t1").alias("hyp_len"), "ref_len")
 
 
-def rouge_n(df: DataFrame, pred: str, ref: str, orders: Sequence[int] = (1, 2)) -> DataFrame:
-    """One row: ``rouge{n}`` = mean per-row F1 x 100, 4 places."""
-    rows = _counted(df, rouge_tokens(pred), rouge_tokens(ref), orders)
+def _rouge_n_rows(df: DataFrame, pred: str, ref: str, orders: Sequence[int], stem: bool, keep: Sequence[str]) -> DataFrame:
+    """``f{n}`` for each row: its F1."""
+    rows = _counted(df, rouge_tokens(pred, stem), rouge_tokens(ref, stem), orders, keep)
     fs = []
     for n in orders:
         p = F.col(f"m{n}") / F.greatest(F.col(f"h{n}"), F.lit(1))
         r = F.col(f"m{n}") / F.greatest(F.col(f"r{n}"), F.lit(1))
         fs.append(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)).alias(f"f{n}"))
-    return rows.select(*fs).agg(*[F.bround(F.avg(f"f{n}") * 100, 4).alias(f"rouge{n}") for n in orders])
+    return rows.select(*keep, *fs)
+
+
+def rouge_n(df: DataFrame, pred: str, ref: str, orders: Sequence[int] = (1, 2), by: Sequence[str] = (), stem: bool = False) -> DataFrame:
+    """One row: ``rouge{n}`` = mean per-row F1 x 100, 4 places; ``by`` as for
+    ``corpus_bleu``; ``stem``: words are stemmed first."""
+    rows = _rouge_n_rows(df, pred, ref, orders, stem, by)
+    out = _levels(rows, by, *[F.bround(F.avg(f"f{n}") * 100, 4).alias(f"rouge{n}") for n in orders])
+    return out.select(*_named(by), *[f"rouge{n}" for n in orders])
+
+
+def _poisson(unit: Column) -> Column:
+    """A Poisson(1) count from 32 uniform bits: how many cumulative probabilities lie at or below them."""
+    share, cumulative, out = math.exp(-1), 0.0, F.lit(0)
+    for k in range(1, 13):
+        cumulative += share
+        out = out + F.when(unit >= int(cumulative * (1 << 32)), 1).otherwise(0)
+        share /= k
+    return out
+
+
+def rouge_intervals(df: DataFrame, pred: str, ref: str, orders: Sequence[int] = (1, 2), replicates: int = 1000, seed: int = 0,
+                    row_id: str = "row_id", stem: bool = False, level: float = 0.95) -> DataFrame:
+    """``metric, low, mid, high`` (x 100, 4 places): percentiles of the mean F1
+    over resampled corpora.
+
+    Instead of drawing rows with replacement, each row counts in each replicate
+    as often as a seeded Poisson(1) draw of its id says, so that a replicate
+    needs no other row and the result does not depend on the partitioning. Sums
+    by replicate are added inside each task; ``replicates`` rows are shuffled
+    from each. A replicate without any row has the score 0."""
+    rows = _rouge_n_rows(df, pred, ref, orders, stem, [row_id])
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_b"))
+    weight = _poisson(u32(h(seed, "boot", F.col(row_id), "pw", F.col("_b"))))
+    # Scores are summed as whole numbers of 10^-12, whose sum has no order.
+    scaled = [F.sum(F.col("_w") * F.round(F.col(f"f{n}") * 1e12).cast("decimal(20,0)")).alias(f"s{n}") for n in orders]
+    sums = each.withColumn("_w", weight.cast("decimal(10,0)")).filter("_w > 0").groupBy("_b").agg(F.sum("_w").alias("_n"), *scaled)
+    every = df.sparkSession.range(replicates).select(F.col("id").cast("int").alias("_b")).join(sums, "_b", "left")
+    means = every.select(*[F.coalesce(F.col(f"s{n}").cast("double") / F.col("_n").cast("double") / 1e12, F.lit(0.0)).alias(f"m{n}") for n in orders])
+    edge = (1 - level) / 2
+    cuts = F.array(F.lit(edge), F.lit(0.5), F.lit(1 - edge))
+    found = means.agg(*[F.percentile(f"m{n}", cuts).alias(f"p{n}") for n in orders])
+    entries = [F.struct(F.lit(f"rouge{n}").alias("metric"), *[F.bround(F.col(f"p{n}")[i] * 100, 4).alias(c) for i, c in enumerate(("low", "mid", "high"))])
+               for n in orders]
+    return found.select(F.inline(F.array(*entries)))
 
 
 def _lcs(a, b) -> int:
@@ -241,10 +307,24 @@ def pair_predictions(predictions: DataFrame, references: DataFrame, key: str = "
     return both.filter(checked).drop("_p", "_r")
 
 
-def gen_len(df: DataFrame, ids_col: str, pad: int = 0, digits: Optional[int] = 4) -> DataFrame:
-    """Mean count of non-pad ids; ``digits=None`` leaves it unrounded."""
-    mean = F.avg(F.size(F.filter(ids_col, lambda x: x != pad)))
-    return df.agg((mean if digits is None else F.bround(mean, digits)).alias("gen_len"))
+def gen_len(df: DataFrame, ids_col: str, pad: int = 0, digits: Optional[int] = 4, by: Sequence[str] = ()) -> DataFrame:
+    """Mean count of non-pad ids; ``digits=None`` leaves it unrounded; ``by`` as for ``corpus_bleu``."""
+    rows = df.select(*by, F.size(F.filter(ids_col, lambda x: x != pad)).alias("_len"))
+    mean = F.avg("_len")
+    return _levels(rows, by, (mean if digits is None else F.bround(mean, digits)).alias("gen_len")).select(*_named(by), "gen_len")
+
+
+def score_levels(df: DataFrame, pred: str, ref: str, by: Sequence[str], ids_col: str = "") -> DataFrame:
+    """``level, *by, metric, value``: BLEU, ROUGE-1, ROUGE-2 (and gen_len) for
+    each value of each column of ``by`` and for all rows."""
+    tables = [corpus_bleu(df, pred, ref, by).select(*_named(by), "bleu"), rouge_n(df, pred, ref, by=by)]
+    if ids_col:
+        tables.append(gen_len(df, ids_col, by=by))
+    out = None
+    for t in tables:
+        long = t.unpivot(_named(by), [c for c in t.columns if c not in _named(by)], "metric", "value")
+        out = long if out is None else out.unionByName(long)
+    return out
 
 
 def count_examples(df: DataFrame, limits: dict, split_col: str = "split") -> DataFrame:

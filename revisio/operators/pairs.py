@@ -7,7 +7,7 @@ explodes it once (no self-union, no extra scan). Output rows carry
 """
 from __future__ import annotations
 
-from typing import Optional, Sequence
+from typing import Optional, Sequence, Union
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,25 +21,36 @@ from revisio.operators.masks import (RUN, VARIANT, full_diff_variant, protect_po
 
 
 
-def prompt_array(prompts: Sequence[str]) -> Column:
+# Prompts, repeats, streams and intents are values, or columns where recipes that
+# share a scan differ from row to row.
+Prompts = Union[Sequence[str], Column]
+
+
+def prompt_array(prompts: Prompts) -> Column:
+    if isinstance(prompts, Column):
+        return prompts
     if not prompts:
         raise ValueError("empty prompt list")
     return F.array(*[F.lit(p) for p in prompts])
 
 
-def sample_prompts(prompts: Sequence[str], times: int, seed: int, stream: str, row_id: Column) -> Column:
+def _col(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def sample_prompts(prompts: Prompts, times: Union[int, Column], seed: int, stream: Union[str, Column], row_id: Column) -> Column:
     """``random.sample(prompts, times)`` per row: distinct positions, ``times``
     clamped to the list size. Positions are ranked by a per-row hash."""
-    times = min(times, len(prompts))
     keyed = F.transform(prompt_array(prompts),
                         lambda p, i: F.struct(h(seed, stream, row_id, "sp", i).alias("k"), i.alias("i"), p.alias("p")))
-    return F.transform(F.slice(F.array_sort(keyed), 1, times), lambda s: s["p"])
+    return F.transform(F.slice(F.array_sort(keyed), F.lit(1), _col(times)), lambda s: s["p"])
 
 
-def pick_prompt(prompts: Sequence[str], seed: int, stream: str, row_id: Column, purpose: str, *parts) -> Column:
+def pick_prompt(prompts: Prompts, seed: int, stream: Union[str, Column], row_id: Column, purpose: str, *parts) -> Column:
     """One prompt drawn uniformly (with replacement across calls)."""
-    idx = randint(1, len(prompts), seed, stream, row_id, purpose, *parts)
-    return F.element_at(prompt_array(prompts), idx)
+    among = prompt_array(prompts)
+    idx = randint(1, F.size(among) if isinstance(prompts, Column) else len(prompts), seed, stream, row_id, purpose, *parts)
+    return F.element_at(among, idx)
 
 
 def simple_pairs(df: DataFrame, prompts: Sequence[str], times: int = 1, seed: int = 0, stream: str = "fwd",
@@ -122,9 +133,9 @@ def no_edit_pairs(df: DataFrame, prompts: Sequence[str], cap: int = 5000, seed:
     output) plus ``mask_sample_size`` random-mask pairs per row, shuffled and
     capped at ``cap`` rows.
 
-    The cap is exact and distributed (``hash_top_k``: bucket sizes of the
-    uniform sort key decide which rows can be in the first ``cap``; only those
-    are shuffled), and only the surviving rows build text.
+    The cap is exact and distributed (``hash_top_k``: the last key is found on a
+    narrow table of keys, and rows are compared with it where they stand), and
+    only the surviving rows build text.
     """
     rid = F.col(row_id)
     n = F.size(words(col))
@@ -152,30 +163,29 @@ def no_edit_pairs(df: DataFrame, prompts: Sequence[str], cap: int = 5000, seed:
     )
 
 
-def span_annotated_pairs(df: DataFrame, intent: str, prompts: Sequence[str], repeat: int = 1, seed: int = 0,
-                         stream: str = "span", row_id: str = "row_id", inp: str = "input",
-                         out: str = "output") -> DataFrame:
+def span_annotated_pairs(df: DataFrame, intent: Union[str, Column], prompts: Prompts, repeat: Union[int, Column] = 1, seed: int = 0,
+                         stream: Union[str, Column] = "span", row_id: str = "row_id", inp: str = "input",
+                         out: str = "output", keep: Sequence[str] = ()) -> DataFrame:
     """Annotated-span examples: strip ``<intent>``; the span becomes
     ``<extra_id_0>`` in the masked text; the target is the whole after-text
     between sentinels; ``repeat`` rows, prompts drawn with replacement.
-    Rows without the intent tag are dropped."""
-    tag = f"<{intent}>"
-    rid = F.col(row_id)
-    src = df.filter(F.coalesce(F.col(inp).startswith(tag), F.lit(False)))
-    before = F.substring(F.col(inp), len(tag) + 1, 1 << 30)
+    Rows without the intent tag are dropped. ``keep`` passes columns through."""
+    tag = F.concat(F.lit("<"), _col(intent), F.lit(">"))
+    rid, again = F.col(row_id), _col(repeat)
+    src = df.filter(F.coalesce(F.startswith(F.col(inp), tag), F.lit(False)) & (again > 0))
+    before = F.substr(F.col(inp), F.length(tag) + 1)
     masked = F.replace(F.replace(F.regexp_replace(before, F.lit(r"(?d)<S>(.*?)</S>"), F.lit("<extra_id_0>")),
                                  F.lit("<S>"), F.lit("")), F.lit("</S>"), F.lit(""))
     plain = F.replace(F.replace(before, F.lit("<S>"), F.lit("")), F.lit("</S>"), F.lit(""))
     base = src.select(rid.alias("row_id"), plain.alias("_b"), masked.alias("_m"),
-                      F.concat(F.lit("<extra_id_0> "), F.col(out), F.lit(" <extra_id_1>")).alias("output"))
-    ex = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))).alias("_r")) if repeat > 0 \
-        else base.select("*", F.lit(0).alias("_r")).filter(F.lit(False))
+                      F.concat(F.lit("<extra_id_0> "), F.col(out), F.lit(" <extra_id_1>")).alias("output"), *keep,
+                      F.explode(F.sequence(F.lit(0), again - 1)).alias("_r"))
     prompt = pick_prompt(prompts, seed, stream, F.col("row_id"), "gp", F.col("_r"))
-    return ex.select(
+    return base.select(
         "row_id",
         F.concat(F.lit("g"), F.col("_r").cast("string")).alias("variant"),
         F.concat(prompt, F.lit(": "), F.col("_b"), F.lit(" -> "), F.col("_m")).alias("input"),
-        "output",
+        "output", *keep,
     )
 
 
@@ -187,19 +197,20 @@ def alternatives_unpivot(df: DataFrame, ids: Sequence[str], cols: Sequence[str],
     return long.withColumn(row_id, F.concat(F.col(row_id), F.lit(":"), F.col("_alt"))).drop("_alt")
 
 
-def edit_pairs(df: DataFrame, prompts: Sequence[str], repeat: int = 1, mask_sample_size: int = 4,
-               diff: bool = False, seed: int = 0, stream: str = "fwd", row_id: str = "row_id",
-               inp: str = "input", out: str = "output", protect: Optional[str] = None) -> DataFrame:
+def edit_pairs(df: DataFrame, prompts: Prompts, repeat: Union[int, Column] = 1, mask_sample_size: int = 4,
+               diff: bool = False, seed: int = 0, stream: Union[str, Column] = "fwd", row_id: str = "row_id",
+               inp: str = "input", out: str = "output", protect: Optional[str] = None, keep: Sequence[str] = ()) -> DataFrame:
     """Plain and masked pairs of one corpus in a single pass.
 
     One array of example descriptors per source row (``repeat`` plain ones,
     then every mask variant) is exploded once, so the source is scanned once
     and the difference UDF runs once per row. Same rows and values as
-    ``simple_pairs`` followed by ``masked_pairs``; adds ``type``.
+    ``simple_pairs`` followed by ``masked_pairs``; adds ``type``. ``keep``
+    passes columns through.
     """
     rid = F.col(row_id)
     base = df.select(rid.alias("row_id"), F.col(inp).alias("_in"), F.col(out).alias("_out"),
-                     words(out).alias("_w"), *([F.col(protect).alias("_protect")] if protect else []))
+                     words(out).alias("_w"), *([F.col(protect).alias("_protect")] if protect else []), *keep)
     if diff:
         base = _with_diff(base)
     r = F.col("row_id")
@@ -211,7 +222,7 @@ def edit_pairs(df: DataFrame, prompts: Sequence[str], repeat: int = 1, mask_samp
     masked = F.transform(masks, lambda v: F.struct(F.concat(F.lit("m"), v["variant"]).alias("variant"),
                                                    F.lit(None).cast("string").alias("prompt"),
                                                    v.alias("spec")))
-    ex = base.select("row_id", "_in", "_out", "_w", *(["_protect"] if protect else []),
+    ex = base.select("row_id", "_in", "_out", "_w", *(["_protect"] if protect else []), *keep,
                      F.explode(F.concat(plain, masked)).alias("_x"))
     is_plain = F.col("_x.spec").isNull()
     runs = F.when(is_plain, F.array().cast(RUN)).otherwise(F.col("_x.spec.runs"))
@@ -223,5 +234,5 @@ def edit_pairs(df: DataFrame, prompts: Sequence[str], repeat: int = 1, mask_samp
         F.when(is_plain, F.concat(F.col("_x.prompt"), F.lit(": "), F.col("_in"), F.lit(" ->")))
         .otherwise(F.concat(mprompt, F.lit(": "), F.col("_in"), F.lit(" -> "), F.col("masked"))).alias("input"),
         F.when(is_plain, F.col("_out")).otherwise(F.col("target")).alias("output"),
-        F.when(is_plain, F.lit("simple")).otherwise(F.lit("mask")).alias("type"),
+        F.when(is_plain, F.lit("simple")).otherwise(F.lit("mask")).alias("type"), *keep,
     )

@@ -20,7 +20,7 @@ def prepare(pairs: DataFrame, vocab: DataFrame, batch_size: int, seed: int, sour
     ``row_id, batch_id, pos_in_batch, input_ids, attention_mask, labels,
     pad_len, label_len``. Null and empty sides are dropped before tokenising."""
     if start or stop is not None:
-        pairs = slice_rows(pairs, start, stop, list(order)).drop("rank")
+        pairs = slice_rows(pairs, start, stop, list(order), rank=False)
     rows = add_prefix(drop_empty_pairs(pairs), "input", prefix)
     tokens = tokenize(rows, vocab, [("input", "input_ids", source_len), ("output", "labels", target_len)])
     return pad_batches(assign_batches(tokens, batch_size, seed, mode), multiple).drop("rank")

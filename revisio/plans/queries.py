@@ -20,6 +20,7 @@ from revisio.operators.diff import diff_opcodes
 from revisio.operators.masks import (full_diff_variant, positions, protect_positions, random_span_variants,
                                      render_runs, single_run_variants, variant_mask, with_encoding)
 from revisio.operators.metrics import pair_predictions
+from revisio.session import written
 from revisio.operators.pairs import (alternatives_unpivot, edit_pairs, masked_pairs, no_edit_pairs,
                                      sample_prompts, simple_pairs, span_annotated_pairs)
 from revisio.sources import standins as S
@@ -319,13 +320,13 @@ def _docs(spark, sf):
 
 @query("shuffle_rows")
 def q_shuffle_rows(spark, sf):
-    """The order of the shuffled rows, read off their keys: each row carries its place among its neighbours."""
-    shuffled = O.shuffle_rows(_docs(spark, sf), SEED).withColumn("_pid", F.spark_partition_id()) \
-        .withColumn("_at", F.monotonically_increasing_id()).checkpoint()
-    sizes = shuffled.groupBy("_pid").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"))
+    """The order of the shuffled rows as they are written: each row with its place over the files in part order."""
+    shuffled = written(O.shuffle_rows(_docs(spark, sf), SEED), "shuffled")
+    rows = shuffled.select("*", F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int").alias("_pid"), F.col("_metadata.row_index").alias("_at"))
+    sizes = rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("n"))  # a row a file
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("_pid", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return shuffled.join(base, "_pid").select("row_id", "lang", (F.col("base") + F.col("_at") - F.col("first")).alias("position"))
+    base = sizes.select("_pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return rows.join(F.broadcast(base), "_pid").select("row_id", "lang", (F.col("base") + F.col("_at")).alias("position"))
 
 
 @query("head_rows")
@@ -375,7 +376,7 @@ def q_flagship(spark, sf):
 
 
 # ---------------------------------------------------------------- recipes
-from revisio.plans.recipes import RECIPES, generate, mixture  # noqa: E402
+from revisio.plans.recipes import RECIPES, generate, generate_mixture  # noqa: E402
 
 CORPUS = {
     "c4_gec": S.c4_corpus, "fce_gec": S.fce_corpus, "lang8": S.lang8_corpus, "bea19": S.bea19_corpus,
@@ -402,9 +403,11 @@ for _k in RECIPES:
 
 @query("mixture")
 def q_mixture(spark, sf):
-    """All recipes, merged and shuffled."""
-    frames = [generate(r, CORPUS[k](spark, sf), catalogue(), SEED, shuffle=None, cut_lineage=True) for k, r in RECIPES.items()]
-    return mixture(frames, SEED)
+    """All recipes, merged and shuffled. The pairs are derived and stored once;
+    recipes on the same corpus share its scan where their settings allow."""
+    related = written(S.related_pairs(spark, sf), "related")
+    frames = {f: f(spark, sf, related) for f in dict.fromkeys(CORPUS.values())}
+    return generate_mixture(list(RECIPES.values()), {k: frames[f] for k, f in CORPUS.items()}, catalogue(), SEED)
 
 
 # ------------------------------------------------- tokenise, pad, batch
@@ -497,24 +500,23 @@ def q_pad_batches(spark, sf):
                     K.ids_text("attention_mask").alias("attention_mask"), K.ids_text("labels").alias("labels"))
 
 
-def _prepared(spark, sf, stop):
+def _prepared(spark, sf, start):
     from revisio.operators.prepare import prepare
-    t = prepare(with_gaps(S.related_pairs(spark, sf)), vocab_frame(spark, sf), 8, SEED, SRC_LEN, TGT_LEN, start=10, stop=stop,
-                prefix="fix: ", mode="drop_last")
+    t = prepare(with_gaps(S.related_pairs(spark, sf)), vocab_frame(spark, sf), 8, SEED, SRC_LEN, TGT_LEN, start=start, prefix="fix: ", mode="drop_last")
     return t.select("row_id", "batch_id", "pos_in_batch", "pad_len", "label_len", K.ids_text("input_ids").alias("input_ids"),
                     K.ids_text("labels").alias("labels"))
 
 
 @query("prepare")
 def q_prepare(spark, sf):
-    """Pairs with gaps: ranks 10 to 900 sliced, cleaned, prefixed, tokenised, batched and padded."""
-    return _prepared(spark, sf, 900)
+    """All pairs with gaps: cleaned, prefixed, tokenised, batched and padded."""
+    return _prepared(spark, sf, 0)
 
 
 @query("prepare_all")
 def q_prepare_all(spark, sf):
-    """The chain of ``prepare`` over all rows from rank 10 on, at every size."""
-    return _prepared(spark, sf, None)
+    """The same chain behind a slice: all rows from rank 10 on."""
+    return _prepared(spark, sf, 10)
 
 
 @query("batch_plan")
@@ -577,6 +579,25 @@ def q_score(spark, sf):
     return M.score(d, "prediction", "reference", "input_ids")
 
 
+@query("score_levels")
+def q_score_levels(spark, sf):
+    """Scores of each source, of each kind and of all rows, from one pass over the counts of each metric."""
+    tags = S.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("row_id"), F.col("source").alias("from"), F.col("lang").alias("type"))
+    d = _preds(spark, sf).join(tags, "row_id").join(tokenized(spark, sf).select("row_id", "input_ids"), "row_id")
+    return M.score_levels(d, "prediction", "reference", ["from", "type"], "input_ids")
+
+
+@query("rouge_intervals")
+def q_rouge_intervals(spark, sf):
+    """Resampled 95 % intervals of ROUGE-1 and ROUGE-2 over 1,000 replicates."""
+    return M.rouge_intervals(_preds(spark, sf), "prediction", "reference", replicates=1000, seed=SEED)
+
+
+@query("rouge_stemmed")
+def q_rouge_stemmed(spark, sf):
+    return M.rouge_n(_preds(spark, sf), "prediction", "reference", stem=True)
+
+
 @query("gen_len")
 def q_gen_len(spark, sf):
     t = tokenized(spark, sf).select(K.pad_to_length(F.col("input_ids"), SRC_LEN).alias("ids"))
@@ -607,6 +628,7 @@ import uuid  # noqa: E402
 from revisio.session import scratch_path  # noqa: E402
 from revisio.sources import sinks as SK  # noqa: E402
 from revisio.sources.corpus import read_corpus, read_files  # noqa: E402
+from revisio.sources.lines import numbered_lines, pair_lines  # noqa: E402
 
 
 def _scratch(spark, name):
@@ -628,9 +650,17 @@ def q_write_predictions(spark, sf):
     """Line i of the written predictions is example i: the lines are read back with their places."""
     path = _scratch(spark, "predictions")
     SK.write_predictions(q_clean_text(spark, sf), path)
-    lines = spark.read.text(path).select("value", F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int").alias("_f"),
-                                         F.monotonically_increasing_id().alias("_i")).checkpoint()
-    return O.ordered_rank(lines, ["_f", "_i"], rank_col="line").select("line", "value")
+    return numbered_lines(spark, path).select("line", "value")
+
+
+@query("pair_by_position")
+def q_pair_by_position(spark, sf):
+    """Predictions and references written as plain lines, over several files each and without a key, meet by line number."""
+    d = _preds(spark, sf)
+    predictions, references = _scratch(spark, "predictions"), _scratch(spark, "references")
+    SK.write_predictions(d.select("row_id", M.clean_text(F.col("prediction")).alias("prediction")), predictions)
+    SK.write_predictions(d.select("row_id", M.clean_text(F.col("reference")).alias("reference")), references, "reference")
+    return pair_lines(spark, predictions, references)
 
 
 @query("write_metrics")

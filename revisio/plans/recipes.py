@@ -12,7 +12,7 @@ import dataclasses
 from dataclasses import dataclass
 from typing import Callable, Dict, List, Mapping, Optional, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revisio.operators.filters import char_ratio_ok, filter_single_span, word_bounds
@@ -28,6 +28,14 @@ def _pair(inp: str, out: str) -> Step:
     return lambda df: df.select("row_id", F.col(f"`{inp}`").alias("input"), F.col(f"`{out}`").alias("output"))
 
 
+#: Which of the recipes that share a scan a row is for.
+OF = "_of"
+
+
+def _of(df: DataFrame) -> List[str]:
+    return [c for c in (OF,) if c in df.columns]
+
+
 @dataclass(frozen=True)
 class Recipe:
     key: str
@@ -104,11 +112,11 @@ def _paradetox_expand(df):
 def _iterater_v2(df):
     df = df.filter(word_bounds("before_sent_with_intent", 10, None) & word_bounds("after_sent", 10, None))
     df = filter_single_span(df, "before_sent_with_intent")
-    return _pair("before_sent_with_intent", "after_sent")(df)
+    return df.select("row_id", F.col("before_sent_with_intent").alias("input"), F.col("after_sent").alias("output"), *_of(df))
 
 
 def _iterater_v1(df):
-    return df.select("row_id", "input", "output")
+    return df.select("row_id", "input", "output", *_of(df))
 
 
 def _v2(kind: str, group: str, repeat: int) -> Recipe:
@@ -163,14 +171,17 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def prepared(recipe: Recipe, corpus: DataFrame) -> DataFrame:
-    """Filter, project and subset a corpus: ``(row_id, input, output)``. Lazy;
-    the exact subset reads the row ids twice more to find its last key."""
+def prepared(recipe: Recipe, corpus: DataFrame, cut_lineage: bool = False) -> DataFrame:
+    """Filter, project and subset a corpus: ``(row_id, input, output)``. The
+    exact subset runs the plan below it once more to find its last key, so
+    ``cut_lineage`` writes the rows before the subset."""
     df = corpus.filter(F.col("split").isin(list(recipe.splits)))
     if recipe.type_filter:
         col, val = recipe.type_filter
         df = df.filter(F.col(col) == F.lit(val))
     base = recipe.prepare(df)
+    if cut_lineage:
+        base = _cut(base)
     if recipe.fraction is not None:
         base = train_fraction(base, recipe.fraction, recipe.fraction_seed)
     if recipe.expand is not None:
@@ -180,13 +191,15 @@ def prepared(recipe: Recipe, corpus: DataFrame) -> DataFrame:
 
 def generate(recipe: Recipe, corpus: DataFrame, catalogue: Mapping[str, List[str]], seed: int = 0,
              shuffle: Optional[str] = "hash", cut_lineage: bool = False) -> DataFrame:
-    """All examples of one recipe, as a lazy plan.
+    """All examples of one recipe.
 
     The prepared corpus has several readers (plain and masked pairs, the no-edit
-    cap). Over a stored corpus that is a cheap scan; where the corpus is costly
-    to derive, ``cut_lineage`` writes the prepared rows once with
-    ``checkpoint()`` (a job that runs at once). Annotated-span recipes have one
-    reader and are never cut.
+    cap and its keys, the keys of an exact subset). Over a stored corpus that is a
+    cheap scan; where the corpus is costly to derive, ``cut_lineage`` writes the
+    filtered rows once with ``checkpoint()`` (a job that runs at once).
+    Annotated-span recipes have one reader and are never cut. Finding the last
+    key of a subset or a cap runs small jobs on narrow tables of keys; everything
+    else is a lazy plan.
 
     ``shuffle``: ``"hash"`` (default) deals rows by a seeded key and orders
     each task's rows by it: a seeded random permutation with no range-sampling
@@ -194,9 +207,7 @@ def generate(recipe: Recipe, corpus: DataFrame, catalogue: Mapping[str, List[str
     second time); ``"sort"`` is a total order by the key; ``None`` keeps
     generation order.
     """
-    base = prepared(recipe, corpus)
-    if cut_lineage and recipe.intent is None and not base.isStreaming:
-        base = _cut(base)
+    base = prepared(recipe, corpus, cut_lineage and recipe.intent is None and not corpus.isStreaming)
     stream = recipe.key
     if recipe.intent is not None:
         out = span_annotated_pairs(base, recipe.intent, catalogue[recipe.group], recipe.repeat, seed,
@@ -208,14 +219,54 @@ def generate(recipe: Recipe, corpus: DataFrame, catalogue: Mapping[str, List[str
         parts.append(edit_pairs(reverse_pair(base), catalogue[recipe.reverse_group], recipe.repeat,
                                 recipe.mask_sample_size, recipe.diff, seed, f"{stream}/rev")
                      .withColumn("from", F.lit(recipe.reverse_tag)))
-    ne = no_edit_pairs(base, catalogue["do_not_edit"], recipe.cap, seed, stream=f"{stream}/noedit")
-    parts.append(ne.withColumns({"type": F.lit("no edit"), "from": F.lit(recipe.tag)}))
+    parts.append(_no_edit(recipe, base, catalogue, seed))
     out = parts[0].select(OUT_COLS)
     for p in parts[1:]:
         out = out.unionByName(p.select(OUT_COLS))
     return _shuffle(out, seed, shuffle)
 
 
+def _no_edit(recipe: Recipe, base: DataFrame, catalogue: Mapping[str, List[str]], seed: int) -> DataFrame:
+    ne = no_edit_pairs(base, catalogue["do_not_edit"], recipe.cap, seed, stream=f"{recipe.key}/noedit")
+    return ne.withColumns({"type": F.lit("no edit"), "from": F.lit(recipe.tag)})
+
+
+def _shares_scan(a: Recipe, b: Recipe) -> bool:
+    """Recipes that differ only in the value of their type filter and in what a column can carry."""
+    same = ("splits", "prepare", "mask_sample_size", "diff", "reverse_group", "fraction", "expand")
+    return all(getattr(a, n) == getattr(b, n) for n in same) and not (a.diff or a.reverse_group or a.fraction or a.expand) \
+        and bool(a.type_filter) and bool(b.type_filter) and a.type_filter[0] == b.type_filter[0] and (a.intent is None) == (b.intent is None)
+
+
+def generate_together(recipes: Sequence[Recipe], corpus: DataFrame, catalogue: Mapping[str, List[str]], seed: int = 0) -> DataFrame:
+    """The examples of several recipes on one corpus from one scan of it.
+
+    Each row gets an array of the recipes whose type filter it meets, which is
+    exploded once; prompts, repeats, streams and tags follow the recipe's number.
+    Same rows as ``generate`` with each recipe, in no particular order."""
+    first = recipes[0]
+    if not all(_shares_scan(first, r) for r in recipes):
+        raise ValueError("these recipes cannot share a scan")
+    meets = F.array(*[F.when(F.col(first.type_filter[0]) == F.lit(r.type_filter[1]), F.lit(i)) for i, r in enumerate(recipes)])
+    df = corpus.filter(F.col("split").isin(list(first.splits))).withColumn(OF, F.explode(F.array_compact(meets)))
+    base = first.prepare(df)
+
+    def each(values: Sequence) -> Column:
+        return F.element_at(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), F.col(OF) + 1)
+
+    prompts = each([F.array(*[F.lit(p) for p in catalogue[r.group]]) for r in recipes])
+    repeat, tag = each([r.repeat for r in recipes]), each([r.tag for r in recipes])
+    if first.intent is not None:
+        out = span_annotated_pairs(base, each([r.intent for r in recipes]), prompts, repeat, seed,
+                                   each([f"{r.key}/span" for r in recipes]), keep=[OF])
+        return out.withColumns({"type": F.lit("mask"), "from": tag}).select(OUT_COLS)
+    out = edit_pairs(base, prompts, repeat, first.mask_sample_size, False, seed, each([f"{r.key}/fwd" for r in recipes]), keep=[OF]) \
+        .withColumn("from", tag).select(OUT_COLS)
+    for i, r in enumerate(recipes):  # each recipe's no-edit examples have a cap of their own
+        out = out.unionByName(_no_edit(r, base.filter(F.col(OF) == i), catalogue, seed).select(OUT_COLS))
+    return out
+
+
 def _shuffle(df: DataFrame, seed: int, how: Optional[str]) -> DataFrame:
     if how is None:
         return df
@@ -232,6 +283,24 @@ def mixture(frames: Sequence[DataFrame], seed: int = 0, shuffle: Optional[str] =
     return _shuffle(out, seed, shuffle)
 
 
+def generate_mixture(recipes: Sequence[Recipe], corpora: Mapping[str, DataFrame], catalogue: Mapping[str, List[str]], seed: int = 0,
+                     shuffle: Optional[str] = "hash") -> DataFrame:
+    """All recipes' examples, merged and shuffled. ``corpora`` gives each
+    recipe's corpus by key; recipes with one and the same DataFrame whose
+    settings allow it are generated together. The corpora are read by each
+    group of recipes, so they should be stored."""
+    groups: List[List[Recipe]] = []
+    for r in recipes:
+        for g in groups:
+            if corpora[g[0].key] is corpora[r.key] and _shares_scan(g[0], r):
+                g.append(r)
+                break
+        else:
+            groups.append([r])
+    return mixture([generate(g[0], corpora[g[0].key], catalogue, seed, shuffle=None) if len(g) == 1
+                    else generate_together(g, corpora[g[0].key], catalogue, seed) for g in groups], seed, shuffle)
+
+
 def build(config: Sequence, read, catalogue: Mapping[str, List[str]], out_dir: str, seed: int = 0) -> List[str]:
     """Generate and write every enabled recipe of a configuration (as returned
     by ``load_recipe_config``) to ``out_dir/<key>``, one folder a recipe, so

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "revisio") -> SparkSession:
@@ -58,3 +59,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back."""
+    path = scratch_path(df.sparkSession, f"revisio-tables/{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(table: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more."""
+    spark = table.sparkSession
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for folder in {os.path.dirname(f) for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getParent().getName() == "revisio-tables":
+            path.getFileSystem(conf).delete(path, True)

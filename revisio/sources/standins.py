@@ -64,20 +64,21 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("row_id"), F.col("u.text").alias("input"), F.col("a.text").alias("output"))
 
 
-def _rel(spark, sf_dir):
-    return related_pairs(spark, sf_dir)
+def _rel(spark, sf_dir, related=None):
+    """``related``: the pairs, where they have been derived and stored before."""
+    return related_pairs(spark, sf_dir) if related is None else related
 
 
-def c4_corpus(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+def c4_corpus(spark, sf_dir, related=None):
+    r = _rel(spark, sf_dir, related)
     return r.select("row_id", "split", F.col("edited").alias("input"), F.col("text").alias("output"))
 
 
 lang8_corpus = c4_corpus
 
 
-def fce_corpus(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+def fce_corpus(spark, sf_dir, related=None):
+    r = _rel(spark, sf_dir, related)
     residual = F.slice(F.array(F.lit("x"), F.lit("y"), F.lit("z")), 1, (F.col("doc_id") % 4).cast("int"))
     return r.select("row_id", "split", F.col("edited").alias("text"), F.col("text").alias("edited_text"),
                     residual.alias("still_need_edit"))
@@ -86,15 +87,15 @@ def fce_corpus(spark, sf_dir):
 bea19_corpus = fce_corpus
 
 
-def gyafc_corpus(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+def gyafc_corpus(spark, sf_dir, related=None):
+    r = _rel(spark, sf_dir, related)
     d = F.col("doc_id")
     split = F.when(d % 10 == 0, "test").when(d % 2 == 1, "family_train").otherwise("ent_train")
     return r.select("row_id", split.alias("split"), F.col("edited").alias("informal"), F.col("text").alias("formal"))
 
 
-def disco_fuse_corpus(spark, sf_dir):
-    r = materialize(_rel(spark, sf_dir), {"_tw": words("text")})
+def disco_fuse_corpus(spark, sf_dir, related=None):
+    r = materialize(_rel(spark, sf_dir, related), {"_tw": words("text")})
     w = F.col("_tw")
     half = (F.size(w) / 2).cast("int")
     return r.select(
@@ -107,35 +108,35 @@ def disco_fuse_corpus(spark, sf_dir):
         F.lit(False).alias("has_coref_type_pronoun"), F.lit(False).alias("has_coref_type_nominal"))
 
 
-def wiki_auto_corpus(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+def wiki_auto_corpus(spark, sf_dir, related=None):
+    r = _rel(spark, sf_dir, related)
     return r.select("row_id", "split", F.col("text").alias("normal"), F.col("edited").alias("simple"))
 
 
-def wiki_large_corpus(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+def wiki_large_corpus(spark, sf_dir, related=None):
+    r = _rel(spark, sf_dir, related)
     return r.select("row_id", "split", F.col("text").alias("input"), F.col("edited").alias("simple"))
 
 
-def para_bank_corpus(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+def para_bank_corpus(spark, sf_dir, related=None):
+    r = _rel(spark, sf_dir, related)
     return r.select("row_id", "split", F.col("text").alias("input_text"), F.col("edited").alias("paraphrased_text"),
                     F.lit(0.5).alias("similarity"))
 
 
-def wnc_corpus(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+def wnc_corpus(spark, sf_dir, related=None):
+    r = _rel(spark, sf_dir, related)
     return r.select("row_id", "split", F.col("edited").alias("text"), F.col("text").alias("edited_text"))
 
 
-def appdia_corpus(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+def appdia_corpus(spark, sf_dir, related=None):
+    r = _rel(spark, sf_dir, related)
     return r.select("row_id", "split", F.col("edited").alias("offensive-text"),
                     F.col("text").alias("style-transferred-text"))
 
 
-def paradetox_corpus(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+def paradetox_corpus(spark, sf_dir, related=None):
+    r = _rel(spark, sf_dir, related)
     d = F.col("doc_id")
     return r.select("row_id", "split", F.col("edited").alias("toxic"), F.col("text").alias("neutral1"),
                     F.when(d % 2 == 0, F.lit(None)).otherwise(F.concat(F.col("text"), F.lit(" indeed")))
@@ -149,11 +150,11 @@ def label_of(doc_id: Column) -> Column:
     return F.when(r == 0, "clarity").when(r == 1, "coherence").otherwise("fluency")
 
 
-def iterater_v2_corpus(spark, sf_dir):
+def iterater_v2_corpus(spark, sf_dir, related=None):
     """Before-text with one ``<S>..</S>`` span over words k..k+2 (two spans
     when ``doc_id % 5 == 0``), prefixed ``<label>`` (no prefix when
     ``doc_id % 7 == 0``); after-text is the document."""
-    r = materialize(_rel(spark, sf_dir), {"_ew": words("edited")})
+    r = materialize(_rel(spark, sf_dir, related), {"_ew": words("edited")})
     d = F.col("doc_id")
     ew = F.col("_ew")
     n = F.size(ew)
@@ -174,8 +175,8 @@ def iterater_v2_corpus(spark, sf_dir):
                     F.lit(1).alias("revision_depth"))
 
 
-def iterater_v1_corpus(spark, sf_dir):
-    r = _rel(spark, sf_dir)
+def iterater_v1_corpus(spark, sf_dir, related=None):
+    r = _rel(spark, sf_dir, related)
     d = F.col("doc_id")
     split = F.when(d % 10 == 0, "human_validation").when(d % 10 == 1, "full_validation").otherwise("train")
     return r.select("row_id", split.alias("split"), F.col("edited").alias("input"), F.col("text").alias("output"),
