@@ -18,8 +18,9 @@ link if 100 * |intersection| >= percent * |union|.
    by hash, and two sets differ in at least as many shingles as there are slots
    in which one count is odd and the other even. Each pair that is left is
    verified once by intersecting the two sets.
-4. Only components are asked for, so pairs inside a component need no further
-   look. In a *star* step each prefix shingle's group is compared with one of
+4. The classes of a shingle that at most ``GROUP`` classes have are compared at
+   once, in one join. For the others only components are asked for, so pairs
+   inside a component need no further look. In a *star* step each prefix shingle's group is compared with one of
    its members only, which joins a large group of near copies with as many
    pairs as members. Star steps repeat while many pairs are left and each
    step takes a good part of them away; the last step always compares all
@@ -54,6 +55,8 @@ SKETCH_BITS = 18
 #: Slots of the suffix filter: parities in this many 64-bit words, folded into
 #: fewer where they travel with each prefix shingle.
 PARITY_WORDS, FOLDED_WORDS = 32, 8
+#: Classes of a shingle up to which all of them are compared at once.
+GROUP = 16
 #: Pairs for each prefix row up to which what is left is compared at once.
 PAIRS_PER_ROW = 2
 #: Share of the pairs left that a star step must take away to be repeated.
@@ -144,7 +147,8 @@ def _band(n: Column, percent: int) -> Column:
 
 
 def _partnered(classes: DataFrame, percent: int) -> DataFrame:
-    """``shingle, band``: the prefix shingles that several classes of sizes that may link share.
+    """``shingle, band, big``: the prefix shingles that several classes of sizes
+    that may link share; ``big`` if more than ``GROUP`` classes have the shingle.
 
     Counted by shingle and size step first, so that a frequent shingle sends one
     row a step; the steps of one shingle are then held against their neighbours."""
@@ -152,7 +156,8 @@ def _partnered(classes: DataFrame, percent: int) -> DataFrame:
         .groupBy("shingle", "band").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("shingle").orderBy("band")
     near = (F.coalesce(F.col("band") - F.lag("band").over(w) <= 1, F.lit(False))) | (F.coalesce(F.lead("band").over(w) - F.col("band") <= 1, F.lit(False)))
-    return written(counts.withColumn("near", near).filter("c > 1 or near").select("shingle", "band"), "shared")
+    big = F.sum("c").over(Window.partitionBy("shingle")) > GROUP
+    return written(counts.withColumn("near", near).withColumn("big", big).filter("c > 1 or near").select("shingle", "band", "big"), "shared")
 
 
 def _needed(na: Column, nb: Column, percent: int) -> Column:
@@ -232,15 +237,25 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     band = _band(F.col("n"), percent).alias("band")
     if n_shared <= MAX_SHARED:
         rows = classes.select("sig", "n", _folded(F.col("parity")).alias("odd"), band, F.posexplode("prefix").alias("pos", "shingle")) \
-            .join(F.broadcast(shared), ["shingle", "band"], "left_semi")
+            .join(F.broadcast(shared), ["shingle", "band"])
     else:
         # Narrow rows meet the shingles; those that stay fetch their class's parities.
-        narrow = classes.select("sig", band, F.posexplode("prefix").alias("pos", "shingle")).join(shared, ["shingle", "band"], "left_semi")
+        narrow = classes.select("sig", band, F.posexplode("prefix").alias("pos", "shingle")).join(shared, ["shingle", "band"])
         rows = narrow.join(classes.select("sig", "n", _folded(F.col("parity")).alias("odd")), "sig")
-    rows = written(rows.select("shingle", "sig", "n", "pos", "odd"), "prefixes")
+    every = written(rows.select("shingle", "sig", "n", "pos", "odd", "big"), "prefixes")
     remove(shared)
-    n_rows = rows.count()
+    n_small, n_rows = every.agg(F.count_if(~F.col("big")), F.count_if("big")).first()
     links, labels, step, before = None, None, 0, None
+    if n_small:
+        small = every.filter("not big").withColumn("label", F.col("sig"))
+        one, two = _side(small, "a"), _side(small, "b")
+        found = one.join(two, (one["shingle"] == two["shingle"]) & (F.col("a_sig") < F.col("b_sig")) & _may_link(percent))
+        new, used = _verified(found.select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b")).distinct(), classes, docs, size, percent)
+        links = written(new, "links")
+        labels = components(links)
+        for table in used:
+            remove(table)
+    rows = every.filter("big").drop("big")
     while n_rows:
         now, last = rows.withColumn("label", F.col("sig")), False
         if labels is not None:
