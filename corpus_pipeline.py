@@ -15,7 +15,7 @@ from revisio.llm.jaccard import keep_one
 from revisio.llm.packing import harmonic_packing
 from revisio.llm.quality_knn import keep_good
 from revisio.llm.quality_knn import learn as learn_knn
-from revisio.llm.quality_rules import kept_rows, learn_rules, with_stats
+from revisio.llm.quality_rules import judged_rows, kept_rows, learn_rules
 
 #: Near duplicates: word shingles of this size, and a similarity in percent.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -27,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     The statistics are computed once and written beside the texts; learning
     reads the narrow columns alone, so no text is shuffled.
     """
-    judged = written(with_stats(docs), "pipeline-stats")
-    return kept_rows(judged, learn_rules(judged, read_table(spark, sf_dir, "labels")))
+    judged = written(judged_rows(docs), "pipeline-stats")
+    return kept_rows(judged, learn_rules(judged.select("doc.doc_id", "_stats"), read_table(spark, sf_dir, "labels")))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

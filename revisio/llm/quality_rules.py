@@ -77,14 +77,20 @@ Rule = tuple[Condition, ...]
 
 
 def with_stats(docs: DataFrame, text_col: str = "text", out: str = "_stats") -> DataFrame:
-    """``docs`` plus one struct column of statistics; all in the row, no shuffle.
+    """``docs`` plus one struct column of statistics, named ``out``."""
+    return judged_rows(docs, text_col).select("doc.*", F.col("_stats").alias(out))
+
+
+def judged_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``doc, _stats``: each row as a struct, whatever its columns are called,
+    beside its statistics; all in the row, no shuffle.
 
     Repeated windows are found by sorting the windows' hashes with their
     places and comparing neighbours, and only in texts that have any.
     """
-    keep = docs.columns
     t = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    df = materialize(docs.withColumn("_qr_t", t), {"_qr_words": F.filter(F.split("_qr_t", SPACES), lambda w: w != "")})
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), t.alias("_qr_t"))
+    df = materialize(rows, {"_qr_words": F.filter(F.split("_qr_t", SPACES), lambda w: w != "")})
     words = F.col("_qr_words")
     windows = F.when(F.size(words) > WINDOW, F.transform(
         F.slice(words, 1, F.size(words) - (WINDOW - 1)),
@@ -125,7 +131,7 @@ def with_stats(docs: DataFrame, text_col: str = "text", out: str = "_stats") ->
         per("n_marks", "word_chars").alias("mark_share"), per("n_digits", "word_chars").alias("digit_share"),
         per("n_dup_lines", "n_lines").alias("dup_line_share"), per("n_repeat_words", "n_words").alias("repeat_share"),
         per("n_distinct", "n_words").alias("distinct_share"))
-    return materialize(df, {out: stats}).select(*[F.col(f"`{c}`") for c in keep], out)
+    return materialize(df, {"_stats": stats}).select("doc", "_stats")
 
 
 def base_failed(stats: Column) -> Column:
@@ -225,13 +231,13 @@ def decision(rules: list[Rule], stats: Column) -> Column:
 
 def apply_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    return kept_rows(with_stats(docs, text_col), rules)
+    return kept_rows(judged_rows(docs, text_col), rules)
 
 
 def kept_rows(judged: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The rows that stay of a table that has its statistics already, without them."""
+    """The rows that stay of a table of ``judged_rows``, with their own columns."""
     s = F.col("_stats")
-    return judged.filter(~base_failed(s) & decision(rules, s).isNull()).drop("_stats")
+    return judged.filter(~base_failed(s) & decision(rules, s).isNull()).select("doc.*")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
