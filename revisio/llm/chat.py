@@ -24,10 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revisio.llm.common import read_table
+from revisio.llm.common import read_table, written
 
-#: Conversations with the same first turn that one task ranks, about.
-GROUP_ROWS = 1000
+#: Conversations of shared openings that one range holds, about.
+GROUP_ROWS = 100_000
+#: Openings that several conversations share (about 60 bytes each) that are broadcast.
+MAX_GROUPS = 200_000
 _OPEN, _SHUT = "<|", "|>"
 
 
@@ -101,20 +103,21 @@ def preference_pairs(turns: DataFrame, group_rows: int = GROUP_ROWS) -> tuple[Da
     * A conversation without an assistant turn has no copy; if no other opens
       like it either, it is in no pair and gives no row.
 
-    Places in a group come from ``row_number`` in buckets of about
-    ``group_rows`` neighbouring ids and the buckets' sizes summed up; the
-    pairs depend on neither.
+    Places in a group come from the rows' order by (opening, id): rows are dealt
+    into ranges, numbered inside them, and the ranges' sizes are summed by
+    opening, so that a group of any size and any ids is spread.
     """
     first = turns.groupBy("conv").agg(
         F.min(F.struct("turn", "seq", "role", "text")).alias("f"),
         F.sum(F.when(F.col("role") == "assistant", F.length("text")).otherwise(0)).alias("said"),
         F.max(F.when(F.col("role") == "assistant", F.struct("turn", "seq"))).alias("last"))
-    opened = first.select("conv", "said", "last", F.md5(F.concat("f.role", F.lit("\n"), "f.text").cast("binary")).alias("key"))
-    groups = opened.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("conv").cast("double").alias("low"), F.max("conv").cast("double").alias("high")) \
-        .filter("n > 1").withColumn("k", F.ceil(F.col("n") / group_rows))
-    # Equal steps between the smallest and the largest id: buckets keep the ids' order.
-    step = F.floor((F.col("conv").cast("double") - F.col("low")) / (F.col("high") - F.col("low") + 1) * F.col("k"))
-    dealt = opened.join(groups, "key").select("conv", "said", "key", "n", F.least(step, F.col("k") - 1).alias("bucket"))
+    first = written(first.select("conv", "said", "last", F.md5(F.concat("f.role", F.lit("\n"), "f.text").cast("binary")).alias("key")), "openings")
+    groups = written(first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-openings")
+    n_groups, n_rows = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    opened = first.select("conv", "said", "key").join(F.broadcast(groups) if n_groups <= MAX_GROUPS else groups, "key")
+    ranges = max(1, -(-n_rows // group_rows), min(n_rows, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # Range bounds are sampled, so the dealt rows are written before anything is counted.
+    dealt = written(opened.repartitionByRange(ranges, "key", "conv").withColumn("bucket", F.spark_partition_id()), "dealt-openings")
     sizes = dealt.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("m"))
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("key", "bucket", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("start"))
@@ -140,22 +143,21 @@ def preference_pairs(turns: DataFrame, group_rows: int = GROUP_ROWS) -> tuple[Da
 
 
 def op10_preference_format(spark, sf_dir: str) -> DataFrame:
-    return format_preferences(*preference_pairs(turns_of(read_table(spark, sf_dir, "conversations"))))
+    turns = written(turns_of(read_table(spark, sf_dir, "conversations")), "turns")
+    return format_preferences(*preference_pairs(turns))
 
 
-# Equal to the query wherever no opening is shared by an odd number of
-# conversations or by more than GROUP_ROWS of them: it leaves those unpaired.
-ORACLE_SQL = f"""
+ORACLE_SQL = """
 WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv, turn ORDER BY role, text) - 1 AS seq FROM (
     SELECT DISTINCT conv_id AS conv, turn, replace(coalesce(role, ''), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
     FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
 f AS (SELECT conv, arg_min(role || chr(10) || text, turn * 1000000 + seq) AS opening,
              sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS said,
              max(turn * 1000000 + seq) FILTER (role = 'assistant') AS last FROM t GROUP BY conv),
-g AS (SELECT opening, ceil(count(*) / {GROUP_ROWS}.0)::BIGINT AS k FROM f GROUP BY opening HAVING count(*) > 1),
-b AS (SELECT conv, said, opening, ('0x' || substr(md5(conv::VARCHAR), 1, 8))::BIGINT % k AS bucket FROM f JOIN g USING (opening)),
-r AS (SELECT *, (row_number() OVER (PARTITION BY opening, bucket ORDER BY conv) - 1) // 2 AS pair FROM b),
-two AS (SELECT opening, bucket, pair, list(conv ORDER BY said DESC, conv) AS cs FROM r GROUP BY 1, 2, 3 HAVING count(*) = 2),
+g AS (SELECT conv, said, opening, row_number() OVER (PARTITION BY opening ORDER BY conv) - 1 AS i, count(*) OVER (PARTITION BY opening) AS n FROM f),
+r AS (SELECT conv, said, opening, i // 2 AS pair FROM g WHERE n > 1
+      UNION ALL SELECT conv, said, opening, i // 2 + 1 FROM g WHERE n > 1 AND n % 2 = 1 AND i = n - 2),
+two AS (SELECT opening, pair, list(conv ORDER BY said DESC, conv) AS cs FROM r GROUP BY 1, 2),
 p AS (SELECT cs[1] || '-' || cs[2] AS pair_id, unnest([cs[1], cs[2]]) AS conv, unnest([true, false]) AS is_chosen, NULL::BIGINT AS cut FROM two
       UNION ALL SELECT conv || '-cut', conv, unnest([true, false]), last FROM f WHERE last IS NOT NULL),
 m AS (SELECT pair_id, is_chosen, turn, seq, role,
