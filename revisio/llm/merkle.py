@@ -316,3 +316,52 @@ def _names(blocks: DataFrame) -> DataFrame:
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(read_table(spark, sf_dir, "documents"), F.coalesce(crc32_mod(F.col("doc_id"), 2) == 0, F.lit(False)))
+
+
+def _oracle_sql(levels: int = 14, source_levels: int = 8) -> str:
+    """The manifest in SQL, a step a level: enough for 3^14 leaves a source and 3^8 sources."""
+    def field(c: str) -> str:
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+
+    def digest(text: str) -> str:
+        return "sha256(" + " || ".join(field(c) for c in (*FIELDS[:-1], text)) + ")"
+
+    def tree(name: str, nodes: str, n: int) -> list[str]:
+        """Levels ``{name}k`` (tree, pos, h, n), siblings ``{name}sk`` (tree, pos, l, r) and ``{name}_roots``."""
+        out = [f"{name}0 AS (SELECT tree, pos, h, count(*) OVER (PARTITION BY tree) AS n FROM {nodes})"]
+        for k in range(n):
+            run = "OVER (PARTITION BY tree, pos // 3 ORDER BY pos ROWS BETWEEN"
+            out.append(f"{name}s{k} AS (SELECT tree, pos, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, "
+                       f"coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k} WHERE n > 1)")
+            out.append(f"{name}{k + 1} AS (SELECT tree, pos, h, count(*) OVER (PARTITION BY tree) AS n FROM (SELECT tree, pos // 3 AS pos, "
+                       f"sha256(string_agg(h, '' ORDER BY pos)) AS h FROM {name}{k} WHERE n > 1 GROUP BY tree, pos // 3) x)")
+        ends = " UNION ALL ".join(f"SELECT tree, h FROM {name}{k} WHERE n = 1" for k in range(n + 1))
+        return [*out, f"{name}_roots AS ({ends})"]
+
+    # crc32 by bytes; its table of 256 remainders follows from the polynomial.
+    table = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"
+    bytes_ = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_}), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295)"
+    ctes = [f"crc AS (SELECT {table} AS t)",
+            f"leaves AS (SELECT doc_id, coalesce('=' || source, '-') AS tree, {digest('text')} AS h, "
+            f"CASE WHEN doc_id IS NOT NULL AND {crc} % 2 = 0 THEN {digest(chr(34) + 'plain' + chr(34))} ELSE {digest('text')} END AS fake "
+            "FROM (SELECT *, replace(text, chr(10), '') AS plain FROM documents) d, crc)",
+            "placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h, fake) - 1 AS pos FROM leaves)",
+            *tree("a", "placed", levels),
+            "sources AS (SELECT '' AS tree, tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS pos FROM a_roots)",
+            *tree("b", "sources", source_levels)]
+    rows = ("SELECT p.doc_id, p.h AS leaf, p.fake, a.h AS subroot, b.h AS root, p.tree, p.pos, s.pos AS at FROM placed p "
+            "JOIN a_roots a ON p.tree = a.tree JOIN sources s ON s.name = p.tree, b_roots b")
+    step = "rows0"
+    ctes.append(f"rows0 AS (SELECT *, fake AS folded, '' AS proof FROM ({rows}) x)")
+    for name, key, n, on in (("a", "pos", levels, "s.tree = x.tree"), ("b", "at", source_levels, "s.tree = ''")):
+        for k in range(n):
+            nxt = f"rows_{name}{k}"
+            ctes.append(f"{nxt} AS (SELECT x.* REPLACE (CASE WHEN s.l IS NULL THEN x.folded ELSE sha256(s.l || x.folded || s.r) END AS folded, "
+                        f"x.proof || coalesce(s.l || s.r, '') AS proof) FROM {step} x LEFT JOIN {name}s{k} s ON {on} AND s.pos = x.{key} // {3 ** k})")
+            step = nxt
+    return (f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, "
+            f"folded = root AS verified FROM {step}")
+
+
+ORACLE_SQL = _oracle_sql()
