@@ -618,6 +618,35 @@ def _():
             f"'\\1' || chr(10), 'g') AS reference FROM {RELATED} r")
 
 
+def abbreviation_sql() -> str:
+    """word, with_stop, without_stop, score."""
+    typed = f"(SELECT lower(regexp_replace(w, '\\.$', '')) AS word, ends_with(w, '.') AS stop FROM (SELECT unnest({words('text')}) AS w FROM documents) t)"
+    counts = f"(SELECT word, count(*) FILTER (stop) AS k, count(*) FILTER (NOT stop) AS m FROM {typed} t GROUP BY word)"
+    totals = f"(SELECT least(sum(k)::DOUBLE / sum(k + m)::DOUBLE, 1 - 1e-9) AS p FROM {counts} c0)"
+    inner = "(length(word) - length(replace(word, '.', '')))"
+    ratio = "-2 * ((k * ln(p) + m * ln(1 - p)) - (k * ln(0.99::DOUBLE) + m * ln(1 - 0.99::DOUBLE)))"
+    score = f"{ratio} * exp(-(length(word) - {inner})) * ({inner} + 1) * pow((length(word) - {inner})::DOUBLE, -m::DOUBLE)"
+    return (f"(SELECT word, k AS with_stop, m AS without_stop, {score} AS score FROM {counts} c, {totals} z "
+            "WHERE k > 0 AND regexp_matches(word, '[a-zA-Z\\p{L}]'))")
+
+
+@oracle("abbreviations")
+def _():
+    return f"SELECT word, with_stop, without_stop, round(score, 6) + 0.0 AS score, score >= 0.3 AS abbreviation FROM {abbreviation_sql()} a"
+
+
+@oracle("split_sentences_learned")
+def _():
+    ws = q(WS_CLASS + "+")
+    marked = f"regexp_replace(replace({strip_sql('text')}, chr(1), ' '), {q('([.!?])(' + WS_CLASS + '+)')}, '\\1' || chr(1) || '\\2', 'g')"
+    last = f"regexp_extract(parts[i - 1], {q('([^' + WS_CLASS[1:-1] + ']+)$')}, 1)"
+    known = f"(SELECT list(word) AS ws FROM {abbreviation_sql()} a WHERE score >= 0.3)"
+    joined = (f"array_to_string(list_transform(parts, lambda x, i: CASE WHEN i = 1 OR (ends_with({last}, '.') AND "
+              f"list_contains(ws, lower(regexp_replace({last}, '\\.$', '')))) THEN x ELSE chr(10) || regexp_replace(x, '^' || {ws}, '') END), '')")
+    return (f"SELECT row_id, {joined} AS sentences FROM (SELECT row_id, string_split({marked}, chr(1)) AS parts FROM {RELATED} r) p, "
+            f"(SELECT coalesce(ws, []::VARCHAR[]) AS ws FROM {known} k0) k")
+
+
 @oracle("decode_ids")
 def _():
     ex = f"(SELECT row_id, unnest(labels) AS id, generate_subscripts(labels, 1) AS pos FROM {TOKD} t)"
@@ -777,6 +806,9 @@ def _():
             f"({rouge_sql()}) r")
 
 
+ORACLE["stream_examples"] = f"SELECT * FROM ({ORACLE['wiki_large']}) w WHERE type <> 'no edit'"
+
+
 @oracle("read_files")
 def _():
     return (f"SELECT row_id, input, output, CASE WHEN CAST(split_part(row_id, ':', 1) AS INTEGER) % 2 = 0 "

@@ -125,6 +125,10 @@ def steps(x=_Spark) -> list:
             lambda w: _suffixes(x, w, STEP_3, M_POSITIVE), drop, final_e, final_l, lambda w: x.rewrite(w, "^Y", "y")]
 
 
+def _applied(step):
+    return lambda e: F.struct(F.when(e["on"], step(e["w"])).otherwise(e["w"]).alias("w"), e["on"].alias("on"))
+
+
 def stems(tokens: Column, least: int = 4) -> Column:
     """Lower-case ASCII words of an array stemmed, those below ``least`` letters as they are.
 
@@ -132,7 +136,7 @@ def stems(tokens: Column, least: int = 4) -> Column:
     once and not copied into every condition of the next."""
     run = F.transform(tokens, lambda w: F.struct(w.alias("w"), (F.length(w) >= least).alias("on")))
     for step in steps():
-        run = F.transform(run, lambda e, step=step: F.struct(F.when(e["on"], step(e["w"])).otherwise(e["w"]).alias("w"), e["on"].alias("on")))
+        run = F.transform(run, _applied(step))
     return F.transform(run, lambda e: e["w"])
 
 

@@ -86,12 +86,13 @@ def _map_row(vocab: DataFrame, key: str, value: str) -> DataFrame:
     return numbered.agg(F.map_from_entries(pairs).alias("_by")).select(F.lit(1).alias("_one"), in_order.alias("_maps"))
 
 
-def _find(key: Column) -> Column:
+def find_in_row(key: Column) -> Column:
     """The value of ``key`` in the row's ``_maps``, null if it has none."""
     return F.element_at(F.get(F.col("_maps"), F.pmod(F.xxhash64(key), F.size("_maps")).cast("int")), key)
 
 
-def _with_maps(df: DataFrame, vocab: DataFrame, key: str, value: str) -> DataFrame:
+def with_map_row(df: DataFrame, vocab: DataFrame, key: str, value: str) -> DataFrame:
+    """``df`` with the table's maps beside each row; the table has to be small."""
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(_map_row(vocab, key, value)), "_one")
 
 
@@ -111,8 +112,8 @@ def tokenize(df: DataFrame, vocab: DataFrame, sides: Sequence[tuple], row_id: st
     size = _bytes(vocab)
     if size <= (IN_ROW_BYTES if in_row_bytes is None else in_row_bytes):
         cut = df.select(F.col(row_id).alias("row_id"), *[_cut_words(c, n).alias(f"_w{i}") for i, (c, _, n) in enumerate(sides)])
-        found = _with_maps(cut, vocab, "token", "id")
-        ids = lambda i: F.transform(f"_w{i}", lambda w: F.coalesce(_find(w), F.lit(UNK)))
+        found = with_map_row(cut, vocab, "token", "id")
+        ids = lambda i: F.transform(f"_w{i}", lambda w: F.coalesce(find_in_row(w), F.lit(UNK)))
         return found.select("row_id", *[F.concat(ids(i), F.array(F.lit(EOS))).alias(out) for i, (_, out, _) in enumerate(sides)])
     items = []
     for i, (col, _, max_len) in enumerate(sides):
@@ -201,8 +202,8 @@ def decode_ids(df: DataFrame, vocab: DataFrame, ids_col: str, out_col: str, skip
         ids = F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>"))
         if skip_special:
             ids = F.filter(ids, lambda i: i >= SPECIALS)
-        found = _with_maps(df.select(F.col(row_id).alias("row_id"), ids.alias("_ids")), vocab, "id", "token")
-        return found.select("row_id", F.array_join(F.transform("_ids", lambda i: name(_find(i), i)), " ").alias(out_col))
+        found = with_map_row(df.select(F.col(row_id).alias("row_id"), ids.alias("_ids")), vocab, "id", "token")
+        return found.select("row_id", F.array_join(F.transform("_ids", lambda i: name(find_in_row(i), i)), " ").alias(out_col))
     ex = df.select(F.col(row_id).alias("row_id"), F.posexplode_outer(ids_col).alias("pos", "id"))
     j = ex.join(_lookup(vocab, size), "id", "left")
     keep = F.col("pos").isNotNull()

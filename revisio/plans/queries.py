@@ -413,6 +413,7 @@ def q_mixture(spark, sf):
 # ------------------------------------------------- tokenise, pad, batch
 from revisio.operators import batch as B  # noqa: E402
 from revisio.operators import metrics as M  # noqa: E402
+from revisio.operators import sentences as SE  # noqa: E402
 from revisio.operators import tokenize as K  # noqa: E402
 
 VOCAB = 5000
@@ -546,6 +547,21 @@ def q_split_sentences(spark, sf):
     return _preds(spark, sf).select("row_id", M.split_sentences(M.clean_text(F.col("reference"))).alias("reference"))
 
 
+@query("abbreviations")
+def q_abbreviations(spark, sf):
+    """How strongly the corpus says that a word's full stop ends no sentence."""
+    scores = SE.abbreviation_scores(S.table(spark, sf, "documents"), ["text"])
+    return scores.select("word", "with_stop", "without_stop", F.round("score", 6).alias("score"), (F.col("score") >= SE.LEAST).alias("abbreviation"))
+
+
+@query("split_sentences_learned")
+def q_split_sentences_learned(spark, sf):
+    """Sentences of the references, with the abbreviations that the corpus itself shows."""
+    known = written(SE.abbreviations(SE.abbreviation_scores(S.table(spark, sf, "documents"), ["text"])), "abbreviations")
+    refs = _preds(spark, sf).select("row_id", M.clean_text(F.col("reference")).alias("reference"))
+    return SE.split_learned(refs, "reference", known, "sentences").select("row_id", "sentences")
+
+
 @query("decode_ids")
 def q_decode_ids(spark, sf):
     vocab = vocab_frame(spark, sf)
@@ -701,6 +717,19 @@ def q_build_all(spark, sf):
     return build_all(spark, config, root, _scratch(spark, "build_all"), catalogue(), SEED)
 
 
+@query("stream_examples")
+def q_stream_examples(spark, sf):
+    """A recipe's plain and masked pairs from a stream over stored corpus files,
+    a few files a batch, written by the streaming sink and read back."""
+    from revisio.streaming import stream_to_corpus
+    source, out, state = (_scratch(spark, f"stream-{n}") for n in ("in", "out", "state"))
+    corpus = CORPUS["wiki_large"](spark, sf)
+    corpus.repartition(4, "row_id").write.parquet(source)
+    rows = spark.readStream.schema(corpus.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    stream_to_corpus(rows, RECIPES["wiki_large"], catalogue(), out, state, SEED).awaitTermination()
+    return spark.read.parquet(out).select("row_id", "variant", "input", "output", "type", "from")
+
+
 @query("assign_prompts")
 def q_assign_prompts(spark, sf):
     """Rows x the recipe's prompt group, keep a sample per row: the group is

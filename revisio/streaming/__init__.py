@@ -1,2 +1,2 @@
 """Structured Streaming entry points for the row-local generators."""
-from revisio.streaming.examples import stream_examples  # noqa: F401
+from revisio.streaming.examples import stream_examples, stream_to_corpus  # noqa: F401

@@ -14,6 +14,7 @@ from typing import List, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from revisio.operators.pairs import edit_pairs
 from revisio.operators.projections import reverse_pair
@@ -40,3 +41,17 @@ def stream_examples(rows: DataFrame, recipe: Recipe, catalogue: Mapping[str, Lis
                           f"{recipe.key}/rev")
         out = out.unionByName(back.withColumn("from", F.lit(recipe.reverse_tag)))
     return out
+
+
+def stream_to_corpus(rows: DataFrame, recipe: Recipe, catalogue: Mapping[str, List[str]], path: str, checkpoint: str,
+                     seed: int = 0) -> StreamingQuery:
+    """Write the examples of all rows that have arrived to ``path``, partitioned
+    as ``write_corpus`` does, and stop.
+
+    ``checkpoint`` remembers which input has been read; a later start with the
+    same folders goes on from there. The file sink lists a batch's files only
+    once the whole batch is written, so a batch that is run again after a
+    failure replaces what it wrote before and no example stands twice."""
+    out = stream_examples(rows, recipe, catalogue, seed)
+    return out.writeStream.format("parquet").outputMode("append").partitionBy("from", "type").option("path", path) \
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
