@@ -554,6 +554,17 @@ for _mode in ("drop_last", "even", "fixed"):
                                          f"FROM {batches(DOCS, _mode, 7)} b")
 
 
+@oracle("collate_padded")
+def _():
+    longest = "CAST(ceil(max(len({c})) OVER (PARTITION BY batch_id) / 8) * 8 AS INTEGER)"
+    inner = (f"(SELECT CAST(batch_id AS BIGINT) AS batch_id, pos_in_batch, input_ids, labels, {longest.format(c='input_ids')} AS pad_len, "
+             f"{longest.format(c='labels')} AS label_len FROM {batches(TOKD, 'drop_last', 8)} x)")
+    sides = {"input_ids": pad("input_ids", "pad_len"), "attention_mask": pad("list_transform(input_ids, lambda x: 1)", "pad_len"),
+             "labels": pad("labels", "label_len", -100)}
+    joined = ", ".join(f"string_agg({ids(v)}, '|' ORDER BY pos_in_batch) AS {n}" for n, v in sides.items())
+    return f"SELECT batch_id, {joined} FROM {inner} y GROUP BY batch_id"
+
+
 @oracle("pad_batches")
 def _():
     b = batches(TOKD, "fixed", 8)

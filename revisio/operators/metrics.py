@@ -278,7 +278,7 @@ def rouge_lsum(df: DataFrame, pred: str, ref: str) -> DataFrame:
     """One row: ``rougeLsum`` = mean per-row F1 x 100 of the union LCS over
     sentences (``split_sentences`` of the cleaned texts), 4 places."""
     def sentences(c: str) -> Column:
-        return F.transform(F.split(split_sentences(clean_text(F.col(c))), "\n"), rouge_tokens)
+        return F.transform(F.split(split_sentences(clean_text(F.col(c))), "\n"), lambda s: rouge_tokens(s))
 
     f = _rouge_lsum_f(sentences(pred), sentences(ref))
     return df.agg(F.bround(F.avg(f) * 100, 4).alias("rougeLsum"))

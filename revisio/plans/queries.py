@@ -532,6 +532,14 @@ def q_collate(spark, sf):
     return c.select("batch_id", F.array_join("row_id", ",").alias("row_ids"))
 
 
+@query("collate_padded")
+def q_collate_padded(spark, sf):
+    """Batches as a trainer takes them: a row a batch with its padded ids, masks and labels as arrays of arrays."""
+    b = B.pad_batches(B.assign_batches(tokenized(spark, sf), 8, SEED, "drop_last"), multiple=8)
+    c = B.collate(b, ["input_ids", "attention_mask", "labels"])
+    return c.select("batch_id", *[F.array_join(F.transform(n, K.ids_text), "|").alias(n) for n in ("input_ids", "attention_mask", "labels")])
+
+
 # ---------------------------------------------------------------- metrics
 def _preds(spark, sf):
     return q_pair_predictions(spark, sf)
@@ -697,7 +705,7 @@ def q_read_files(spark, sf):
     c.filter(F.col("_odd") == 1).drop("_odd").write.json(val)
     schema = "row_id string, input string, output string"
     from pyspark.sql.types import _parse_datatype_string
-    return read_files(spark, {"train": train, "validation": val}, _parse_datatype_string(schema))
+    return read_files(spark, {"train": train, "validation": val}, _parse_datatype_string(schema), multiline=True)
 
 
 @query("build_all")
