@@ -771,6 +771,30 @@ def levels_sql() -> str:
                                f"SELECT {BY}, 'gen_len', gen_len FROM {lens} l"])
 
 
+def rouge_l_sql() -> str:
+    """The longest common subsequence by bits: the reference's places in words of
+    60 bits; for each predicted token one addition over the words, with carry.
+    Zero bits that are left are matches."""
+    word = (1 << 60) - 1
+    toks = f"(SELECT row_id, {ROUGE_TOK('edited')} AS a, {ROUGE_TOK('text')} AS b FROM {RELATED} r)"
+    bits = ("(SELECT row_id, tok, (pos - 1) // 60 AS k, bit_or(CAST(1 AS UBIGINT) << CAST((pos - 1) % 60 AS UBIGINT)) AS m FROM "
+            "(SELECT row_id, unnest(b) AS tok, generate_subscripts(b, 1) AS pos FROM t) x GROUP BY row_id, tok, (pos - 1) // 60)")
+    maps = f"(SELECT row_id, tok, map_from_entries(list((k, m))) AS mp FROM {bits} y GROUP BY row_id, tok)"
+    masks = f"(SELECT z.row_id, tok, list_transform(range((len(b) + 59) // 60), lambda k: coalesce(mp[k], CAST(0 AS UBIGINT))) AS ms FROM {maps} z JOIN t USING (row_id))"
+    steps = (f"(SELECT row_id, list(ms ORDER BY pos) AS steps FROM (SELECT row_id, unnest(a) AS tok, generate_subscripts(a, 1) AS pos FROM t) q "
+             f"JOIN {masks} w USING (row_id, tok) GROUP BY row_id)")
+    start = (f"list_transform(range((len(b) + 59) // 60), lambda k: CASE WHEN (k + 1) * 60 <= len(b) THEN CAST({word} AS UBIGINT) "
+             "ELSE (CAST(1 AS UBIGINT) << CAST(len(b) - k * 60 AS UBIGINT)) - 1 END)")
+    total = "(v[k] + (v[k] & m[k]) + acc.c)"
+    chunk = (f"{{'c': {total} >> CAST(60 AS UBIGINT), 'o': list_append(acc.o, (({total} & CAST({word} AS UBIGINT)) | (v[k] - (v[k] & m[k]))) & ones[k])}}")
+    fold = (f"list_reduce(steps, lambda v, m: (list_reduce(range(1, len(v) + 1), lambda acc, k: {chunk}, "
+            "{'c': CAST(0 AS UBIGINT), 'o': CAST([] AS UBIGINT[])})).o, ones)")
+    rows = f"(SELECT t.row_id, len(a) AS n, len(b) AS m, steps, {start} AS ones FROM t LEFT JOIN {steps} s ON s.row_id = t.row_id)"
+    lcs = f"(SELECT n, m, CASE WHEN steps IS NULL THEN 0 ELSE m - list_sum(list_transform({fold}, lambda x: bit_count(x))) END AS hits FROM {rows} u)"
+    return (f"WITH t AS {toks} SELECT round_even(avg(CASE WHEN hits > 0 THEN 2 * hits / (n + m) ELSE 0.0 END) * 100, 4) AS \"rougeL\" FROM {lcs} l")
+
+
+ORACLE["rouge_l"] = rouge_l_sql()
 ORACLE["score_levels"] = levels_sql()
 ORACLE["rouge_intervals"] = intervals_sql(1000)
 ORACLE["rouge_stemmed"] = f"SELECT {ROUGE_MEANS} FROM {rouge_rows(lambda c: sql_stems(ROUGE_TOK(c)))} x"

@@ -131,21 +131,16 @@ def tokenize(df: DataFrame, vocab: DataFrame, sides: Sequence[tuple], row_id: st
     return grouped.select("row_id", *outs)
 
 
-_TOKENIZERS: dict = {}
-
-
 def tokenize_with(df: DataFrame, tokenizer_path: str, sides: Sequence[tuple], eos: int, row_id: str = "row_id") -> DataFrame:
     """Token ids per side from a tokenizer file (the ``tokenizers`` library's
-    JSON), which every worker reads once; ``sides`` as for ``tokenize``. Whole
+    JSON), which each task reads once; ``sides`` as for ``tokenize``. Whole
     texts are encoded, then cut to ``max_len - 1`` ids, and end with ``eos``; a
     null side is empty. Encoding is a map over Arrow batches, without a shuffle."""
     cuts = [n - 1 for _, _, n in sides]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _TOKENIZERS:
-            from tokenizers import Tokenizer
-            _TOKENIZERS[tokenizer_path] = Tokenizer.from_file(tokenizer_path)
-        tok = _TOKENIZERS[tokenizer_path]
+        from tokenizers import Tokenizer
+        tok = Tokenizer.from_file(tokenizer_path)
         for batch in batches:
             outs = []
             for i, n in enumerate(cuts):
