@@ -232,6 +232,9 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n", "prefix", "parity")).alias("f")
     classes = written(members.filter("sig is not null").groupBy("sig").agg(first)
                       .select("sig", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("first_th"), "f.n", "f.prefix", "f.parity"), "classes")
+    # From here on documents need their class alone.
+    wide, members = members, written(members.select("doc_id", "th", "n", "sig"), "documents")
+    remove(wide)
     shared = _partnered(classes, percent)
     n_shared = shared.count()
     band = _band(F.col("n"), percent).alias("band")
@@ -244,6 +247,8 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
         rows = narrow.join(classes.select("sig", "n", _folded(F.col("parity")).alias("odd")), "sig")
     every = written(rows.select("shingle", "sig", "n", "pos", "odd", "big"), "prefixes")
     remove(shared)
+    wide, classes = classes, written(classes.drop("prefix"), "classes")
+    remove(wide)
     n_small, n_rows = every.agg(F.count_if(~F.col("big")), F.count_if("big")).first()
     links, labels, step, before = None, None, 0, None
     if n_small:
@@ -305,8 +310,12 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
                                                         F.when(F.col("m").isNotNull(), F.col("m.t")).otherwise(F.col("first_th")).alias("component_th"))
     else:
         name = name.select("sig", F.col("first_id").alias("component_id"), F.col("first_th").alias("component_th"))
+    name = written(name, "class-names")
+    for table in (classes, rows, links, labels):
+        if table is not None:
+            remove(table)
     narrow = members.select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "sig")
-    return narrow.join(written(name, "class-names"), "sig", "left").select(
+    return narrow.join(name, "sig", "left").select(
         "doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n_shingles") > 0, F.col("component_th")).otherwise(F.col("th")).alias("component_th"))
 
