@@ -81,15 +81,15 @@ def with_stats(docs: DataFrame, text_col: str = "text", out: str = "_stats") ->
     return judged_rows(docs, text_col).select("doc.*", F.col("_stats").alias(out))
 
 
-def judged_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``doc, _stats``: each row as a struct, whatever its columns are called,
-    beside its statistics; all in the row, no shuffle.
+def judged_rows(docs: DataFrame, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """``doc, _stats``: each row (or those ``columns`` of it) as a struct, whatever
+    its columns are called, beside its statistics; all in the row, no shuffle.
 
     Repeated windows are found by sorting the windows' hashes with their
     places and comparing neighbours, and only in texts that have any.
     """
     t = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), t.alias("_qr_t"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns or docs.columns]).alias("doc"), t.alias("_qr_t"))
     df = materialize(rows, {"_qr_words": F.filter(F.split("_qr_t", SPACES), lambda w: w != "")})
     words = F.col("_qr_words")
     windows = F.when(F.size(words) > WINDOW, F.transform(
@@ -246,7 +246,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The texts are read once: the statistics are written to the shared folder,
     then learned from and judged.
     """
-    stats = written(with_stats(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))).drop("text"), "quality-stats")
+    stats = written(judged_rows(docs, columns=["doc_id"]).select("doc.doc_id", "_stats"), "quality-stats")
     rules = learn_rules(stats, labels)
     s = F.col("_stats")
     failed, rule = base_failed(s), decision(rules, s)
