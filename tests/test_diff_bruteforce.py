@@ -2,10 +2,12 @@
 brute force on the smallest tables."""
 import difflib
 import itertools
+import random
 
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from revisio.operators import diff as D
 from revisio.operators.pairs import masked_pairs
 from revisio.sources import standins as S
 
@@ -60,3 +62,32 @@ def test_diff_masks_match_bruteforce(spark):
                 if encode(a, sm) == (by[rid][v].input[len(f"P: {inp} -> "):], by[rid][v].output):
                     ok = True
             assert ok, (rid, v)
+
+
+def _edited(rng, a):
+    """``a`` with some words dropped and some doubled."""
+    return [w for w in a for _ in range(rng.choice([0, 2, 1, 1, 1, 1, 1, 1, 1]))]
+
+
+def test_opcodes_are_the_library_s_on_random_words(monkeypatch):
+    rng = random.Random(3)
+    for most in (D.MAX_PLACES, 50):  # also where some texts go to the library
+        monkeypatch.setattr(D, "MAX_PLACES", most)
+        for _ in range(1500):
+            words = rng.choice([1, 2, 3, 5, 20, 200])
+            a = [rng.randrange(words) for _ in range(rng.choice([0, 1, 3, 10, 40, 150, 250, 400]))]
+            b = _edited(rng, a) if rng.random() < 0.5 else [rng.randrange(words) for _ in range(rng.choice([0, 1, 5, 30, 199, 220, 300]))]
+            assert D._opcodes(a, b) == difflib.SequenceMatcher(None, a, b).get_opcodes(), (a, b)
+
+
+def test_long_texts_are_not_scanned_again_at_every_level(monkeypatch):
+    """The library's search for one block is not called: it reads all words of its box each time."""
+    def refuse(*_):
+        raise AssertionError("the library scanned a box")
+
+    rng = random.Random(4)
+    a = [rng.randrange(5000) for _ in range(20_000)]
+    b = _edited(rng, a)
+    expected = difflib.SequenceMatcher(None, a, b).get_opcodes()
+    monkeypatch.setattr(difflib.SequenceMatcher, "find_longest_match", refuse)
+    assert D._opcodes(a, b) == expected
