@@ -10,6 +10,7 @@ from revisio.operators.filters import drop_empty_pairs
 from revisio.operators.order import slice_rows
 from revisio.operators.projections import add_prefix
 from revisio.operators.tokenize import tokenize
+from revisio.session import written
 
 
 def prepare(pairs: DataFrame, vocab: DataFrame, batch_size: int, seed: int, source_len: int, target_len: int,
@@ -22,5 +23,6 @@ def prepare(pairs: DataFrame, vocab: DataFrame, batch_size: int, seed: int, sour
     if start or stop is not None:
         pairs = slice_rows(pairs, start, stop, list(order), rank=False)
     rows = add_prefix(drop_empty_pairs(pairs), "input", prefix)
-    tokens = tokenize(rows, vocab, [("input", "input_ids", source_len), ("output", "labels", target_len)])
+    # The ranks read the rows twice: the cut ids are stored, so that texts are split and looked up once.
+    tokens = written(tokenize(rows, vocab, [("input", "input_ids", source_len), ("output", "labels", target_len)]), "tokens")
     return pad_batches(assign_batches(tokens, batch_size, seed, mode), multiple).drop("rank")
