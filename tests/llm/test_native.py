@@ -235,3 +235,14 @@ def test_turns_without_conversation_or_number_are_dropped(spark):
     assert {r.pair_id for r in got} == {"1-cut"} and not [r for r in got if "no place" in r.text]
     from revisio.llm import chat
     assert "without a turn number have no place and are dropped" in chat.__doc__
+
+
+def test_word_count_makes_no_match_for_each_word(spark):
+    """Counts as the words of the SQL, without a regular expression's matches (four times the time)."""
+    from revisio.llm import decontamination as D
+    texts = ["", " ", "a", "a b", ".a.", "é.É ü", "\x00a\x7fb", "퟿ x \U0001f600", "  A1-b2__C ", "\n", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        "text", D._word_count(F.col("text")).alias("n"), F.size(D.words_of(F.col("text"))).alias("w"))
+    assert all(r.n == r.w for r in rows.collect())
+    plan = rows.select("n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan.lower() and "regexp_count" not in plan.lower()
