@@ -13,18 +13,21 @@ link if 100 * |intersection| >= percent * |union|.
 3. A prefix shingle is kept for a class only if another class of a size that may
    link has it too (sizes in steps of the linking ratio; the same step or a
    neighbouring one). Classes are joined on these shingles. Candidates pass a length filter, a
-   positional filter (what may still overlap before and after the shared
-   place), and a suffix filter: the sets' shingles are dealt into fixed slots
-   by hash, and two sets differ in at least as many shingles as there are slots
-   in which one count is odd and the other even. Each pair that is left is
-   verified once by intersecting the two sets.
+   positional filter (what may still overlap from the shared place on; a pair
+   that links passes it at the first shingle that both sets have, so it is not
+   asked to pass at later ones), and a suffix filter: the sets' shingles are
+   dealt into slots by hash, as many as fit the set's size, and two sets differ
+   in at least as many shingles as there are slots in which one count is odd and
+   the other even. Each pair that is left is verified once by intersecting the
+   two sets.
 4. The classes of a shingle that at most ``GROUP`` classes have are compared at
    once, in one join. For the others only components are asked for, so pairs
    inside a component need no further look. In a *star* step each prefix shingle's group is compared with one of
    its members only, which joins a large group of near copies with as many
    pairs as members. Star steps repeat while many pairs are left and each
    step takes a good part of them away; the last step always compares all
-   remaining candidates between different components, so no link is lost.
+   remaining candidates between different components, by all their slots, so no
+   link is lost.
    A shingle whose classes all lie in one component is done for good, so the
    prefix rows shrink with each step; tables of past steps are deleted.
 
@@ -39,7 +42,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +54,10 @@ from revisio.llm.shingles import shingle_sets
 from revisio.llm.units import blocks
 
 SKETCH_BITS = 18
-#: Slots of the suffix filter: parities in this many 64-bit words, folded into
-#: fewer where they travel with each prefix shingle.
-PARITY_WORDS, FOLDED_WORDS = 32, 8
+#: Slots of the suffix filter: parities in 64-bit words, a power of two between
+#: these that gives each shingle a slot (too few slots tell nothing about a large
+#: set), folded into fewer where they travel with each prefix shingle.
+PARITY_WORDS, MAX_PARITY_WORDS, FOLDED_WORDS = 32, 256, 8
 #: Classes of a shingle up to which all of them are compared at once.
 GROUP = 16
 #: Pairs for each prefix row up to which what is left is compared at once.
@@ -73,6 +76,14 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether a set has an odd number of shingles in each slot, as bits of 64-bit
+    words. Half as many words are the two halves' XOR."""
+    words = min(MAX_PARITY_WORDS, max(PARITY_WORDS, 1 << (-(-len(s) // 64) - 1).bit_length()))
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     text = docs["text"].cast("string")
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), text.alias("text"))
@@ -90,14 +101,14 @@ def _rarity(docs: DataFrame, size: int) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["slot", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    out[rows["slot"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
 def _members(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """One row a document: set size, class, prefix in order, and parities."""
+    """One row a document: set size, class, prefix in order, parities, and folded parities."""
     rarity = docs.sparkSession.sparkContext.broadcast(_rarity(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,19 +117,19 @@ def _members(docs: DataFrame, size: int, percent: int) -> DataFrame:
             texts = batch.column(2)
             for a, b in blocks(texts):
                 sets = shingle_sets(texts.slice(a, b - a).to_pylist(), size)
-                prefix, parity = [], []
+                prefix, parity, folded = [], [], []
                 for s in sets:
                     order = np.lexsort((s, seen[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
                     prefix.append(s[order[:prefix_length(len(s), percent)]].view(np.int64) if len(s) else s.view(np.int64))
-                    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
-                    parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                    parity.append(parities(s))
+                    folded.append(np.bitwise_xor.reduce(parity[-1].reshape(-1, FOLDED_WORDS), axis=0))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int32()),
                      pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                     pa.array(prefix, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))],
-                    ["doc_id", "th", "n", "sig", "prefix", "parity"])
+                     pa.array(prefix, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64())), pa.array(folded, pa.list_(pa.int64()))],
+                    ["doc_id", "th", "n", "sig", "prefix", "parity", "odd"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, n int, sig binary, prefix array<long>, parity array<long>")
+    return docs.mapInArrow(run, "doc_id long, th long, n int, sig binary, prefix array<long>, parity array<long>, odd array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -166,14 +177,16 @@ def _needed(na: Column, nb: Column, percent: int) -> Column:
 
 
 def _apart(x: Column, y: Column) -> Column:
-    """Slots whose parities differ: no more than the shingles in which two sets differ."""
-    return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, n: s + n)
+    """Slots whose parities differ: no more than the shingles in which two sets
+    differ. Of two numbers of slots, the smaller counts."""
+    least = F.least(F.size(x), F.size(y))
 
+    def folded(z: Column) -> Column:
+        merged = F.transform(F.sequence(F.lit(0), least - 1), lambda k: F.aggregate(
+            F.sequence(k, F.size(z) - 1, least), F.lit(0).cast("long"), lambda s, j: s.bitwiseXOR(F.get(z, j))))
+        return F.when(F.size(z) == least, z).otherwise(merged)
 
-def _folded(parity: Column) -> Column:
-    """The parities of merged slots."""
-    words = [F.get(parity, F.lit(k)) for k in range(PARITY_WORDS)]
-    return F.array(*[reduce(lambda x, y: x.bitwiseXOR(y), words[k::FOLDED_WORDS]) for k in range(FOLDED_WORDS)])
+    return F.aggregate(F.zip_with(folded(x), folded(y), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, n: s + n)
 
 
 #: What travels with each prefix shingle.
@@ -184,10 +197,14 @@ def _side(rows: DataFrame, name: str) -> DataFrame:
     return rows.select("shingle", *[F.col(c).alias(f"{name}_{c}") for c in _ROW])
 
 
-def _may_link(percent: int) -> Column:
-    """Length, positional and suffix filters on rows with both sides' ``a_`` and ``b_`` columns."""
+def _may_link(percent: int, first: bool) -> Column:
+    """Length, positional and suffix filters on rows with both sides' ``a_`` and ``b_`` columns.
+
+    ``first``: of a pair that links, only the row of the first shingle that both
+    sets have must pass. All prefixes have one order, so the sets share nothing
+    before it."""
     na, nb, pa_, pb = F.col("a_n"), F.col("b_n"), F.col("a_pos"), F.col("b_pos")
-    most = F.least(pa_, pb) + 1 + F.least(na - pa_, nb - pb) - 1
+    most = F.least(na - pa_, nb - pb) + (F.lit(0) if first else F.least(pa_, pb))
     need = _needed(na, nb, percent)
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (most >= need) \
         & (na + nb - _apart(F.col("a_odd"), F.col("b_odd")) >= 2 * need)
@@ -229,9 +246,9 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     on_workers(docs.sparkSession)
     docs = _texts(docs)
     members = written(_members(docs, size, percent), "members")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n", "prefix", "parity")).alias("f")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n", "prefix", "parity", "odd")).alias("f")
     classes = written(members.filter("sig is not null").groupBy("sig").agg(first)
-                      .select("sig", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("first_th"), "f.n", "f.prefix", "f.parity"), "classes")
+                      .select("sig", F.col("f.doc_id").alias("first_id"), F.col("f.th").alias("first_th"), "f.n", "f.prefix", "f.parity", "f.odd"), "classes")
     # From here on documents need their class alone.
     wide, members = members, written(members.select("doc_id", "th", "n", "sig"), "documents")
     remove(wide)
@@ -239,22 +256,22 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     n_shared = shared.count()
     band = _band(F.col("n"), percent).alias("band")
     if n_shared <= MAX_SHARED:
-        rows = classes.select("sig", "n", _folded(F.col("parity")).alias("odd"), band, F.posexplode("prefix").alias("pos", "shingle")) \
+        rows = classes.select("sig", "n", "odd", band, F.posexplode("prefix").alias("pos", "shingle")) \
             .join(F.broadcast(shared), ["shingle", "band"])
     else:
         # Narrow rows meet the shingles; those that stay fetch their class's parities.
         narrow = classes.select("sig", band, F.posexplode("prefix").alias("pos", "shingle")).join(shared, ["shingle", "band"])
-        rows = narrow.join(classes.select("sig", "n", _folded(F.col("parity")).alias("odd")), "sig")
+        rows = narrow.join(classes.select("sig", "n", "odd"), "sig")
     every = written(rows.select("shingle", "sig", "n", "pos", "odd", "big"), "prefixes")
     remove(shared)
-    wide, classes = classes, written(classes.drop("prefix"), "classes")
+    wide, classes = classes, written(classes.drop("prefix", "odd"), "classes")
     remove(wide)
     n_small, n_rows = every.agg(F.count_if(~F.col("big")), F.count_if("big")).first()
     links, labels, step, before = None, None, 0, None
     if n_small:
         small = every.filter("not big").withColumn("label", F.col("sig"))
         one, two = _side(small, "a"), _side(small, "b")
-        found = one.join(two, (one["shingle"] == two["shingle"]) & (F.col("a_sig") < F.col("b_sig")) & _may_link(percent))
+        found = one.join(two, (one["shingle"] == two["shingle"]) & (F.col("a_sig") < F.col("b_sig")) & _may_link(percent, first=True))
         new, used = _verified(found.select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b")).distinct(), classes, docs, size, percent)
         links = written(new, "links")
         labels = components(links)
@@ -279,17 +296,18 @@ def jaccard_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
             remove(rows)
             remove(open_)
             rows = now.drop("label")
-        two = _side(now, "b")
         if last:
-            one = _side(now, "a")
+            # Few enough rows to carry all slots.
+            now = now.drop("odd").join(classes.select("sig", F.col("parity").alias("odd")), "sig")
+            one, two = _side(now, "a"), _side(now, "b")
             found = one.join(two, (one["shingle"] == two["shingle"]) & (F.col("a_sig") < F.col("b_sig")) & (F.col("a_label") != F.col("b_label"))
-                             & _may_link(percent))
+                             & _may_link(percent, first=True))
         else:
             # The middle of a group: another one in each step.
             place = F.xxhash64("sig", F.lit(step)).alias("h")
             middle = now.groupBy("shingle").agg(F.min(F.struct(place, *_ROW)).alias("m")).select("shingle", *[f"m.{c}" for c in _ROW])
-            middle = _side(middle, "a")
-            found = two.join(middle, (middle["shingle"] == two["shingle"]) & (F.col("a_label") != F.col("b_label")) & _may_link(percent))
+            middle, two = _side(middle, "a"), _side(now, "b")
+            found = two.join(middle, (middle["shingle"] == two["shingle"]) & (F.col("a_label") != F.col("b_label")) & _may_link(percent, first=False))
         pairs = found.select(F.least("a_sig", "b_sig").alias("a"), F.greatest("a_sig", "b_sig").alias("b")).distinct()
         new, used = _verified(pairs, classes, docs, size, percent)
         old_links, old_labels = links, labels

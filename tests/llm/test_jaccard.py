@@ -75,6 +75,43 @@ def test_large_group_of_near_copies(spark):
     assert got == brute.jaccard_components(rows, 3, 90)
 
 
+def test_long_texts_that_share_passages_are_no_candidates(spark, monkeypatch):
+    """Large sets with a common passage among their rarest shingles are told apart before they are joined into pairs."""
+    rng = random.Random(5)
+    passages = [[f"p{i}w{rng.randrange(10**6)}" for _ in range(600)] for i in range(40)]
+    rows = [(i, " ".join(w for p in rng.sample(passages, 10) for w in p)) for i in range(100)]
+    seen, verified = [], J._verified
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(J, "_verified", counted)
+    monkeypatch.setattr(J, "PAIRS_PER_ROW", 10**9)
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 5, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i, _ in rows}
+    assert len(seen) == 2 and seen[1] < 20  # the small groups' pairs, and all others
+
+
+def test_slots_follow_the_size_of_a_set(spark):
+    rng = np.random.default_rng(3)
+    a = np.unique(rng.integers(0, 2**63, 2040, dtype=np.uint64))
+    b = np.unique(np.concatenate([a[:-5], rng.integers(0, 2**63, 40, dtype=np.uint64)]))
+    x, y = J.parities(a), J.parities(b)
+    assert len(x) == 32 and len(y) == 64 and (J.parities(a[:3]).size, J.parities(rng.integers(0, 2**63, 10**5, dtype=np.uint64)).size) == (32, 256)
+    wide = np.zeros(64 * 64, dtype=np.uint8)  # the smaller set in the larger one's slots
+    np.bitwise_xor.at(wide, (a >> np.uint64(20)).astype(np.int64) % len(wide), 1)
+    assert (np.packbits(wide).view(np.int64).reshape(2, 32)[0] ^ np.packbits(wide).view(np.int64).reshape(2, 32)[1] == x).all()
+    row = spark.createDataFrame([(x.tolist(), y.tolist(), x[:8].tolist())], "x array<long>, y array<long>, z array<long>")
+    apart = row.select(J._apart(row.x, row.y), J._apart(row.y, row.x), J._apart(row.x, row.x)).first()
+    folded = np.bitwise_xor.reduce(y.reshape(2, 32), axis=0)
+    assert tuple(apart) == (np.bitwise_count(x ^ folded).sum(), np.bitwise_count(x ^ folded).sum(), 0)
+    assert 0 < apart[0] <= len(np.setxor1d(a, b))
+    text = [f"w{i}" for i in range(2045)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join([*text, *[f"v{i}" for i in range(30)]])), (3, " ".join(text[::-1]))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in J.jaccard_components(docs, 5, 80).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_repeated_rows_and_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words are here now"), (2, "a b c d e f"), (None, "a b c d e f"), (None, "alone it stands here")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
