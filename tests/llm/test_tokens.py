@@ -52,6 +52,23 @@ def test_random_texts_equal_the_library(texts):
     assert COUNTER.count(texts) == [len(_ids(BYTE_TOK, t)) for t in texts]
 
 
+class Whole(str):
+    """A text that tells when it is split into words."""
+
+    def split(self, *args):
+        raise AssertionError("split only to look at its spaces")
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from([*filter(str.isspace, map(chr, range(0x3001))), " ", " ", "\n", "a", "b.", "é"]), max_size=12).map("".join))
+def test_plainly_spaced_texts_are_split_once(text):
+    plain = text != "" and " ".join(text.split()) == text.replace("\n", " ") and not any(c in text for c in "\x1c\x1d\x1e\x1f")
+    if plain:
+        units = BYTE_UNITS._cut(Whole(text))
+        assert units == ["\r" + text.split()[0], *text.replace("\n", " \n").split(" ")[1:]]
+    assert BYTE_UNITS.encode([text]) == [BYTE_UNITS.whole(text) if text else b""]
+
+
 def test_shortcut_is_proven_and_used():
     for name in list(COUNTER.shortcut)[:2000]:
         assert len(COUNTER.tok.model.tokenize(name)) == 1
