@@ -19,17 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revisio.llm.common import arrow_rows, new_folder, on_workers, read_table
-from revisio.llm.units import ByteUnits, blocks, encoder
+from revisio.llm.units import ByteLists, blocks, encoder
 
 #: Bytes of a row group (before compression) and of a data page.
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 #: Bytes of text for a file: at about 1.2 stored bytes for each byte of text.
 FILE_CHARS = 32 << 20
+#: Texts that are encoded at once: the more, the fewer look-ups of their words.
+BLOCK_ROWS, BLOCK_CHARS = 1000, 4_000_000
 
 TOKENS = "doc_id long, ids array<int>, n_tokens int"
 
@@ -37,20 +40,13 @@ TOKENS = "doc_id long, ids array<int>, n_tokens int"
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
     """``doc_id, ids, n_tokens`` for each row; ``end_id`` closes each document."""
-    end = np.asarray([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ByteUnits, tokenizer_path)
+        enc = encoder(ByteLists, tokenizer_path)
         for batch in batches:
             keys, column = batch.column(0), batch.column(1)
-            for a, b in blocks(column):
-                raw = [x + end for x in enc.encode(column.slice(a, b - a).to_pylist())]
-                sizes = np.asarray([len(x) // 4 for x in raw], dtype=np.int32)
-                offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
-                yield pa.RecordBatch.from_arrays(
-                    [keys.slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(sizes)],
-                    ["doc_id", "ids", "n_tokens"])
+            for a, b in blocks(column, BLOCK_ROWS, BLOCK_CHARS):
+                ids = enc.lists(column.slice(a, b - a), end_id)
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), ids, pc.list_value_length(ids)], ["doc_id", "ids", "n_tokens"])
 
     on_workers(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
@@ -73,7 +69,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     files = max(1, -(-int(total) // file_chars), spark.sparkContext.defaultParallelism)
     order = [F.col("doc_id").asc_nulls_first(), F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.octet_length("text")]
     dealt = docs.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    with arrow_rows(spark, 1000):
+    with arrow_rows(spark, BLOCK_ROWS):
         token_ids(dealt, tokenizer_path, end_id).write \
             .option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes) \
             .option("parquet.dictionary.page.size", page_bytes).option("parquet.writer.version", "v2") \

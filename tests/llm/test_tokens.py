@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,12 +14,13 @@ from revisio.llm.common import new_folder
 from revisio.llm.packing import cut_lengths, harmonic_packing
 from revisio.llm.token_counts import Counter, token_counts
 from revisio.llm.token_store import read_tokens, token_digest, write_tokens
-from revisio.llm.units import ByteUnits, WordUnits
+from revisio.llm.units import ByteLists, ByteUnits, WordUnits
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOK, WORD_TOK = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
 # A small memo, so that eviction is tested too.
 BYTE_UNITS, WORD_UNITS, COUNTER = ByteUnits(BYTE, 50), WordUnits(WORD, 50), Counter(BYTE, 50)
+BYTE_LISTS = ByteLists(BYTE, 50)
 
 TRICKY = ["", " ", "\n", "  ", "\n\n", " \n", "\n ", "a", " a", "a ", "a\n", "\na", "a  b", "a\n\nb", "a \nb", "a\n b", "a\tb", "a \tb", "a\t b",
           "don't 'tis it's", "a's  's\n's", "x\r\ny", "x\xa0y", "x \xa0y", "x y", "x\x1cy", "x \x1f y", "<|endoftext|>", "a <|endoftext|> b",
@@ -52,6 +54,30 @@ def test_random_texts_equal_the_library(texts):
     assert COUNTER.count(texts) == [len(_ids(BYTE_TOK, t)) for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(ALPHABET, max_size=25).map("".join), st.lists(st.sampled_from(["a", "b.", "é", "\nÉt", "1", "日", "'s"]), max_size=9)
+                          .map(" ".join), st.text(max_size=20)), max_size=5))
+def test_columns_of_texts_equal_the_library(texts):
+    texts = [t and t.encode("utf-8", "ignore").decode() for t in texts]
+    assert BYTE_LISTS.lists(pa.array(texts, pa.string()), 7).to_pylist() == [_ids(BYTE_TOK, t or "") + [7] for t in texts]
+
+
+def test_columns_of_tricky_texts_equal_the_library():
+    column = pa.array(["left out", *TRICKY, None, *TRICKY], pa.string()).slice(1)
+    assert BYTE_LISTS.lists(column, 0).to_pylist() == [_ids(BYTE_TOK, t or "") + [0] for t in column.to_pylist()]
+    assert BYTE_LISTS.lists(pa.array(["", None]), 0).to_pylist() == [[0], [0]]
+
+
+def test_words_of_a_column_are_looked_up_once(monkeypatch):
+    """Evenly spaced texts take no step of their own: each different word is merged once, whatever stands around it."""
+    units, merged, texts = ByteLists(BYTE), [], ["the oddword, and oddword.\nOddword oddword!" for _ in range(200)]
+    monkeypatch.setattr(units, "_merge", lambda part, merge=units._merge: merged.append(part) or merge(part))
+    for name in ("_cut", "_plain", "_learn", "plans", "whole"):
+        monkeypatch.setattr(units, name, None)
+    assert units.lists(pa.array(texts), 0).to_pylist() == [_ids(BYTE_TOK, t) + [0] for t in texts]
+    assert sorted(merged) == sorted(["Ċ", "the", "Ġoddword", "Ġand", "Oddword", ",", ".", "!"])
+
+
 class Whole(str):
     """A text that tells when it is split into words."""
 
