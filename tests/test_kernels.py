@@ -80,3 +80,36 @@ def test_difference_kernel_with_nulls_and_empty_rows(spark):
     assert df.filter("false").withColumn("d", D.diff_opcodes(words("a"), words("b"))).count() == 0
     null = df.filter("i = 1").withColumn("d", D.diff_opcodes(words("a"), words("b"))).collect()
     assert null[0].d.ops is None
+
+
+def test_score_reads_its_rows_once(spark):
+    """The report gives each metric's own value, from one pass (before, every metric derived the rows anew)."""
+    rows = [(str(i), p, r, ids) for i, (p, r, ids) in enumerate([
+        ("The cat sat. On the mat!", "The cat sat on the mat.", [4, 5, 0]), (None, "a b", [1]), ("x y z", None, None), ("", "", []),
+        ("One two three four five. Six seven.", "One two three four six. Six seven eight.", [1, 2, 3])])]
+    df = spark.createDataFrame(rows, "row_id string, p string, r string, ids array<int>")
+    seen = spark.sparkContext.accumulator(0)
+
+    def tap(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = {r.metric: r.value for r in M.score(df.mapInArrow(tap, df.schema), "p", "r", "ids").collect()}
+    assert seen.value == len(rows)
+    each = [M.corpus_bleu(df, "p", "r").select("bleu"), M.rouge_n(df, "p", "r"), M.rouge_l(df, "p", "r"), M.rouge_lsum(df, "p", "r"), M.gen_len(df, "ids")]
+    assert got == {k: v for t in each for k, v in t.first().asDict().items()} and len(got) == 6
+    assert M.score(df, "p", "r").count() == 5
+
+
+def test_the_union_of_subsequences_does_not_depend_on_the_order_of_places():
+    draw = random.Random(5)
+    for _ in range(200):
+        s, preds = ([[draw.choice("abcdefgh") for _ in range(draw.randint(0, 9))] for _ in range(n)] for n in (1, draw.randint(0, 6)))
+        having = {}
+        for k, p in enumerate(preds):
+            for t in set(p):
+                having.setdefault(t, []).append(k)
+        kept = [[j for j, t in enumerate(s[0]) if t in p] for p in preds]
+        whole = {j[i] for j, p in zip(kept, preds) for i in M._lcs_places([s[0][x] for x in j], p)}
+        assert M._union_places(s[0], [(p, set(p)) for p in preds], having) == whole
