@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revisio.operators.store import PLACE, bytes_of, can_put_aside, fetched, put_aside, tasks_for
 from revisio.session import ensure_checkpoint_dir, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -51,24 +52,42 @@ def _file_order(path: str) -> tuple:
 def numbered_lines(spark: SparkSession, path) -> DataFrame:
     """``line`` (from 0 over all files of ``path``), ``value``. Empty lines count;
     the driver holds the size of each block."""
+    return _numbered(spark, path, lambda placed: written(placed, "lines"))
+
+
+def _numbered(spark: SparkSession, path, store: Callable) -> DataFrame:
+    """``numbered_lines``, with the columns that ``store`` gives in place of ``value``."""
     ensure_checkpoint_dir(spark)
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    placed = written(lines.mapInArrow(_places, "value string, file string, block long, at long"), "lines")
+    placed = store(lines.mapInArrow(_places, "value string, file string, block long, at long"))
     sizes = [(r["file"], r["block"], r["n"]) for r in placed.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).collect()]
     offsets, before = [], 0
     for file, block, n in sorted(sizes, key=lambda s: (_file_order(s[0]), s[1])):
         offsets.append((file, block, before))
         before += n
     table = spark.createDataFrame(offsets, "file string, block long, before long")
-    return placed.join(F.broadcast(table), ["file", "block"]).select((F.col("before") + F.col("at")).alias("line"), "value")
+    rest = [c for c in placed.columns if c not in ("file", "block", "at")]
+    return placed.join(F.broadcast(table), ["file", "block"]).select((F.col("before") + F.col("at")).alias("line"), *rest)
 
 
 def pair_lines(spark: SparkSession, predictions, references) -> DataFrame:
     """``line, prediction, reference``: line i of one set of files beside line i
-    of the other. Sets of unequal length fail when the result is read."""
-    p = numbered_lines(spark, predictions).withColumnRenamed("value", "prediction").withColumn("_p", F.lit(True))
-    r = numbered_lines(spark, references).withColumnRenamed("value", "reference").withColumn("_r", F.lit(True))
+    of the other. Sets of unequal length fail when the result is read. The lines
+    are put aside once, and only their places meet."""
+    names = ("prediction", "reference")
+    if can_put_aside(spark):
+        sides = [_numbered(spark, path, lambda placed: put_aside(placed, ["value"], "lines")) for path in (predictions, references)]
+        tasks = tasks_for(sum(map(bytes_of, sides)))
+        p, r = (side.select("line", *[F.col(c).alias(c + n) for c in PLACE]).repartition(tasks, "line") for side, n in zip(sides, names))
+        markers = [F.col(PLACE[0] + n) for n in names]
+    else:
+        p, r = (numbered_lines(spark, path).select("line", F.col("value").alias(n), F.lit(True).alias(f"_{n}")) for path, n in zip((predictions, references), names))
+        markers = [F.col(f"_{n}") for n in names]
     both = p.join(r, "line", "full_outer")
-    whole = F.col("_p").isNotNull() & F.col("_r").isNotNull()
-    checked = F.when(whole, True).otherwise(F.raise_error(F.concat(F.lit("no partner for line "), F.col("line").cast("string"))).cast("boolean"))
-    return both.filter(checked).select("line", "prediction", "reference")
+    checked = F.when(markers[0].isNotNull() & markers[1].isNotNull(), True) \
+        .otherwise(F.raise_error(F.concat(F.lit("no partner for line "), F.col("line").cast("string"))).cast("boolean"))
+    both = both.filter(checked)
+    if can_put_aside(spark):
+        for n in names:
+            both = fetched(both, [n], [c + n for c in PLACE])
+    return both.select("line", *names)

@@ -2,6 +2,7 @@
 import pytest
 
 from revisio.sources.lines import numbered_lines, pair_lines
+from revisio.sources.sinks import write_predictions
 
 
 def write(folder, files):
@@ -53,3 +54,28 @@ def test_pairs_by_position_and_unequal_lengths(spark, tmp_path):
 
 def test_no_files_give_no_lines(spark, tmp_path):
     assert numbered_lines(spark, write(tmp_path / "t", {"part-00000": ""})).collect() == []
+
+
+def test_lines_meet_without_their_texts(spark, tmp_path):
+    """Before, the texts of both sides went through the join's shuffles, and through the sort of the writer."""
+    rows = [(f"{i:04d}", f"p{i}\n\\{'é' * (i % 50)}" if i % 9 else None, f"r {i}" if i % 7 else "") for i in range(500)]
+    df = spark.createDataFrame(rows, "row_id string, prediction string, reference string").repartition(7)
+    paths = [str(tmp_path / n) for n in ("prediction", "reference")]
+    for path, col in zip(paths, ("prediction", "reference")):
+        write_predictions(df, path, col)
+    got = pair_lines(spark, *paths)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and plan.rindex("MapInArrow") < plan.index("Exchange ")
+    want = [((p or "").replace("\\", "\\\\").replace("\n", "\\n"), r) for _, p, r in rows]
+    assert [(r.prediction, r.reference) for r in got.orderBy("line").collect()] == want
+
+
+def test_lines_meet_where_files_cannot_be_read_plainly(spark, tmp_path, monkeypatch):
+    from revisio.sources import lines, sinks
+    for module in (lines, sinks):
+        monkeypatch.setattr(module, "can_put_aside", lambda spark: False)
+    df = spark.createDataFrame([(f"{i:03d}", f"p{i}", f"r{i}") for i in range(40)], "row_id string, prediction string, reference string")
+    paths = [str(tmp_path / n) for n in ("prediction", "reference")]
+    for path, col in zip(paths, ("prediction", "reference")):
+        write_predictions(df, path, col)
+    assert [tuple(r) for r in pair_lines(spark, *paths).orderBy("line").collect()] == [(i, f"p{i}", f"r{i}") for i in range(40)]
